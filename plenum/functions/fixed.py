@@ -8,6 +8,10 @@ Patterns are written so that Java's regex engine and RE2 read them alike. ``WS``
 WS = r"[\s\x0B\x1C-\x1F\x{85}\p{Z}]"
 NWS = r"[^\s\x0B\x1C-\x1F\x{85}\p{Z}]"
 WORD = r"[\p{L}\p{N}_]"
+SPACES = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+    "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 WS_OR_WORD = r"[\s\x0B\x1C-\x1F\x{85}\p{Z}\p{L}\p{N}_]"
 
 # US states and the District of Columbia

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from plenum.functions import fixed
 from plenum.functions.fixed import WS
-from plenum.functions.text import _col, collapse_spaces, nullif_blank, strip
+from plenum.functions.text import _col, collapse_spaces, let, nullif_blank, strip
 
 
 def title_case(c: Column | str) -> Column:
@@ -23,22 +23,23 @@ def title_case(c: Column | str) -> Column:
 
 
 def clean_name(c: Column | str) -> Column:
-    name = collapse_spaces(nullif_blank(c, "nan"))
     edge = r"[^\s\p{L}\p{N}_'-]+"
-    name = F.regexp_replace(name, rf"^{edge}|{edge}$", "")
-    is_lower = (name == F.lower(name)) & (name != F.upper(name))
-    is_upper = (name == F.upper(name)) & (name != F.lower(name))
-    cased = (
-        F.when(is_lower & (F.length(name) <= 3), name)
-        .when(is_lower | is_upper, title_case(name))
-        .otherwise(name)
-    )
-    usable = (
-        ~cased.rlike(r"\p{Nd}")
-        & (F.length(cased) <= 50)
-        & ((F.length(cased) >= 2) | cased.isin(fixed.NAME_SUFFIXES))
-    )
-    return F.when(usable, cased)
+    trimmed = F.regexp_replace(collapse_spaces(nullif_blank(c, "nan")), rf"^{edge}|{edge}$", "")
+
+    def cased(name: Column) -> Column:
+        is_lower = (name == F.lower(name)) & (name != F.upper(name))
+        is_upper = (name == F.upper(name)) & (name != F.lower(name))
+        return (
+            F.when(is_lower & (F.length(name) <= 3), name)
+            .when(is_lower | is_upper, title_case(name))
+            .otherwise(name)
+        )
+
+    def usable(name: Column) -> Column:
+        long_enough = (F.length(name) >= 2) | name.isin(fixed.NAME_SUFFIXES)
+        return F.when(~name.rlike(r"\p{Nd}") & (F.length(name) <= 50) & long_enough, name)
+
+    return let(let(trimmed, cased), usable)
 
 
 def clean_state(c: Column | str) -> Column:

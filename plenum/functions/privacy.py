@@ -22,16 +22,11 @@ def redact(c: Column | str) -> Column:
 
 def pii_matches(c: Column | str) -> Column:
     """All hits of a text as an array of (pattern_name, matched_text), redacted."""
-    hits = []
-    for name, pattern in fixed.PII_PATTERNS.items():
+    def hits(name: str, pattern: str) -> Column:
         found = F.regexp_extract_all(_col(c), F.lit(f"(?U){pattern}"), 0)
-        hits.append(
-            F.transform(
-                found,
-                lambda m, n=name: F.struct(F.lit(n).alias("pattern_name"), redact(m).alias("matched_text")),
-            )
-        )
-    return F.concat(*hits)
+        return F.transform(found, lambda m: F.struct(F.lit(name).alias("pattern_name"), redact(m).alias("matched_text")))
+
+    return F.concat(*[hits(name, pattern) for name, pattern in fixed.PII_PATTERNS.items()])
 
 
 def string_leaves(df: DataFrame, *skip: str) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -22,9 +22,22 @@ def any_of(patterns: list[str], anchored: bool = False) -> str:
     return f"^(?:{body})" if anchored else f"(?:{body})"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once and use it several times in ``body``.
+
+    Written plainly, every use would be its own copy of the expression.
+    """
+    return F.get(F.transform(F.array(value), lambda v: body(v)), F.lit(0))
+
+
 def strip(c: Column | str) -> Column:
     """Trim Unicode white space, not only blanks."""
-    return F.regexp_replace(_col(c), rf"^{WS}+|{WS}+$", "")
+    return F.btrim(_col(c), F.lit(fixed.SPACES))
+
+
+def replace_if(text: Column, marker: str, pattern: str, by: str) -> Column:
+    """``regexp_replace`` for texts holding the marker that every match needs; others are not scanned by regex."""
+    return let(text, lambda t: F.when(t.contains(marker), F.regexp_replace(t, pattern, by)).otherwise(t))
 
 
 def collapse_spaces(c: Column | str) -> Column:
@@ -42,9 +55,8 @@ def clean_text(c: Column | str) -> Column:
     text = strip(c)
     text = F.regexp_replace(text, r"[ \t]+", " ")
     text = F.regexp_replace(text, rf"\n{WS}*\n", "\n")
-    text = F.regexp_replace(text, r"[\x{200B}-\x{200D}\x{FEFF}]", "")
-    text = F.regexp_replace(text, "[\"“”]", '"')
-    text = F.regexp_replace(text, "['‘’]", "'")
+    # curly quotes become straight ones, zero-width characters vanish
+    text = F.translate(text, "“”‘’\u200b\u200c\u200d\ufeff", "\"\"''")
     text = F.regexp_replace(text, rf'(?id)^(?:"|{WS})*to{WS}*".*?"(?:"|{WS})*$', "")
     text = F.regexp_replace(text, rf'(?id)^{WS}*👍{WS}*to{WS}*".*?".*$', "")
     return strip(text)
@@ -53,15 +65,12 @@ def clean_text(c: Column | str) -> Column:
 def clean_text_heavy(c: Column | str) -> Column:
     """Also drop links, addresses, phone numbers, repeated punctuation and all symbols."""
     text = collapse_spaces(strip(F.coalesce(_col(c), F.lit(""))))
-    text = F.regexp_replace(text, r"https?://[a-z!$-_]+", "")
+    text = replace_if(text, "http", r"https?://[a-z!$-_]+", "")
     # anchoring at the word start changes no match and keeps long words linear
-    text = F.regexp_replace(text, rf"(?<!{NWS}){NWS}+@{NWS}+", "")
-    text = F.regexp_replace(
-        text, r"(?U)\b\d{3}-\d{3}-\d{4}\b|\b\(\d{3}\)\s*\d{3}-\d{4}\b", ""
-    )
-    text = F.regexp_replace(text, r"!{2,}", "!")
-    text = F.regexp_replace(text, r"\?{2,}", "?")
-    text = F.regexp_replace(text, r"\.{3,}", "...")
+    text = replace_if(text, "@", rf"(?<!{NWS}){NWS}+@{NWS}+", "")
+    text = replace_if(text, "-", r"(?U)\b\d{3}-\d{3}-\d{4}\b|\b\(\d{3}\)\s*\d{3}-\d{4}\b", "")
+    text = F.regexp_replace(text, r"([!?])\1+", "$1")
+    text = replace_if(text, "...", r"\.{3,}", "...")
     text = F.regexp_replace(text, r"[^\s\x0B\x1C-\x1F\x{85}\p{Z}\p{L}\p{N}_.,!?;:'\"-]", " ")
     return collapse_spaces(strip(text))
 
@@ -73,7 +82,7 @@ def is_stop_message(c: Column | str) -> Column:
     framed = (
         rf"^(?:{words}){WS}+{NWS}+{WS}+{NWS}|{NWS}{WS}+{NWS}+{WS}+(?:{words})$"
     )
-    return text.rlike(any_of(fixed.STOP_PATTERNS, anchored=True)) | text.rlike(framed)
+    return text.rlike(any_of([*fixed.STOP_PATTERNS], anchored=True) + "|" + framed)
 
 
 def is_opt_out(c: Column | str, on_raw: bool = False) -> Column:
@@ -88,11 +97,13 @@ def is_opt_out(c: Column | str, on_raw: bool = False) -> Column:
 
 def feedback_from_stop(c: Column | str) -> Column:
     """What an opt-out says besides the stop word, if that is more than five characters."""
-    text = strip(c)
     words = "|".join(fixed.STOP_WORDS)
-    after = strip(F.regexp_extract(text, rf"(?id)^(?:{words}){WS}+(.+)$", 1))
-    before = strip(F.regexp_extract(text, rf"(?id)^(.+?){WS}+(?:{words})$", 1))
-    return F.coalesce(F.when(F.length(after) > 5, after), F.when(F.length(before) > 5, before))
+
+    def said(pattern: str) -> Callable[[Column], Column]:
+        return lambda t: let(strip(F.regexp_extract(t, pattern, 1)), lambda found: F.when(F.length(found) > 5, found))
+
+    after, before = said(rf"(?id)^(?:{words}){WS}+(.+)$"), said(rf"(?id)^(.+?){WS}+(?:{words})$")
+    return let(strip(c), lambda t: F.coalesce(after(t), before(t)))
 
 
 def _non_substantive_pattern(strict_boundary: bool) -> str:
@@ -113,10 +124,12 @@ def is_non_substantive(
     The default greeting patterns also swallow sentences that merely start with one of the
     words; ``strict_boundary`` only accepts the greeting alone.
     """
-    text = strip(F.lower(_col(c)))
     pattern = _non_substantive_pattern(strict_boundary)
     civic = r"(?U)\b(?:" + "|".join(fixed.SHORT_CIVIC_PATTERNS) + r")\b"
-    return text.rlike(pattern) | ((F.length(_col(c)) < min_length) & ~text.rlike(civic))
+    return let(
+        _col(c),
+        lambda t: strip(F.lower(t)).rlike(pattern) | ((F.length(t) < min_length) & ~F.lower(t).rlike(civic)),
+    )
 
 
 def starts_with_emoji(c: Column | str) -> Column:
@@ -129,27 +142,29 @@ def has_civic_relevance(c: Column | str) -> Column:
 
 def length_check(c: Column | str, min_length: int = 15, max_length: int = 5000) -> Column:
     """Lengths before and after heavy cleaning, and whether they are within the limits."""
-    cleaned = F.length(clean_text_heavy(c))
-    return F.struct(
-        F.length(_col(c)).alias("original_length"),
-        cleaned.alias("cleaned_length"),
-        (cleaned >= min_length).alias("meets_min"),
-        (cleaned <= max_length).alias("meets_max"),
+    return let(
+        F.length(clean_text_heavy(c)),
+        lambda cleaned: F.struct(
+            F.length(_col(c)).alias("original_length"),
+            cleaned.alias("cleaned_length"),
+            (cleaned >= min_length).alias("meets_min"),
+            (cleaned <= max_length).alias("meets_max"),
+        ),
     )
 
 
 def filter_reasons(c: Column | str, max_length: int = 5000, on_raw: bool = False) -> Column:
     """Why a message fails the filter; an empty array means it passed."""
-    cleaned = F.length(clean_text_heavy(c))
-    too_long = F.concat(
-        F.lit("Too long: "), cleaned.cast("string"), F.lit(f" > {max_length} chars")
-    )
-    return F.array_compact(
-        F.array(
-            F.when(cleaned > max_length, too_long),
-            F.when(is_opt_out(c, on_raw), F.lit("STOP/opt-out message")),
+    def reasons(cleaned: Column) -> Column:
+        length = F.length(cleaned)
+        too_long = F.concat(F.lit("Too long: "), length.cast("string"), F.lit(f" > {max_length} chars"))
+        seen = F.lower(_col(c)) if on_raw else F.lower(cleaned)
+        opted_out = strip(seen).rlike("(?d)" + any_of(fixed.OPT_OUT_PATTERNS, anchored=True))
+        return F.array_compact(
+            F.array(F.when(length > max_length, too_long), F.when(opted_out, F.lit("STOP/opt-out message")))
         )
-    )
+
+    return let(clean_text_heavy(c), reasons)
 
 
 def anonymise(c: Column | str, terms: Mapping[str, str]) -> Column:
@@ -190,24 +205,27 @@ def issue_key(issue: Column) -> Column:
 
 def unwrap_json(c: Column | str) -> Column:
     """Take model output out of code fences and doubled braces."""
-    text = strip(c)
-    text = strip(F.regexp_replace(text, r"(?s)^```(?:json)?(.*?)(?:```)?$", "$1"))
-    doubled = text.startswith("{{") & text.endswith("}}")
-    return F.when(doubled, strip(text.substr(F.lit(2), F.length(text) - 2))).otherwise(text)
+    fenced = strip(F.regexp_replace(strip(c), r"(?s)^```(?:json)?(.*?)(?:```)?$", "$1"))
+
+    def unbraced(t: Column) -> Column:
+        doubled = t.startswith("{{") & t.endswith("}}")
+        return F.when(doubled, strip(t.substr(F.lit(2), F.length(t) - 2))).otherwise(t)
+
+    return let(fenced, unbraced)
 
 
 def parse_json(c: Column | str, schema: T.StructType) -> Column:
     """Tolerant decode: as it is if that is valid JSON, else without trailing commas."""
     guarded = T.StructType([*schema.fields, T.StructField("_corrupt", T.StringType())])
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
-    text = unwrap_json(c)
-    repaired = F.regexp_replace(text, r",(\s*[}\]])", "$1")
 
     def decoded(t: Column) -> Column:
-        value = F.from_json(t, guarded, options)
-        return F.when(value["_corrupt"].isNull(), value)
+        return let(F.from_json(t, guarded, options), lambda v: F.when(v["_corrupt"].isNull(), v))
 
-    return F.coalesce(decoded(text), decoded(repaired)).dropFields("_corrupt")
+    return let(
+        unwrap_json(c),
+        lambda t: F.coalesce(decoded(t), decoded(F.regexp_replace(t, r",(\s*[}\]])", "$1"))),
+    ).dropFields("_corrupt")
 
 
 def valid_choice(index: Column | str, n_candidates: Column | str) -> Column:
@@ -223,6 +241,5 @@ def words(c: Column | str) -> Column:
 
 def jaccard(a: Column, b: Column) -> Column:
     """Overlap of two word arrays; 0 when either is empty."""
-    shared = F.size(F.array_intersect(a, b))
-    either = F.size(a) + F.size(b) - shared
-    return F.when((F.size(a) > 0) & (F.size(b) > 0), shared / either).otherwise(F.lit(0.0))
+    share = let(F.size(F.array_intersect(a, b)), lambda n: n / (F.size(a) + F.size(b) - n))
+    return F.when((F.size(a) > 0) & (F.size(b) > 0), share).otherwise(F.lit(0.0))

@@ -154,9 +154,8 @@ def cleaning_verdict(
 def filter_messages(df: DataFrame, text: str = "message_text", max_length: int = 5000, on_raw: bool = False) -> DataFrame:
     """Add the filter result; failing rows stay in the table with an empty filtered text."""
     df = df.withColumn("filter_reasons", tx.filter_reasons(F.col(text), max_length, on_raw))
-    passed = F.size("filter_reasons") == 0
     return (
-        df.withColumn("passed", passed)
+        df.withColumn("passed", F.size("filter_reasons") == 0)
         .withColumn("filtered_text", F.when(F.col("passed"), tx.clean_text_heavy(F.col(text))).otherwise(""))
         .withColumn("is_opt_out", F.array_contains("filter_reasons", "STOP/opt-out message"))
     )
@@ -252,8 +251,8 @@ def filter_statistics(df: DataFrame, campaign: str = "campaign_name", text: str
 
 
 def filter_reason_counts(df: DataFrame) -> DataFrame:
-    kind = F.substring_index(F.explode("filter_reasons"), ":", 1)
-    return df.select(kind.alias("reason")).groupBy("reason").agg(F.count("*").alias("n"))
+    reasons = df.select(F.explode("filter_reasons").alias("reason"))
+    return reasons.groupBy(F.substring_index("reason", ":", 1).alias("reason")).agg(F.count("*").alias("n"))
 
 
 def load_summary(df: DataFrame, dimensions: list[str], text: str = "message_text") -> DataFrame:
