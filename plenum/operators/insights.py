@@ -202,8 +202,8 @@ def root_cause_effects(df: DataFrame, issues: str = "issues") -> DataFrame:
 def root_cause_frequency(df: DataFrame, issues: str = "issues") -> DataFrame:
     roots = F.filter(issues, lambda i: i["is_root_cause"])
     return (
-        df.select(issue_key(F.explode(roots)).alias("root_cause"))
-        .groupBy("root_cause")
+        df.select(F.explode(roots).alias("i"))
+        .groupBy(issue_key(F.col("i")).alias("root_cause"))
         .agg(F.count("*").alias("mentions"))
     )
 

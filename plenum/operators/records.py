@@ -231,7 +231,7 @@ def campaign_fields(df: DataFrame, data: str = "data", details: str = "details",
     out = parsed.select(*base, *fields, created.alias("account_creation_date"),
                         plausible_timestamp("updated_at").alias("account_update_date"),
                         text("details", "electionDate").alias("_election_text"))
-    flags = {f"has_{c.removesuffix('_code') if c != 'zip_code' else c}": presence(c, "", *empty) for c, empty in PRESENCE.items()}
+    flags = {f"has_{c.removeprefix('campaign_')}": presence(c, "", *empty) for c, empty in PRESENCE.items()}
     flags |= {
         "has_election_date": presence("_election_text", ""),
         "has_p2v_data": F.col("p2v_status").isNotNull().cast("int"),

@@ -278,5 +278,5 @@ def in_taxonomy(category: Column | str) -> Column:
 
 def unknown_categories(df: DataFrame, issues: str = "issues") -> DataFrame:
     """Categories in use that the tree does not have, with their frequency."""
-    keys = df.select(issue_key(F.explode(issues)).alias("category"))
+    keys = df.select(F.explode(issues).alias("i")).select(issue_key(F.col("i")).alias("category"))
     return keys.where(~in_taxonomy("category")).groupBy("category").agg(F.count("*").alias("mentions"))

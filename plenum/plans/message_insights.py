@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from plenum.operators import insights as ins
 from plenum.operators import messages as ms
 from plenum.operators import rules
+from plenum.session import cut_lineage
 
 
 def classified_messages(messages: DataFrame, strict_parity: bool = False, min_length: int = 10) -> DataFrame:
@@ -18,8 +19,11 @@ def classified_messages(messages: DataFrame, strict_parity: bool = False, min_le
 
 
 def issue_report(messages: DataFrame, mode: str = "respondent") -> DataFrame:
-    """Insights per issue with samples and concerns."""
-    mentions = ins.mentions(classified_messages(messages))
+    """Insights per issue with samples and concerns.
+
+    The classified mentions are written once: three aggregates read them.
+    """
+    mentions = cut_lineage(ins.mentions(classified_messages(messages)))
     return (
         ins.issue_insights(mentions, mode)
         .join(ins.sample_messages(mentions), "issue", "left")
