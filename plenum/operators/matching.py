@@ -70,11 +70,12 @@ def block_topk(
     Scores are rounded before ranking, so ties fall to the smaller id whatever the tile shape.
     ``cosine`` keeps similarities above 0, best first; ``l2`` gives squared distances.
     """
+    # fresh names on both sides: queries and candidates may be the same table
     q = queries.select(
-        *on, F.col(query_id).alias("query_id"), F.col(query_vector).alias("vector"), *pair.query_columns
+        *[F.col(c).alias(c) for c in on], F.col(query_id).alias("query_id"), F.col(query_vector).alias("vector"), *pair.query_columns
     ).where(F.col("vector").isNotNull())
     c = candidates.select(
-        *on, F.col(candidate_id).alias("candidate_id"), F.col(candidate_vector).alias("vector"), *pair.candidate_columns
+        *[F.col(c).alias(c) for c in on], F.col(candidate_id).alias("candidate_id"), F.col(candidate_vector).alias("vector"), *pair.candidate_columns
     ).where(F.col("vector").isNotNull())
     tiles = (
         q.groupBy(*on).agg(F.ceil(F.count("*") / query_tile).cast("int").alias("_q_tiles"))
@@ -84,8 +85,9 @@ def block_topk(
     q = q.join(tiles, on).withColumn("_qt", F.pmod(F.xxhash64("query_id"), "_q_tiles")).withColumn("_ct", every("_c_tiles"))
     c = c.join(tiles, on).withColumn("_ct", F.pmod(F.xxhash64("candidate_id"), "_c_tiles")).withColumn("_qt", every("_q_tiles"))
     cell = [*on, "_qt", "_ct"]
-    q = q.select(*cell, "query_id", "vector", *pair.query_columns).withColumn("_ct", F.col("_ct").cast("long"))
-    c = c.select(*cell, "candidate_id", "vector", *pair.candidate_columns).withColumn("_qt", F.col("_qt").cast("long"))
+    fresh = [F.col(name).cast("long" if name in ("_qt", "_ct") else tiles.schema[name].dataType).alias(name) for name in cell]
+    q = q.select(*fresh, "query_id", "vector", *pair.query_columns)
+    c = c.select(*fresh, "candidate_id", "vector", *pair.candidate_columns)
     id_types = (q.schema["query_id"].dataType, c.schema["candidate_id"].dataType)
     schema = T.StructType(
         [

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from plenum.operators import districts as ds
 from plenum.operators import matching as mt
+from plenum.session import cut_lineage
 
 
 def match_districts(
@@ -21,7 +22,8 @@ def match_districts(
     ids = dict(query_id=key, candidate_id="district_id", query_vector="embedding", candidate_vector="embedding")
     ranked = ds.district_topk(positions, districts, city=city, **ids)
     offers = ds.generic_topk(districts, generic, candidate_id="district_id", query_vector="query_vector", candidate_vector="embedding")
-    full = ds.inject_generic(ranked, positions, offers, key, variant)
+    # at most 13 rows per position, read twice below: written once
+    full = cut_lineage(ds.inject_generic(ranked, positions, offers, key, variant))
     sides = districts.select(F.col("district_id").alias("candidate_id"), "district_name", "district_type", F.col("state").alias("district_state"))
     records = positions.select(F.col(key).alias("query_id"), F.col(name).alias("_name"), "state")
     listed = full.join(sides, "candidate_id").join(records, "query_id")
