@@ -153,8 +153,13 @@ def length_check(c: Column | str, min_length: int = 15, max_length: int = 5000)
     )
 
 
-def filter_reasons(c: Column | str, max_length: int = 5000, on_raw: bool = False) -> Column:
-    """Why a message fails the filter; an empty array means it passed."""
+def filter_reasons(
+    c: Column | str, max_length: int = 5000, on_raw: bool = False, cleaned: Column | None = None
+) -> Column:
+    """Why a message fails the filter; an empty array means it passed.
+
+    ``cleaned`` is the heavily cleaned text where that is at hand.
+    """
     def reasons(cleaned: Column) -> Column:
         length = F.length(cleaned)
         too_long = F.concat(F.lit("Too long: "), length.cast("string"), F.lit(f" > {max_length} chars"))
@@ -164,7 +169,7 @@ def filter_reasons(c: Column | str, max_length: int = 5000, on_raw: bool = False
             F.array(F.when(length > max_length, too_long), F.when(opted_out, F.lit("STOP/opt-out message")))
         )
 
-    return let(clean_text_heavy(c), reasons)
+    return let(clean_text_heavy(c) if cleaned is None else cleaned, reasons)
 
 
 def anonymise(c: Column | str, terms: Mapping[str, str]) -> Column:

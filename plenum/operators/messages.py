@@ -9,15 +9,16 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plenum.functions import text as tx
-from plenum.operators.ranking import attach_row, carry_along
+from plenum.operators.ranking import attach_row, computed
 
 NEAR = 0.9
 SURELY_NEW = 0.8
+CHUNK_ROWS = 65_536
 
 
 def exact_duplicates(
@@ -53,22 +54,15 @@ def near_duplicates(
     """
     rows = df.select(
         F.col(phone).alias("_phone"), F.col(file).alias("_file"), F.col(row).alias("_row"),
-        tx.words(tx.clean_text(F.col(text))).alias("_words"),
+        F.floor(F.col(row) / CHUNK_ROWS).alias("_chunk"), tx.words(tx.clean_text(F.col(text))).alias("_words"),
     )
-    seen = carry_along(rows, ["_phone"], ["_file", "_row"], F.col("_words"), "_previous")
-    starts = F.col("_previous").isNull() | (tx.jaccard(F.col("_words"), F.col("_previous")) <= SURELY_NEW)
-    seen = seen.withColumn("_starts", starts).drop("_previous")
-    position = F.when(F.col("_starts"), F.struct("_file", "_row"))
-    runs = carry_along(seen, ["_phone"], ["_file", "_row"], position, "_run", running_max=True)
-    # only runs with a second row can hold a near duplicate; the others leave here
-    long_runs = runs.where(~F.col("_starts")).select("_phone", "_run").distinct()
-    candidates = runs.join(long_runs, ["_phone", "_run"], "left_semi")
+    runs = _run_starts(rows)
+    # a run of one row cannot hold a near duplicate and leaves here
     return (
-        candidates.select("_phone", "_run", "_file", "_row", "_words")
+        runs.where(F.col("_in_long_run"))
         .repartition("_phone", "_run")
         .sortWithinPartitions("_phone", "_run", "_file", "_row")
         .select(
-            F.xxhash64("_phone").alias("phone_hash"),
             F.concat_ws(":", "_phone", "_run._file", "_run._row").alias("run"),
             F.col("_file").alias("file"), F.col("_row").alias("row"), F.col("_words").alias("words"),
         )
@@ -77,6 +71,51 @@ def near_duplicates(
     )
 
 
+def _run_starts(rows: DataFrame) -> DataFrame:
+    """The position that starts each row's run, and whether the run has more rows.
+
+    Rows are windowed in chunks of their row number. What has to cross a chunk border goes
+    through one summary row per chunk, so a phone holding a third of the table is still
+    spread over many tasks.
+    """
+    chunk = ["_phone", "_file", "_chunk"]
+    inside = Window.partitionBy(*chunk).orderBy("_row")
+    so_far = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    position = F.struct("_file", "_row")
+    previous = F.lag("_words").over(inside)
+    # null for the first row of a chunk: that is settled below
+    starts = F.when(previous.isNotNull(), tx.jaccard(F.col("_words"), previous) <= SURELY_NEW)
+    marked = rows.withColumn("_starts", starts)
+    local_start = F.when(F.col("_starts"), position)
+    marked = marked.withColumn("_local_run", F.max(local_start).over(so_far)).withColumn(
+        "_next_starts", F.lead("_starts").over(inside)
+    )
+    across = Window.partitionBy("_phone").orderBy("_file", "_chunk")
+    before = across.rowsBetween(Window.unboundedPreceding, -1)
+    chunks = marked.groupBy(*chunk).agg(
+        F.min_by("_words", "_row").alias("_head"), F.max_by("_words", "_row").alias("_tail"),
+        F.min("_row").alias("_first_row"), F.max("_row").alias("_last_row"), F.max("_local_run").alias("_last_run"),
+    )
+    tail = F.lag("_tail").over(across)
+    chunks = chunks.withColumn(
+        "_head_starts", F.coalesce(tx.jaccard(F.col("_head"), tail) <= SURELY_NEW, F.lit(True))
+    )
+    head_position = F.when(F.col("_head_starts"), F.struct("_file", F.col("_first_row").alias("_row")))
+    chunks = chunks.withColumn("_head_run", head_position)
+    chunks = chunks.withColumn(
+        "_open_run", F.coalesce("_head_run", F.max(F.coalesce("_last_run", "_head_run")).over(before))
+    ).withColumn("_next_head_starts", F.coalesce(F.lead("_head_starts").over(across), F.lit(True)))
+    joined = marked.join(
+        chunks.select(*chunk, "_first_row", "_last_row", "_head_starts", "_open_run", "_next_head_starts"), chunk
+    )
+    is_start = F.when(F.col("_row") == F.col("_first_row"), F.col("_head_starts")).otherwise(F.col("_starts"))
+    next_is_start = F.when(F.col("_row") == F.col("_last_row"), F.col("_next_head_starts")).otherwise(F.col("_next_starts"))
+    return joined.select(
+        "_phone", "_file", "_row", "_words", F.coalesce("_local_run", "_open_run").alias("_run"),
+        (~is_start | ~next_is_start).alias("_in_long_run"),
+    )
+
+
 def _fold_runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Walk sorted runs holding one remembered message, whatever the length of the run."""
     run, kept = None, frozenset()
@@ -132,9 +171,9 @@ def clean_messages(
 def cleaning_verdict(
     df: DataFrame, text: str, duplicate: Column, min_length: int = 10, strict_boundary: bool = False
 ) -> DataFrame:
-    df = df.withColumn("_clean", tx.clean_text(F.coalesce(F.col(text), F.lit(""))))
-    df = df.withColumn("_stop", tx.is_stop_message(F.col("_clean")))
-    df = df.withColumn("_feedback", F.when(F.col("_stop"), tx.feedback_from_stop(F.col("_clean"))))
+    df = computed(df, _clean=tx.clean_text(F.coalesce(F.col(text), F.lit(""))))
+    stop = tx.is_stop_message(F.col("_clean"))
+    df = computed(df, _stop=stop, _feedback=F.when(stop, tx.feedback_from_stop(F.col("_clean"))))
     df = df.withColumn("_kept", F.coalesce("_feedback", "_clean"))
     reason = (
         F.when(tx.strip(F.coalesce(F.col(text), F.lit(""))) == "", "empty_message")
@@ -145,7 +184,7 @@ def cleaning_verdict(
         .otherwise("kept")
     )
     return (
-        df.withColumn("removal_reason", reason)
+        computed(df, removal_reason=reason)
         .withColumn("cleaned_text", F.when(F.col("removal_reason") == "kept", F.col("_kept")))
         .drop("_clean", "_stop", "_feedback", "_kept")
     )
@@ -153,11 +192,13 @@ def cleaning_verdict(
 
 def filter_messages(df: DataFrame, text: str = "message_text", max_length: int = 5000, on_raw: bool = False) -> DataFrame:
     """Add the filter result; failing rows stay in the table with an empty filtered text."""
-    df = df.withColumn("filter_reasons", tx.filter_reasons(F.col(text), max_length, on_raw))
+    df = computed(df, _heavy=tx.clean_text_heavy(F.col(text)))
+    df = computed(df, filter_reasons=tx.filter_reasons(F.col(text), max_length, on_raw, F.col("_heavy")))
     return (
         df.withColumn("passed", F.size("filter_reasons") == 0)
-        .withColumn("filtered_text", F.when(F.col("passed"), tx.clean_text_heavy(F.col(text))).otherwise(""))
+        .withColumn("filtered_text", F.when(F.col("passed"), F.col("_heavy")).otherwise(""))
         .withColumn("is_opt_out", F.array_contains("filter_reasons", "STOP/opt-out message"))
+        .drop("_heavy")
     )
 
 

@@ -5,9 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-CHUNK_ROWS = 65_536
-
-
 def keep_first(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The first row per key by an explicit order.
 
@@ -35,35 +32,13 @@ def attach_row(df: DataFrame, row: DataFrame) -> DataFrame:
     return df.withColumn("_row", packed.scalar()).select("*", "_row.*").drop("_row")
 
 
-def carry_along(
-    df: DataFrame,
-    keys: list[str],
-    order: list[str],
-    value: Column,
-    output: str,
-    running_max: bool = False,
-) -> DataFrame:
-    """Per key, the value of the row before (or the running maximum so far).
+def computed(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns that are evaluated once per row, whatever is done with them later.
 
-    ``order`` ends with an integer row number. Rows are windowed in chunks of that number,
-    and only one row per chunk is windowed per key, so a key holding a third of the table is
-    still spread over many tasks.
+    A filter on a plain computed column is pushed below it as a copy of the expression, and
+    projections are merged; for costly text rules that repeats the work many times over.
+    Columns that come out of a generator stay what they are.
     """
-    *leading, row = order
-    chunk_keys = [*keys, *leading, "_chunk"]
-    df = df.withColumn("_chunk", F.floor(F.col(row) / CHUNK_ROWS)).withColumn("_value", value)
-    inside = Window.partitionBy(*chunk_keys).orderBy(row)
-    across = Window.partitionBy(*keys).orderBy(*leading, "_chunk")
-    if running_max:
-        local = F.max("_value").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-        last = F.max("_value")
-        before = F.max("_last").over(across.rowsBetween(Window.unboundedPreceding, -1))
-    else:
-        local = F.lag("_value").over(inside)
-        last = F.max_by("_value", row)
-        before = F.lag("_last").over(across)
-    chunks = df.groupBy(*chunk_keys).agg(last.alias("_last")).withColumn("_before", before)
-    joined = df.withColumn("_local", local).join(chunks.drop("_last"), chunk_keys, "left")
-    return joined.withColumn(output, F.coalesce("_local", "_before")).drop(
-        "_chunk", "_value", "_local", "_before"
-    )
+    row = F.struct(*[c.alias(name) for name, c in columns.items()])
+    kept = [F.col(f"`{c}`") for c in df.columns if c not in columns]
+    return df.select(*kept, F.inline(F.array(row)))

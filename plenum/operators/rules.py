@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plenum.functions import fixed
-from plenum.functions.text import _col, any_of, issue_key, strip
+from plenum.functions.text import _col, any_of, issue_key, let, strip
+from plenum.operators.ranking import computed
 
 ISSUE_TYPE = (
     "array<struct<primary_category:string,secondary_category:string,stance:string,"
@@ -81,25 +82,40 @@ def police_rule(issues: Column | str, c: Column | str, strict_parity: bool = Fal
 
 def refine_issues(issues: Column | str, c: Column | str) -> Column:
     """Business permits bring zoning in as a root cause."""
-    listed = _col(issues)
-    business = F.exists(
-        listed,
-        lambda i: i["primary_category"].contains("economic_development") | i["secondary_category"].contains("business"),
-    )
-    zoning = F.exists(listed, lambda i: i["secondary_category"].contains("zoning_and_permits"))
     permit = F.lower(_col(c)).rlike(f"(?d){fixed.BUSINESS_PERMIT_PATTERN}")
     extra = F.array(_issue(fixed.BUSINESS_PERMIT_ISSUE)).cast(ISSUE_TYPE)
-    return F.when(permit & business & ~zoning, F.concat(listed, extra)).otherwise(listed)
+
+    def refined(listed: Column) -> Column:
+        business = F.exists(
+            listed,
+            lambda i: i["primary_category"].contains("economic_development") | i["secondary_category"].contains("business"),
+        )
+        zoning = F.exists(listed, lambda i: i["secondary_category"].contains("zoning_and_permits"))
+        return F.when(permit & business & ~zoning, F.concat(listed, extra)).otherwise(listed)
+
+    return let(_col(issues), refined)
 
 
 def apply_rules(issues: Column | str, c: Column | str, strict_parity: bool = False) -> Column:
     """Add required issues that are missing, drop avoided ones, then the police rule."""
-    given = F.coalesce(_col(issues), _no_issues())
-    present = F.transform(given, lambda i: F.lower(issue_key(i)))
-    missing = F.filter(required_issues(c), lambda i: ~F.array_contains(present, F.lower(issue_key(i))))
-    avoided = avoided_categories(c)
-    kept = F.filter(F.concat(given, missing), lambda i: ~F.array_contains(avoided, F.lower(issue_key(i))))
-    return police_rule(kept, c, strict_parity)
+    facts = F.struct(
+        F.coalesce(_col(issues), _no_issues()).alias("given"),
+        required_issues(c).alias("required"),
+        avoided_categories(c).alias("avoided"),
+        (mentions_ebike(c) & ~mentions_enforcement(c)).alias("no_police"),
+    )
+
+    def combined(f: Column) -> Column:
+        present = F.transform(f["given"], lambda i: F.lower(issue_key(i)))
+        missing = F.filter(f["required"], lambda i: ~F.array_contains(present, F.lower(issue_key(i))))
+        kept = F.filter(
+            F.concat(f["given"], missing), lambda i: ~F.array_contains(f["avoided"], F.lower(issue_key(i)))
+        )
+        if strict_parity:
+            return kept
+        return F.filter(kept, lambda i: ~(i["secondary_category"].contains("police") & f["no_police"]))
+
+    return let(facts, combined)
 
 
 def overall_sentiment(issues: Column | str) -> Column:
@@ -150,10 +166,10 @@ def classify(
     An uncategorised message gets no issues.
     """
     start = F.col(issues) if issues else _no_issues()
-    df = df.withColumn("uncategorized_reason", uncategorised_reason(text))
+    df = computed(df, uncategorized_reason=uncategorised_reason(text))
     df = df.withColumn("should_be_uncategorized", F.col("uncategorized_reason").isNotNull())
     found = refine_issues(apply_rules(start, text, strict_parity), text)
-    df = df.withColumn("issues", F.when(F.col("should_be_uncategorized"), _no_issues()).otherwise(found))
+    df = computed(df, issues=F.when(F.col("should_be_uncategorized"), _no_issues()).otherwise(found))
     return (
         df.withColumn("overall_sentiment", overall_sentiment("issues"))
         .withColumn("message_quality", message_quality("issues", text))
@@ -214,10 +230,13 @@ def findings(c: Column | str, issues: Column | str, is_uncategorised: Column | s
                            F.concat(F.lit("Missing required category: "), issue_key(i))),
     )
     avoided = avoided_categories(text)
-    used = F.transform(
-        F.filter(listed, lambda i: F.array_contains(avoided, issue_key(i))),
-        lambda i: _finding("warning", "avoided_category_used",
-                           F.concat(F.lit("Used category that should be avoided: "), issue_key(i))),
+    used = let(
+        avoided,
+        lambda keys: F.transform(
+            F.filter(listed, lambda i: F.array_contains(keys, issue_key(i))),
+            lambda i: _finding("warning", "avoided_category_used",
+                               F.concat(F.lit("Used category that should be avoided: "), issue_key(i))),
+        ),
     )
     zoning_cause = F.exists(
         listed, lambda i: i["is_root_cause"] & F.lower(i["secondary_category"]).contains("zoning")
@@ -249,7 +268,7 @@ def findings(c: Column | str, issues: Column | str, is_uncategorised: Column | s
 
 def validate(df: DataFrame, text: str = "message_text") -> DataFrame:
     """Add findings, validity and the confidence they suggest."""
-    df = df.withColumn("findings", findings(text, "issues", "should_be_uncategorized"))
+    df = computed(df, findings=findings(text, "issues", "should_be_uncategorized"))
     errors = F.size(F.filter("findings", lambda f: f["severity"] == "error"))
     warned = F.exists("findings", lambda f: f["severity"] == "warning")
     adjusted = F.when(errors > 0, F.greatest(F.lit(0.1), F.col("confidence_score") - errors * 0.2)).when(
