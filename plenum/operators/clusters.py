@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -126,22 +127,47 @@ def silhouette(df: DataFrame, cluster: str = "cluster_id", vector: str = "embedd
 
 
 def silhouette_rows(df: DataFrame, cluster: str = "cluster_id", vector: str = "embedding") -> DataFrame:
-    """Silhouette as one row, by the same closed form as an expression.
+    """Silhouette as one row, by the same closed form as an expression."""
+    return grouping_metrics(df, cluster, vector).select("silhouette")
 
-    The mean distance of a point to a cluster is 1 minus its dot product with the cluster's
-    unit sum over its size; the sums are one small array of k entries that every point reads.
+
+def grouping_metrics(df: DataFrame, cluster: str = "cluster_id", vector: str = "embedding", cap: float = 1000.0, epsilon: float = 1e-10) -> DataFrame:
+    """All metrics of one grouping as one row, from two passes over the points.
+
+    The first pass adds up each cluster; sizes, distances inside and between clusters follow
+    from those k sums. The second pass is the silhouette: the mean distance of a point to a
+    cluster is 1 minus its dot product with the cluster's unit sum over its size, so every
+    point reads one array of k sums and no other point.
     """
-    unit = df.where(F.col(vector).isNotNull()).select(F.col(cluster).alias("_k"), l2_normalise(vector).alias("_u"))
-    sums = _sums(df, cluster, vector).select(F.col(cluster).alias("k"), "n", F.col("unit_sum").alias("s"))
-    # one row holding k entries
-    packed = sums.agg(F.collect_list(F.struct("k", "n", "s")).alias("_clusters"))
-    points = attach_row(unit, packed)
+    s = _sums(df, cluster, vector).withColumn("_centre", l2_normalise("vector_sum"))
+    n = F.col("n").cast("double")
+    inner = F.when(F.col("n") > 1, n - dot("unit_sum", "_centre")).otherwise(F.lit(0.0))
+    facts = s.agg(
+        F.count("*").alias("n_clusters"), F.min("n").alias("min_size"), F.max("n").alias("max_size"),
+        F.avg("n").alias("mean_size"), F.stddev_pop("n").alias("std_size"),
+        F.sum((n * n - dot("unit_sum", "unit_sum")) / 2).alias("wcscd"), F.sum(inner).alias("within_distance"),
+        vector_to_array(Summarizer.sum(array_to_vector("_centre"))).alias("_all"),
+        # k entries
+        F.collect_list(F.struct(F.col(cluster).alias("k"), "n", F.col("unit_sum").alias("s"))).alias("_clusters"),
+    )
+    points = attach_row(
+        df.where(F.col(vector).isNotNull()).select(F.col(cluster).alias("_k"), l2_normalise(vector).alias("_u")), facts
+    )
     own = F.get(F.filter("_clusters", lambda c: c["k"] == F.col("_k")), F.lit(0))
     others = F.filter("_clusters", lambda c: c["k"] != F.col("_k"))
-    inside = (own["n"] - dot("_u", own["s"])) / (own["n"] - 1)
+    inside = (own["n"] - dot("_u", own["s"])) / F.greatest(own["n"] - 1, F.lit(1))
     outside = F.array_min(F.transform(others, lambda c: 1 - dot("_u", c["s"]) / c["n"]))
     value = F.when(own["n"] == 1, 0.0).otherwise(F.try_divide(outside - inside, F.greatest(outside, inside)))
-    return points.agg(F.avg(F.coalesce(value, F.lit(0.0))).alias("silhouette"))
+    names = [c for c in facts.columns if c != "_clusters"]
+    one = points.agg(F.avg(F.coalesce(value, F.lit(0.0))).alias("silhouette"), *[F.first(c).alias(c) for c in names])
+    k = F.col("n_clusters").cast("double")
+    ratio = F.when(k < 2, 0.0).when(F.col("within_distance") < epsilon, cap).otherwise(F.col("between_distance") / F.col("within_distance"))
+    return (
+        one.withColumn("between_distance", (k * k - dot("_all", "_all")) / 2)
+        .withColumn("between_within_ratio", ratio)
+        .withColumn("cv", F.try_divide("std_size", "mean_size"))
+        .drop("_all")
+    )
 
 
 def cluster_sizes(df: DataFrame, cluster: str = "cluster_id") -> DataFrame:
@@ -182,19 +208,10 @@ def k_range(n: int, min_k: int = 5, max_k: int = 50, max_cv: float = 1.0) -> KRa
 def k_metrics(df: DataFrame, ks: list[int], vector: str = "reduced", seed: int = 42) -> DataFrame:
     """One row of metrics per k; the vectors are written once and read by every fit."""
     rows = cut_lineage(df.where(F.col(vector).isNotNull()).select(F.col(vector).alias("v")))
-    out = None
-    for k in ks:
-        labelled = cluster_k(rows, k, "v", seed=seed)
-        row = cluster_sizes(labelled)
-        for part in (
-            between_within_ratio(labelled, vector="v"),
-            within_cluster_distance(labelled, vector="v").agg(F.sum("wcscd").alias("wcscd")),
-            silhouette_rows(labelled, vector="v"),
-        ):
-            row = attach_row(row, part)
-        row = row.withColumn("k", F.lit(k))
-        out = row if out is None else out.unionByName(row)
-    return out
+    rows_per_k = [
+        grouping_metrics(cluster_k(rows, k, "v", seed=seed), vector="v").withColumn("k", F.lit(k)) for k in ks
+    ]
+    return reduce(DataFrame.unionByName, rows_per_k)
 
 
 def _ladder(value: Column, steps: list[tuple[float, int]], floor: int, falling: bool = False) -> Column:

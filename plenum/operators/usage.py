@@ -26,8 +26,8 @@ def usage_cost(log: DataFrame, prices: DataFrame | None = None) -> DataFrame:
     guessed = F.floor(total * 0.7).cast("bigint")
     prompt = F.when(only_total, guessed).otherwise(F.coalesce("prompt_tokens", F.lit(0)))
     completion = F.when(only_total, total - guessed).otherwise(F.coalesce("completion_tokens", F.lit(0)))
-    calls = log.withColumn("total_tokens", total).withColumn("prompt_tokens", prompt.cast("bigint")).withColumn(
-        "completion_tokens", completion.cast("bigint")
+    calls = log.withColumns(
+        {"total_tokens": total, "prompt_tokens": prompt.cast("bigint"), "completion_tokens": completion.cast("bigint")}
     )
     default = next(p for p in fixed.MODEL_PRICES if p[0] == fixed.DEFAULT_MODEL)
     if prices is None:
