@@ -79,10 +79,12 @@ def number_rows(df: DataFrame, first: int = 2) -> DataFrame:
 
 
 def list_files(spark: SparkSession, folder: str, pattern: str = "*.csv") -> DataFrame:
-    """Files with their size and stem; contents are not read."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
-    name = F.substring_index("path", "/", -1)
-    return files.select("path", name.alias("file_name"), F.regexp_replace(name, r"\.[^.]*$", "").alias("stem"), F.col("length").alias("size"))
+    """Files with their size and stem, empty ones too (Spark's own sources leave those out)."""
+    glob = spark._jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/{pattern}")
+    found = glob.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(glob) or []
+    rows = [(s.getPath().toString(), s.getPath().getName(), s.getLen()) for s in found if s.isFile()]
+    files = spark.createDataFrame(rows, "path string, file_name string, size bigint")
+    return files.withColumn("stem", F.regexp_replace("file_name", r"\.[^.]*$", ""))
 
 
 def select_sources(files: DataFrame, source: str, named: dict[str, list[str]] | None = None) -> DataFrame:
