@@ -64,7 +64,7 @@ def near_duplicates(
         .sortWithinPartitions("_phone", "_run", "_file", "_row")
         .select(
             F.concat_ws(":", "_phone", "_run._file", "_run._row").alias("run"),
-            F.col("_file").alias("file"), F.col("_row").alias("row"), F.col("_words").alias("words"),
+            F.col("_file").alias("file"), F.col("_row").cast("bigint").alias("row"), F.col("_words").alias("words"),
         )
         .mapInPandas(_fold_runs, "file string, row bigint")
         .select(F.col("file").alias(file), F.col("row").alias(row), F.lit(True).alias("is_near_duplicate"))
@@ -128,7 +128,8 @@ def _fold_runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 rows.append(row)
             else:
                 run, kept = name, current
-        yield pd.DataFrame({"file": files, "row": pd.Series(rows, dtype="int64")})
+        if rows:
+            yield pd.DataFrame({"file": files, "row": rows})
 
 
 def near_duplicate(words: frozenset, kept: frozenset) -> bool:
