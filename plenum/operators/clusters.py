@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plenum.functions import fixed
+from plenum.functions.text import let
 from plenum.functions.vectors import dot, l2_normalise, norm
 from plenum.operators.graph import connected_components
 from plenum.operators.matching import _matrix, _unit
@@ -153,11 +154,19 @@ def grouping_metrics(df: DataFrame, cluster: str = "cluster_id", vector: str = "
     points = attach_row(
         df.where(F.col(vector).isNotNull()).select(F.col(cluster).alias("_k"), l2_normalise(vector).alias("_u")), facts
     )
-    own = F.get(F.filter("_clusters", lambda c: c["k"] == F.col("_k")), F.lit(0))
-    others = F.filter("_clusters", lambda c: c["k"] != F.col("_k"))
-    inside = (own["n"] - dot("_u", own["s"])) / F.greatest(own["n"] - 1, F.lit(1))
-    outside = F.array_min(F.transform(others, lambda c: 1 - dot("_u", c["s"]) / c["n"]))
-    value = F.when(own["n"] == 1, 0.0).otherwise(F.try_divide(outside - inside, F.greatest(outside, inside)))
+    # one dot product per cluster; everything after works on k numbers
+    near = F.transform(
+        "_clusters", lambda c: F.struct((c["k"] == F.col("_k")).alias("own"), c["n"].alias("n"), dot("_u", c["s"]).alias("d"))
+    )
+
+    def distances(c: Column) -> Column:
+        own = F.get(F.filter(c, lambda x: x["own"]), F.lit(0))
+        others = F.transform(F.filter(c, lambda x: ~x["own"]), lambda x: 1 - x["d"] / x["n"])
+        inside = (own["n"] - own["d"]) / F.greatest(own["n"] - 1, F.lit(1))
+        return F.struct(own["n"].alias("n"), inside.alias("a"), F.array_min(others).alias("b"))
+
+    points = points.select("*", F.inline(F.array(let(near, distances))))
+    value = F.when(F.col("n") == 1, 0.0).otherwise(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")))
     names = [c for c in facts.columns if c != "_clusters"]
     one = points.agg(F.avg(F.coalesce(value, F.lit(0.0))).alias("silhouette"), *[F.first(c).alias(c) for c in names])
     k = F.col("n_clusters").cast("double")
@@ -268,7 +277,8 @@ def threshold_pairs(df: DataFrame, on: list[str], key: str, vector: str, thresho
     The block is cut into tiles and every unordered tile pair is one group.
     """
     rows = df.where(F.col(vector).isNotNull()).select(*on, F.col(key).alias("id"), F.col(vector).alias("vector"))
-    counts = rows.groupBy(*on).agg(F.ceil(F.count("*") / tile).cast("int").alias("_tiles"))
+    # rows without a vector are counted too: then this scan need not read the vectors
+    counts = df.groupBy(*on).agg(F.ceil(F.count("*") / tile).cast("int").alias("_tiles"))
     placed = rows.join(counts, on).withColumn("_t", F.pmod(F.xxhash64("id"), "_tiles").cast("int"))
     others = F.transform(
         F.sequence(F.lit(0), F.col("_tiles") - 1),
@@ -355,7 +365,8 @@ def density_clusters(
     moves rows times tiles, not rows squared. Clusters under ``min_size`` become noise.
     """
     rows = df.where(F.col(vector).isNotNull()).select(*on, F.col(key).alias("id"), F.col(vector).alias("vector"))
-    counts = rows.groupBy(*on).agg(F.ceil(F.count("*") / tile).cast("int").alias("_tiles"))
+    # rows without a vector are counted too: then this scan need not read the vectors
+    counts = df.groupBy(*on).agg(F.ceil(F.count("*") / tile).cast("int").alias("_tiles"))
     placed = rows.join(counts, on).withColumn("_t", F.pmod(F.xxhash64("id"), "_tiles").cast("int"))
     id_type = rows.schema["id"].dataType
 

@@ -77,10 +77,12 @@ def block_topk(
     c = candidates.select(
         *[F.col(c).alias(c) for c in on], F.col(candidate_id).alias("candidate_id"), F.col(candidate_vector).alias("vector"), *pair.candidate_columns
     ).where(F.col("vector").isNotNull())
-    tiles = (
-        q.groupBy(*on).agg(F.ceil(F.count("*") / query_tile).cast("int").alias("_q_tiles"))
-        .join(c.groupBy(*on).agg(F.ceil(F.count("*") / candidate_tile).cast("int").alias("_c_tiles")), on)
-    )
+
+    def tile_counts(df: DataFrame, size: int, name: str) -> DataFrame:
+        # counted without looking at the vectors, so this scan reads the block columns only
+        return df.groupBy(*[F.col(b).alias(b) for b in on]).agg(F.ceil(F.count("*") / size).cast("int").alias(name))
+
+    tiles = tile_counts(queries, query_tile, "_q_tiles").join(tile_counts(candidates, candidate_tile, "_c_tiles"), on)
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     q = q.join(tiles, on).withColumn("_qt", F.pmod(F.xxhash64("query_id"), "_q_tiles")).withColumn("_ct", every("_c_tiles"))
     c = c.join(tiles, on).withColumn("_ct", F.pmod(F.xxhash64("candidate_id"), "_c_tiles")).withColumn("_qt", every("_q_tiles"))
