@@ -179,8 +179,11 @@ def _kmeans(spark, d):
 
 
 def _choose_k(spark, d):
+    """All k from 8 to 12, scored; the range is the caller's choice."""
     reduced = cut_lineage(cl.reduce_pca(v.table(spark, d, "embeddings"), dims=16)[0])
-    return cl.score_k(cl.k_metrics(reduced, [4, 8, 10]), reduced.count())
+    n = reduced.count()
+    span = cl.k_range(n, min_k=8, max_k=12)
+    return cl.score_k(cl.k_metrics(reduced, list(range(span.min_k, span.max_k + 1))), n)
 
 
 def _best_vector(spark, d):

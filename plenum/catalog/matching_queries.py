@@ -12,7 +12,7 @@ from plenum.functions import vectors as vec
 from plenum.operators import districts as ds
 from plenum.operators import matching as mt
 from plenum.operators import quotes as qt
-from plenum.operators.ranking import attach_row
+from plenum.operators.ranking import attach_row, top_n
 from plenum.plans import district_matching as dm
 from plenum.plans import race_matching as rm
 from plenum.session import cut_lineage
@@ -275,10 +275,13 @@ def _missing(spark, d):
 
 
 def _quotes(spark, d):
-    """Quotes cut from conversation turns are attributed to the turns of their conversation."""
+    """First sentences of a conversation's first five turns, to be found again among all its turns.
+
+    Five is the number of quotes a theme carries.
+    """
     c = v.table(spark, d, "conversations")
     messages = c.select(F.col("conv_id").alias("cluster_id"), F.col("turn").alias("message_id"), F.col("role").alias("phone_number"), F.col("text").alias("message_text"))
-    quotes = c.where("turn < 3").select(F.col("conv_id").alias("cluster_id"), F.col("turn").alias("quote_id"), F.split("text", r"\. ")[0].alias("quote"))
+    quotes = top_n(c, ["conv_id"], [F.col("turn")], 5).select(F.col("conv_id").alias("cluster_id"), F.col("turn").alias("quote_id"), F.split("text", r"\. ")[0].alias("quote"))
     return messages, quotes
 
 
@@ -288,7 +291,7 @@ def _contained(spark, d):
     return out.select("cluster_id", "quote_id", "message_id", "phone_number")
 
 
-CONTAINED = f"""WITH m AS (SELECT conv_id, turn, role, lower(text) AS t FROM conversations), qs AS (SELECT conv_id, turn AS quote_id, {q.strip("lower(split_part(text, '. ', 1))")} AS quote FROM conversations WHERE turn < 3)
+CONTAINED = f"""WITH m AS (SELECT conv_id, turn, role, lower(text) AS t FROM conversations), qs AS (SELECT conv_id, turn AS quote_id, {q.strip("lower(split_part(text, '. ', 1))")} AS quote FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn) <= 5)
   SELECT qs.conv_id AS cluster_id, quote_id, m.turn AS message_id, role AS phone_number FROM qs JOIN m ON m.conv_id = qs.conv_id AND contains(t, quote) QUALIFY row_number() OVER (PARTITION BY qs.conv_id, quote_id ORDER BY m.turn) = 1"""
 
 

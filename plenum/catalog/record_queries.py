@@ -63,13 +63,13 @@ def clean_results(spark, d):
 
 
 def _temporal_match(spark, d):
-    results = clean_results(spark, d).where(F.col("race_id") % 2 == 0)
-    return rc.temporal_match(expanded(spark, d), results.where(F.col("election_date") < "2024-12-10")).select(
+    results = clean_results(spark, d).where(F.col("election_date") < "2024-12-10")
+    return rc.temporal_match(expanded(spark, d), results).select(
         "candidacy_id", "election_type", "election_date", "used_general_date"
     )
 
 
-TEMPORAL_MATCH = f"""WITH {CLEANED}, {CLEAN_RESULTS_CTE}, days AS (SELECT DISTINCT election_date AS day FROM results WHERE race_id % 2 = 0 AND election_date < DATE '2024-12-10')
+TEMPORAL_MATCH = f"""WITH {CLEANED}, {CLEAN_RESULTS_CTE}, days AS (SELECT DISTINCT election_date AS day FROM results WHERE election_date < DATE '2024-12-10')
   SELECT candidacy_id, election_type, election_date, NOT hit AS used_general_date FROM (SELECT *, election_date IN (SELECT day FROM days) AS hit,
   coalesce(election_type = 'runoff' AND general_election_date IN (SELECT day FROM days), FALSE) AS general_hit FROM expanded) WHERE hit OR general_hit"""
 

@@ -150,22 +150,30 @@ CHECKS = """SELECT o_orderkey, concat_ws(';', CASE WHEN o_orderkey % 2 <> 0 THEN
 
 
 def _event_scores(spark, d):
-    """Each customer is a run, its orders are the events."""
-    o = v.table(spark, d, "orders")
-    k = F.col("o_orderkey")
-    task = F.struct(F.concat(F.lit(" Event "), (k % 6).cast("string")).alias("title"), F.when(k % 7 != 0, F.date_format("o_orderdate", "yyyy-MM-dd")).otherwise("soon").alias("date"),
-                    F.when(k % 3 == 0, "https://x.org").when(k % 3 == 1, "ftp://x.org").alias("url"))
-    # a run lists its own events, as long as one person's calendar
-    runs = o.groupBy(F.col("o_custkey").alias("run_id")).agg(F.collect_list(task).alias("tasks")).withColumn("election_date", F.lit("2000-06-01"))
-    runs = runs.withColumn("expected", F.array(*[F.struct(F.lit(f"event {i}").alias("title")) for i in (0, 1, 9)]))
+    """Each order is a run that lists up to 13 events."""
+    k, n = F.col("o_orderkey"), F.col("o_orderkey") % 14
+
+    def task(i):
+        seed = k + i
+        title = F.concat(F.lit(" Event "), (seed % 6).cast("string"))
+        day = F.when(seed % 7 != 0, F.date_format(F.date_add("o_orderdate", (i * 30).cast("int")), "yyyy-MM-dd")).otherwise("soon")
+        return F.struct(title.alias("title"), day.alias("date"), F.when(seed % 3 == 0, "https://x.org").when(seed % 3 == 1, "ftp://x.org").alias("url"))
+
+    none = F.array().cast("array<struct<title:string,date:string,url:string>>")
+    tasks = F.when(n > 0, F.transform(F.sequence(F.lit(0).cast("bigint"), n - 1), task)).otherwise(none)
+    expected = F.array(*[F.struct(F.lit(f"event {i}").alias("title")) for i in (0, 1, 9)])
+    runs = v.table(spark, d, "orders").select(k.alias("run_id"), tasks.alias("tasks"), F.lit("2000-06-01").alias("election_date"), expected.alias("expected"))
     s = us.event_list_scores(runs, date(1996, 1, 1))
     return s.select("run_id", *[F.round(c, 6).alias(c) for c in s.columns if c != "run_id"])
 
 
-EVENT_SCORES = """WITH r AS (SELECT o_custkey AS run_id, count(*) AS n, count(*) FILTER (o_orderkey % 7 <> 0 AND o_orderdate BETWEEN DATE '1996-01-01' AND DATE '2000-06-01') AS dated,
-    count(*) FILTER (o_orderkey % 3 <> 1) AS linked, count(DISTINCT o_orderkey % 6) AS titles, count(DISTINCT CASE WHEN o_orderkey % 6 IN (0, 1) THEN o_orderkey % 6 END) AS shared FROM orders GROUP BY 1)
-  SELECT run_id, round(CASE WHEN n BETWEEN 5 AND 8 THEN 1.0::DOUBLE WHEN n < 5 THEN n / 5 ELSE greatest(0.0::DOUBLE, 1.0::DOUBLE - (n - 8) / 8) END, 6) AS count_in_range, round(dated / n, 6) AS dates_in_range,
-  round(linked / n, 6) AS urls_valid, round(shared / (titles + 3 - shared), 6) AS title_overlap FROM r"""
+EVENT_SCORES = """WITH t AS (SELECT o_orderkey, o_orderdate, unnest(range(o_orderkey % 14)) AS i FROM orders),
+  r AS (SELECT o_orderkey AS run_id, count(i) AS n, count(*) FILTER (i IS NOT NULL AND (o_orderkey + i) % 7 <> 0 AND o_orderdate::DATE + (i * 30)::INTEGER BETWEEN DATE '1996-01-01' AND DATE '2000-06-01') AS dated,
+    count(*) FILTER (i IS NOT NULL AND (o_orderkey + i) % 3 <> 1) AS linked, count(DISTINCT (o_orderkey + i) % 6) AS titles, count(DISTINCT CASE WHEN (o_orderkey + i) % 6 IN (0, 1) THEN (o_orderkey + i) % 6 END) AS shared
+    FROM orders LEFT JOIN t USING (o_orderkey, o_orderdate) GROUP BY o_orderkey)
+  SELECT run_id, round(CASE WHEN n BETWEEN 5 AND 8 THEN 1.0::DOUBLE WHEN n < 5 THEN n / 5 ELSE greatest(0.0::DOUBLE, 1.0::DOUBLE - (n - 8) / 8) END, 6) AS count_in_range,
+  coalesce(round(dated / nullif(n, 0), 6), 0.0) AS dates_in_range, coalesce(round(linked / nullif(n, 0), 6), 0.0) AS urls_valid,
+  CASE WHEN n = 0 THEN 0.0 ELSE round(shared / (titles + 3 - shared), 6) END AS title_overlap FROM r"""
 
 
 def _scoped(spark, d):
