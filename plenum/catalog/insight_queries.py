@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from plenum.catalog import rule_queries as rq
+from plenum.catalog import sqltext as q
+from plenum.catalog import text_queries as tq
 from plenum.catalog import views as v
 from plenum.operators import insights as ins
 from plenum.operators import polls as pl
@@ -266,6 +269,18 @@ def _issue_report(spark, d):
     return r.select("issue", "unique_respondents", "total_mentions", F.round("urgency_score", 4).alias("urgency_score"), F.array_join("sample_messages", "|").alias("samples"), F.array_join("key_concerns", "|").alias("concerns"))
 
 
+INBOUND_VERDICTS = tq.VERDICTS.replace("messages AS (", "all_messages AS (", 1).replace(
+    v.messages_sql().split("messages AS (", 1)[1], v.messages_sql().split("messages AS (", 1)[1] + ",\n  messages AS (SELECT * FROM all_messages WHERE upper(send_direction) = 'INBOUND')", 1)
+FOUND = f"""mentions AS (SELECT i.message_id, {q.phone('k.contact_phone_number')} AS phone, k.message_text, p || '/' || s AS issue, st AS stance, c AS specific_concern,
+    row_number() OVER (PARTITION BY i.message_id ORDER BY pos) AS idx FROM issues i JOIN kept_messages k USING (message_id) WHERE {q.phone('k.contact_phone_number')} <> '')"""
+MESSAGE_INSIGHTS = f"""WITH {INBOUND_VERDICTS}, kept_messages AS (SELECT message_id, contact_phone_number, kept AS message_text FROM verdicts WHERE removal_reason = 'kept'),
+  {rq.classified_sql('kept_messages', with_given=False)}, {INSIGHTS.replace(N, FOUND)},
+  firsts AS (SELECT * FROM mentions QUALIFY row_number() OVER (PARTITION BY issue, phone ORDER BY message_id, idx) = 1),
+  sm AS (SELECT issue, string_agg(left(message_text, 100), '|' ORDER BY message_id, idx) AS samples FROM (SELECT * FROM firsts QUALIFY row_number() OVER (PARTITION BY issue ORDER BY message_id, idx) <= 5) GROUP BY issue),
+  fc AS (SELECT * FROM mentions WHERE specific_concern <> '' QUALIFY row_number() OVER (PARTITION BY issue, specific_concern ORDER BY message_id, idx) = 1),
+  kc AS (SELECT issue, string_agg(specific_concern, '|' ORDER BY message_id, idx) AS concerns FROM (SELECT * FROM fc QUALIFY row_number() OVER (PARTITION BY issue ORDER BY message_id, idx) <= 5) GROUP BY issue)
+  SELECT issue, unique_respondents, total_mentions, round(urgency_score, 4) AS urgency_score, samples, concerns FROM insights LEFT JOIN sm USING (issue) LEFT JOIN kc USING (issue)"""
+
 QUERIES = {
     "issue_insights": (_insights, f"WITH {INSIGHTS} SELECT * EXCLUDE (urgency_score), round(urgency_score, 6) AS urgency_score FROM insights"),
     "issue_insights_by_message": (lambda s, d: _insights(s, d, "message"), INSIGHTS_MESSAGE),
@@ -294,5 +309,5 @@ QUERIES = {
     "wide_cluster_export": (_wide, WIDE),
     "cluster_maps": (_cluster_maps, CLUSTER_MAPS),
     "enriched_export": (_enriched, ENRICHED),
-    "message_insights": (_issue_report, None),
+    "message_insights": (_issue_report, MESSAGE_INSIGHTS),
 }

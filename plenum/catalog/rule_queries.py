@@ -25,14 +25,8 @@ def _reason_sql() -> str:
     return "CASE " + " ".join(f"WHEN {q.matches(s, tx.any_of(p))} THEN {v.quoted(r)}" for r, p in fixed.UNCATEGORIZED_RULES) + " END"
 
 
-def _given_sql() -> str:
-    """Issues that some messages already carry: police, general taxes, or business."""
-    return """(message_id, 'public_safety', 'police', 'negative', 'police problem is bad', FALSE, 0, message_id % 3 = 0),
-      (message_id, 'government_operations', 'budget_and_taxes', 'positive', 'taxes too high', FALSE, 1, message_id % 4 = 0),
-      (message_id, 'economic_development', 'jobs_and_business', 'requesting', 'angry business love', FALSE, 2, message_id % 5 = 0)"""
-
-
 def _given():
+    """Issues that some messages already carry: police, general taxes, or business."""
     def one(p, s, st, c):
         return F.struct(F.lit(p).alias("primary_category"), F.lit(s).alias("secondary_category"), F.lit(st).alias("stance"),
                         F.lit(c).alias("specific_concern"), F.lit(False).alias("is_root_cause"))
@@ -48,7 +42,7 @@ def classified(spark, d):
     return rules.classify(v.messages(spark, d).withColumn("given", _given()), issues="given")
 
 
-def classified_sql() -> str:
+def classified_sql(source: str = "messages", with_given: bool = True) -> str:
     required, n = [], 10
     for rule in fixed.CATEGORY_RULES:
         for p, s, st, c, root in rule["required"]:
@@ -57,10 +51,10 @@ def classified_sql() -> str:
     tax = _hit(fixed.CATEGORY_RULES[1]["triggers"])
     ebike, force = _hit(fixed.EBIKE_TRIGGERS), _hit(fixed.ENFORCEMENT_WORDS)
     p, s, st, c, root = fixed.BUSINESS_PERMIT_ISSUE
-    return f"""{M}, reasoned AS (SELECT *, {_reason_sql()} AS reason FROM messages),
+    return f"""reasoned AS (SELECT *, {_reason_sql()} AS reason FROM {source}),
   given AS (SELECT message_id, message_text, reason, u.p, u.s, u.st, u.c, FALSE AS root, u.pos FROM reasoned, (VALUES
     (3, 'public_safety', 'police', 'negative', 'police problem is bad', 0), (4, 'government_operations', 'budget_and_taxes', 'positive', 'taxes too high', 1),
-    (5, 'economic_development', 'jobs_and_business', 'requesting', 'angry business love', 2)) AS u(m, p, s, st, c, pos) WHERE message_id % u.m = 0),
+    (5, 'economic_development', 'jobs_and_business', 'requesting', 'angry business love', 2)) AS u(m, p, s, st, c, pos) WHERE {with_given} AND message_id % u.m = 0),
   required AS ({' UNION ALL '.join(required)}),
   added AS (SELECT * FROM given UNION ALL SELECT * FROM required),
   ruled AS (SELECT * FROM added WHERE NOT (p = 'government_operations' AND s = 'budget_and_taxes' AND {tax})
@@ -81,7 +75,7 @@ def classified_sql() -> str:
     WHEN n > 0 AND message_quality = 'substantive' THEN 'policy_feedback' ELSE 'general_complaint' END AS content_type FROM classified)"""
 
 
-CLASSIFIED = classified_sql()
+CLASSIFIED = f"{M}, {classified_sql()}"
 
 
 def _classify(spark, d):

@@ -17,7 +17,7 @@ from plenum.functions.names import is_municipal
 from plenum.functions.text import _col, nullif_blank
 from plenum.operators.ranking import top_n
 
-QUERY_TILE = 8_192
+QUERY_TILE = 4_096
 CANDIDATE_TILE = 32_768
 DIGITS = 9
 
