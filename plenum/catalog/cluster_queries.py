@@ -8,6 +8,7 @@ from plenum.catalog import views as v
 from plenum.functions.vectors import best_vector, dot
 from plenum.operators import clusters as cl
 from plenum.operators import polls as pl
+from plenum.plans import theme_discovery as td
 from plenum.session import cut_lineage
 
 # sums per label and dimension: what every closed form below starts from
@@ -200,7 +201,27 @@ def _attach(spark, d):
     return cl.attach_vectors(docs, "text", vectors=vectors).select("doc_id", F.round(F.get("embedding", F.lit(0)).cast("double"), 6).alias("first"))
 
 
+def discovered(spark, d):
+    """Vector records as atomic messages, clustered and merged; every 13th is an opt-out."""
+    e = v.table(spark, d, "embeddings")
+    atoms = e.select(
+        F.col("vec_id").alias("atomic_id"), F.concat(F.lit("poll-"), (F.col("label") % 3).cast("string")).alias("poll_id"),
+        (F.col("vec_id") % 100).cast("string").alias("phone_number"), (F.col("vec_id") % 13 == 0).alias("is_opt_out"), "embedding",
+    )
+    return td.discover(atoms, dims=16, k=10, merge_at=0.9)
+
+
+def _theme_discovery(spark, d):
+    c = discovered(spark, d).select("atomic_id", "poll_id", "phone_number", "is_opt_out", "cluster_id")
+    theme = F.concat(F.lit("theme "), F.col("cluster_id").cast("string"))
+    quotes = F.array(F.struct(theme.alias("quote"), F.col("phone_number").alias("phone_number")))
+    c = cut_lineage(c.withColumns({"cluster_theme": theme, "issues_summary": theme, "detailed_analysis": theme, "quotes": quotes}))
+    out = td.poll_issues(c, c.select("poll_id").distinct(), "10", minimum=2, n=3)
+    return out.select("poll_id", "total_responses", (F.size("issues") > 0).alias("has_issues"))
+
+
 QUERIES = {
+    "theme_discovery": (_theme_discovery, """SELECT 'poll-' || (label % 3) AS poll_id, count(DISTINCT vec_id % 100) FILTER (vec_id % 13 <> 0) AS total_responses, TRUE AS has_issues FROM embeddings GROUP BY 1"""),
     "within_cluster_distance": (_within, WITHIN),
     "between_within_ratio": (_ratio, RATIO),
     "silhouette": (_silhouette, SILHOUETTE),

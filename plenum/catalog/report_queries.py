@@ -6,6 +6,7 @@ from datetime import date
 
 from pyspark.sql import functions as F
 
+from plenum.catalog import text_queries as tq
 from plenum.catalog import views as v
 from plenum.functions import fixed
 from plenum.operators import guards
@@ -84,6 +85,10 @@ def _stage_flow(spark, d):
     return pf.stage_flow({"loaded": m, "inbound": inbound, "passed": ms.filter_messages(inbound).where("passed")}).select("stage", "rows")
 
 
+STAGE_FLOW = f"""WITH {tq.FILTERED} SELECT 'loaded' AS stage, count(*) AS rows FROM messages UNION ALL SELECT 'inbound', count(*) FROM messages WHERE upper(send_direction) = 'INBOUND'
+  UNION ALL SELECT 'passed', count(*) FROM filtered WHERE passed AND upper(send_direction) = 'INBOUND'"""
+
+
 def _outcomes(spark, d):
     o = v.table(spark, d, "orders").withColumn("ok", F.col("o_orderstatus") == "F")
     return pf.outcome_shares(o, "ok").withColumn("success_share", F.round("success_share", 6))
@@ -224,7 +229,7 @@ QUERIES = {
                        "count(*) FILTER (o_orderkey % 9 <> 0) AS valid_dates, round(count(*) FILTER (o_orderkey % 9 <> 0) / count(*), 6) AS valid_share FROM orders"),
     "column_overlap": (_overlap, OVERLAP),
     "common_columns": (_common, "SELECT 'o_orderkey' AS column_name, count(o_orderkey) AS non_null_count FROM orders UNION ALL SELECT 'o_custkey', count(o_custkey) FROM orders"),
-    "stage_flow": (_stage_flow, None),
+    "stage_flow": (_stage_flow, STAGE_FLOW),
     "outcome_shares": (_outcomes, "SELECT count(*) AS total, count(*) FILTER (o_orderstatus = 'F') AS successful, count(*) FILTER (o_orderstatus <> 'F') AS failed, round(count(*) FILTER (o_orderstatus = 'F') / count(*), 6) AS success_share FROM orders"),
     "usage_by_model": (_usage, _usage_query("model")),
     "usage_by_role": (_usage_default, _usage_query("role")),

@@ -134,3 +134,14 @@ def test_best_k_and_ties(spark):
     m = spark.createDataFrame(rows, "k int, between_within_ratio double, silhouette double, cv double, max_size int, total int")
     out = cl.score_k(m, 100, cl.k_range(100)).collect()
     assert [(r.k, r.score) for r in out] == [(5, 82), (6, 82), (7, 13)]
+
+
+def test_discovery_labels_every_message_once(spark):
+    from plenum.plans.theme_discovery import discover
+
+    rng = np.random.default_rng(9)
+    rows = [(i, i % 9 == 0, [float(x) for x in rng.normal(size=8) + 6 * np.eye(8)[i % 3]]) for i in range(90)]
+    df = spark.createDataFrame(rows, "atomic_id bigint, is_opt_out boolean, embedding array<float>")
+    out = discover(df, dims=4, k=3, merge_at=0.999).collect()
+    assert len(out) == 90 and all((r.cluster_id == -1) == r.is_opt_out for r in out)
+    assert len({r.cluster_id for r in out} - {-1}) == 3
