@@ -9,7 +9,9 @@ from plenum.catalog import sqltext as q
 from plenum.catalog import text_queries as tq
 from plenum.catalog import views as v
 from plenum.operators import insights as ins
+from plenum.operators import messages as ms
 from plenum.operators import polls as pl
+from plenum.operators import rules
 from plenum.plans import message_insights as mi
 from plenum.sources import writers as wr
 
@@ -281,7 +283,42 @@ MESSAGE_INSIGHTS = f"""WITH {INBOUND_VERDICTS}, kept_messages AS (SELECT message
   kc AS (SELECT issue, string_agg(specific_concern, '|' ORDER BY message_id, idx) AS concerns FROM (SELECT * FROM fc QUALIFY row_number() OVER (PARTITION BY issue ORDER BY message_id, idx) <= 5) GROUP BY issue)
   SELECT issue, unique_respondents, total_mentions, round(urgency_score, 4) AS urgency_score, samples, concerns FROM insights LEFT JOIN sm USING (issue) LEFT JOIN kc USING (issue)"""
 
+def _issue_mentions(spark, d):
+    """One row per message and issue, with the phone brought to one form."""
+    m = v.issue_messages(spark, d).withColumn("overall_sentiment", rules.overall_sentiment("issues"))
+    m = m.withColumn("phone", F.concat(F.lit("+1 (555) 000-"), F.lpad("phone", 4, "0")))
+    return ins.mentions(m, phone="phone").select("message_id", "phone", "issue", "stance", "is_root_cause", F.col("issue_index").cast("bigint").alias("issue_index"))
+
+
+ISSUE_MENTIONS = f"""WITH {I} SELECT message_id, '555000' || lpad(user_id::VARCHAR, 4, '0') AS phone, issue, stance, is_root_cause,
+  row_number() OVER (PARTITION BY message_id ORDER BY event_type) - 1 AS issue_index FROM issue_rows"""
+
+
+def _lineage(spark, d):
+    """Atomic messages back to their message, file and line."""
+    atoms = ms.split_messages(ms.filter_messages(v.messages(spark, d))).withColumn("cluster_id", F.col("atomic_index"))
+    return pl.lineage(atoms)
+
+
+LINEAGE = f"""WITH {tq.SPLIT_CTE} SELECT atomic_index AS cluster_id, parent_message_id || '-' || atomic_index AS atomic_id, parent_message_id, source_file, source_row
+  FROM atoms JOIN messages ON message_id = parent_message_id"""
+
+
+def _atomised(spark, d):
+    m = v.mentions(spark, d)
+    unknown = {c: F.lit("Unknown") for c in ("round", "age_group", "voting_performance_category", "location", "ward")}
+    m = m.withColumns({"original_row_idx": F.col("message_id"), "atomic_idx": F.lit(0), "phone_number": F.col("phone"), "campaign_source": F.lit("c"),
+                       "voters_gender": F.when(F.col("message_id") % 2 == 0, "F"), **unknown})
+    return wr.atomised_export(m).select("original_row_idx", "phone_number", "voters_gender", "ward", "primary_category", "stance", "specific_concern")
+
+
+ATOMISED = f"""WITH {N} SELECT message_id AS original_row_idx, phone AS phone_number, CASE WHEN message_id % 2 = 0 THEN 'F' ELSE '' END AS voters_gender, 'Unknown' AS ward,
+  primary_category, stance, specific_concern FROM mentions"""
+
 QUERIES = {
+    "issue_mentions": (_issue_mentions, ISSUE_MENTIONS),
+    "lineage_trace": (_lineage, LINEAGE),
+    "atomised_export": (_atomised, ATOMISED),
     "issue_insights": (_insights, f"WITH {INSIGHTS} SELECT * EXCLUDE (urgency_score), round(urgency_score, 6) AS urgency_score FROM insights"),
     "issue_insights_by_message": (lambda s, d: _insights(s, d, "message"), INSIGHTS_MESSAGE),
     "strongest_stances": (_stances, f"WITH {N} SELECT issue, phone, (['negative', 'requesting', 'positive', 'neutral'])[min({RANKED})] AS strongest_stance FROM mentions GROUP BY ALL"),

@@ -475,7 +475,13 @@ def _tasks_of_week(spark, d):
 
 MERGED_TASKS = f"{TASKS}, merged AS (SELECT * FROM s WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.week = s.week AND g.flow_type = s.flow_type) UNION ALL SELECT * FROM g)"
 
+def _projection(spark, d):
+    """The fixed output columns, of which only some exist."""
+    return rc.existing_columns(v.candidates(spark, d), ["candidacy_id", "not_there", "state", "full_name"])
+
+
 QUERIES = {
+    "output_projection": (_projection, f"WITH {C} SELECT candidacy_id, state, full_name FROM raw_candidates"),
     "clean_candidate_fields": (_clean_fields, CLEAN_FIELDS),
     "expand_elections": (lambda s, d: expanded(s, d).select(*EXPANDED_COLUMNS), f"WITH {CLEANED} SELECT {', '.join(EXPANDED_COLUMNS)} FROM expanded"),
     "clean_results": (lambda s, d: clean_results(s, d), f"WITH {CLEAN_RESULTS_CTE} SELECT * FROM results"),
