@@ -42,15 +42,14 @@ def write_split(df: DataFrame, folder: str, category: str = "category") -> None:
 def write_states(df: DataFrame, folder: str, skip_existing: bool = True) -> None:
     """A folder per state; states that are there already are left alone.
 
-    Rows are clustered by state and a salt, so a large state is written by several tasks and
-    a small one does not make a file in each.
+    The rebalance hint clusters rows by state and lets adaptive execution split a large state
+    over many writers and put small ones together, by their measured sizes.
     """
     spark = df.sparkSession
     if skip_existing:
         df = df.join(finished_states(spark, folder), "state", "left_anti")
-    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(8)))
     (
-        salted.repartition("state", "_salt").drop("_salt")
+        df.hint("rebalance", F.col("state"))
         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("state").parquet(folder)
     )
 
