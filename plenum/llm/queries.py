@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plenum.llm import html_text, language, mixing, sharding, toxicity, warc
+from plenum.llm import decontaminate, html_text, language, mixing, secrets, sharding, syncmers, toxicity, warc
 from plenum.session import ensure_checkpoint_dir
 
 
@@ -20,6 +20,14 @@ def fold_of(key: Column, folds: int) -> Column:
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % folds
 
 
+def op1_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    found = secrets.scan(table(spark, folder, "documents"))
+    base = F.filter("spans", lambda s: s["strong"])
+    count = lambda kind: F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(secrets.span_text(base).cast("binary"), 256).alias("base_sha256"),
+                        secrets.span_text(F.col("spans")).alias("spans"))
+
+
 def op2_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     plan = mixing.mix(table(spark, folder, "documents"))
     return plan.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("repeats")).alias("taken"))
@@ -40,6 +48,20 @@ def op4_shard(spark: SparkSession, folder: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "tokens")
 
 
+def op5_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    found = decontaminate.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return found.select("doc_id", "item_id", "start", "end", "matched", "item_words")
+
+
+def op6_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    rows = syncmers.edited_pairs(table(spark, folder, "documents"))
+    return rows.select(
+        "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), syncmers.as_text(F.col("anchors")).alias("fingerprint"),
+        syncmers.as_text(F.col("edited_anchors")).alias("edited_fingerprint"), syncmers.likeness(F.col("anchors"), F.col("edited_anchors")).alias("near_edited"),
+        syncmers.likeness(F.col("anchors"), F.col("next_anchors")).alias("near_next"),
+    )
+
+
 def op8_main_text(spark: SparkSession, folder: str) -> DataFrame:
     found = html_text.extract_pages(table(spark, folder, "pages"))
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
@@ -106,7 +128,70 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN nth = 1 THEN 'response'
   CASE WHEN nth > 1 THEN first_id END AS refers_to, TRUE AS intact, url
 FROM digests"""
 
+OP1_SQL = r"""
+WITH docs AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text FROM documents),
+kinds(rank, kind, pattern, grp, role) AS (VALUES
+%s),
+raw AS (
+  SELECT d.row, k.rank, k.kind, k.role, k.grp,
+    string_split_regex(d.text, k.pattern) AS gaps, regexp_extract_all(d.text, k.pattern) AS found, regexp_extract_all(d.text, k.pattern, k.grp) AS val
+  FROM docs d, kinds k WHERE regexp_matches(d.text, k.pattern)),
+matches AS (
+  SELECT row, rank, kind, role, unnest(range(1, len(found) + 1)) AS nth, gaps, found, val FROM raw),
+spans AS (
+  SELECT row, rank, kind, role, length(found[nth]) AS size, length(val[nth]) AS value,
+    sum(length(gaps[nth]) + length(found[nth])) OVER (PARTITION BY row, rank ORDER BY nth ROWS UNBOUNDED PRECEDING)::BIGINT AS fin
+  FROM matches),
+parts AS (
+  SELECT *, fin - size AS beg,
+    CASE kind WHEN 'assign' THEN value >= 12 WHEN 'access' THEN size >= 18 WHEN 'hex' THEN TRUE ELSE FALSE END AS strong,
+    CASE kind WHEN 'assign' THEN value >= 4 WHEN 'access' THEN size >= 12 WHEN 'blob' THEN size = 40 WHEN 'user' THEN value >= 3 WHEN 'endpoint' THEN TRUE ELSE FALSE END AS weak
+  FROM spans),
+used AS (SELECT * FROM parts WHERE strong OR weak),
+kept AS (
+  SELECT * FROM used p WHERE strong OR CASE role
+    WHEN 'secret' THEN EXISTS (SELECT 1 FROM used q WHERE q.row = p.row AND q.role = 'id' AND abs(q.beg - p.beg) <= 400)
+    WHEN 'id' THEN EXISTS (SELECT 1 FROM used q WHERE q.row = p.row AND q.role = 'secret' AND abs(q.beg - p.beg) <= 400)
+    ELSE EXISTS (SELECT 1 FROM used q WHERE q.row = p.row AND q.role = 'id' AND abs(q.beg - p.beg) <= 400)
+     AND EXISTS (SELECT 1 FROM used q WHERE q.row = p.row AND q.role = 'secret' AND abs(q.beg - p.beg) <= 400) END),
+texts AS (
+  SELECT row, count(*) FILTER (strong AND kind = 'assign') AS n_assign, count(*) FILTER (strong AND kind = 'access') AS n_access,
+    count(*) FILTER (strong AND kind = 'hex') AS n_hex,
+    string_agg(kind || ':' || beg || ':' || fin, ',' ORDER BY beg, rank) FILTER (strong) AS base,
+    string_agg(kind || ':' || beg || ':' || fin, ',' ORDER BY beg, rank) AS spans
+  FROM kept GROUP BY row)
+SELECT d.doc_id, coalesce(t.n_assign, 0) AS n_assign, coalesce(t.n_access, 0) AS n_access, coalesce(t.n_hex, 0) AS n_hex,
+  sha256(coalesce(t.base, '')) AS base_sha256, coalesce(t.spans, '') AS spans
+FROM docs d LEFT JOIN texts t ON d.row = t.row""" % ",\n".join(
+    "  ({}, '{}', '{}', {}, '{}')".format(rank, kind, pattern.replace("'", "''"), int(value), role)
+    for rank, (kind, (pattern, value, role)) in enumerate(secrets.PATTERNS.items()))
+
+OP5_SQL = r"""
+WITH doc AS (
+  SELECT doc_id, md5(coalesce(text, '')) AS hash, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS w FROM documents),
+item AS (
+  SELECT item_id, w, len(w) AS n FROM (
+    SELECT item_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS w FROM benchmark) WHERE len(w) >= 5),
+doc_word AS (SELECT DISTINCT doc_id, hash, unnest(range(0, len(w))) AS place, unnest(w) AS word FROM doc),
+item_word AS (SELECT item_id, n, unnest(range(0, n)) AS place, unnest(w) AS word FROM item),
+equal AS (
+  SELECT d.doc_id, d.hash, i.item_id, i.n, d.place - i.place AS shift, i.place AS at FROM doc_word d JOIN item_word i USING (word)),
+likely AS (
+  SELECT doc_id, hash, item_id, shift, count(*) AS matched FROM equal GROUP BY ALL HAVING count(*) >= ceil(0.75 * least(12, any_value(n)))),
+windows AS (
+  SELECT e.*, l.matched, count(*) OVER (PARTITION BY e.doc_id, e.hash, e.item_id, e.shift ORDER BY e.at RANGE BETWEEN CURRENT ROW AND 11 FOLLOWING) AS inside
+  FROM equal e JOIN likely l ON e.doc_id IS NOT DISTINCT FROM l.doc_id AND e.hash = l.hash AND e.item_id = l.item_id AND e.shift = l.shift),
+good AS (
+  SELECT DISTINCT doc_id, hash, item_id, shift, matched, n FROM windows WHERE inside >= ceil(0.75 * least(12, n))),
+best AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id, hash, item_id ORDER BY matched DESC, shift) AS nth FROM good)
+SELECT doc_id, item_id, CAST(greatest(shift, 0) AS INTEGER) AS start, CAST(shift + n AS INTEGER) AS "end", CAST(matched AS INTEGER) AS matched, CAST(n AS INTEGER) AS item_words
+FROM best WHERE nth = 1"""
+
 QUERIES = {
+    "op1_secrets": (op1_secrets, OP1_SQL),
+    "op5_decontaminate": (op5_decontaminate, OP5_SQL),
+    "op6_fingerprints": (op6_fingerprints, None),
     "op2_mix_sources": (op2_mix_sources, OP2_SQL),
     "op3_warc": (op3_warc, OP3_SQL),
     "op4_shard": (op4_shard, None),
