@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plenum.llm import decontaminate, html_text, language, mixing, secrets, sharding, syncmers, toxicity, warc
+from plenum.llm import decontaminate, html_text, jaccard, language, mixing, secrets, sharding, syncmers, toxicity, warc
 from plenum.session import ensure_checkpoint_dir
 
 
@@ -62,6 +62,10 @@ def op6_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op7_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.classes(table(spark, folder, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op8_main_text(spark: SparkSession, folder: str) -> DataFrame:
     found = html_text.extract_pages(table(spark, folder, "pages"))
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
@@ -188,6 +192,29 @@ best AS (
 SELECT doc_id, item_id, CAST(greatest(shift, 0) AS INTEGER) AS start, CAST(shift + n AS INTEGER) AS "end", CAST(matched AS INTEGER) AS matched, CAST(n AS INTEGER) AS item_words
 FROM best WHERE nth = 1"""
 
+OP7_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT row_number() OVER () AS row, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+sets AS (
+  SELECT row, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) END AS s
+  FROM words),
+members AS (SELECT row, unnest(s) AS g FROM sets),
+common AS (SELECT g FROM members GROUP BY g HAVING count(*) > 1),
+shared AS (
+  SELECT a.row AS x, b.row AS y, count(*) AS n FROM members a JOIN members b ON a.g = b.g AND a.row < b.row
+  WHERE a.g IN (SELECT g FROM common) GROUP BY ALL),
+links AS (
+  SELECT x, y FROM shared o JOIN sets a ON a.row = x JOIN sets b ON b.row = y
+  WHERE 100 * n >= 85 * (len(a.s) + len(b.s) - n)),
+edges AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach(x, y) AS (SELECT row, row FROM sets UNION SELECT r.x, e.y FROM reach r JOIN edges e ON r.y = e.x)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles,
+  CASE WHEN len(s.s) = 0 THEN s.doc_id ELSE (SELECT min(t.doc_id) FROM reach r JOIN sets t ON t.row = r.y WHERE r.x = s.row) END AS component_id
+FROM sets s"""
+
 QUERIES = {
     "op1_secrets": (op1_secrets, OP1_SQL),
     "op5_decontaminate": (op5_decontaminate, OP5_SQL),
@@ -195,6 +222,7 @@ QUERIES = {
     "op2_mix_sources": (op2_mix_sources, OP2_SQL),
     "op3_warc": (op3_warc, OP3_SQL),
     "op4_shard": (op4_shard, None),
+    "op7_jaccard_join": (op7_jaccard_join, OP7_SQL),
     "op8_main_text": (op8_main_text, None),
     "op9_language": (op9_language, None),
     "op10_toxicity": (op10_toxicity, None),
