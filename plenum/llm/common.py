@@ -46,3 +46,12 @@ def byte_chunks(texts: list[str], limit: int) -> Iterator[tuple[int, int]]:
         size += len(t)
     if start < len(texts):
         yield start, len(texts)
+
+
+#: Rows of two or three longs (about 40 bytes each in memory) that may be broadcast.
+BROADCAST_ROWS = 2_000_000
+
+
+def if_small(table: DataFrame) -> DataFrame:
+    """A staged narrow table, marked for broadcast when it is counted to be small; else it is joined by a shuffle."""
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plenum.functions.text import let
-from plenum.llm.common import staged
+from plenum.llm.common import if_small, staged
 
 #: 1 reads a word, 0 ignores it. Any three replacements in a window of twelve leave a hit under
 #: one of the two (see the tests), so nothing that the window accepts goes unseen.
@@ -85,4 +85,4 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
     """The rows of ``docs`` in which no benchmark item leaks."""
     doc_id, text = how.get("doc_id", "doc_id"), how.get("text", "text")
     bad = staged(leaks(docs, benchmark, **how).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct(), "leaking-documents")
-    return docs.join(bad, docs[doc_id].eqNullSafe(bad["_id"]) & (F.xxhash64(F.coalesce(docs[text], F.lit(""))) == bad["_hash"]), "left_anti")
+    return docs.join(if_small(bad), docs[doc_id].eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce(docs[text], F.lit(""))) == F.col("_hash")), "left_anti")

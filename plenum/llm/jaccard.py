@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plenum.llm.common import staged
+from plenum.llm.common import if_small, staged
 from plenum.operators.graph import connected_components
 
 CELLS, BUCKETS = 64, 1 << 16
@@ -40,8 +40,6 @@ CELLS, BUCKETS = 64, 1 << 16
 BLOCK, BLOCK_SHINGLES, REMEMBERED = 1 << 14, 1 << 22, 500_000
 #: A bucket of shingles is common when its count exceeds the mean of all by this many deviations and documents.
 COMMON_SIGMAS, COMMON_LEAST = 10, 500
-#: Representatives (about 40 bytes each) are broadcast up to this number; beyond, texts are joined by a shuffle.
-BROADCAST_NODES = 2_000_000
 
 _A = np.uint64(0x9E3779B97F4A7C15)
 _B = np.uint64(0xBF58476D1CE4E5B9)
@@ -297,18 +295,18 @@ def _halves(flags: list) -> np.ndarray | None:
 
 
 def classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", n: int = 4, percent: int = 85) -> DataFrame:
-    """(doc_id, n_shingles, node, component_id) of every row of ``docs``.
+    """(doc_id, text_hash, n_shingles, node, class, component_id) of every row of ``docs``.
 
     Documents link when ``100 * intersection >= percent * union`` of their sets of word
     n-grams; ``component_id`` is the smallest id that links reach, the own one included. Empty
-    and null texts have no shingles and link with nothing. Equal sets share ``node``. Repeated
+    and null texts have no shingles and link with nothing. Equal sets share ``node``, linked ones ``class``. Repeated
     rows are rows of their own; null ids are never the smallest unless all are. Other columns
     are ignored. Sets and shingles are told apart by 63-bit hashes.
     """
     body = F.coalesce(F.col(text), F.lit(""))
     texts = docs.select(F.col(doc_id).alias("doc_id"), body.alias("text"), F.xxhash64(body).alias("hash"))
     described = staged(describe(texts, n), "jaccard-sets")
-    light = described.where("node is not null").select("doc_id", "n_shingles", "node")
+    light = described.where("node is not null").select("doc_id", "hash", "n_shingles", "node")
     uses = described.where("bucket is not null").groupBy("bucket").agg(F.sum("uses").alias("uses"))
     mean = (uses.agg(F.sum("uses")).first()[0] or 0) / BUCKETS
     limit = mean + max(COMMON_SIGMAS * math.sqrt(mean), COMMON_LEAST)
@@ -336,7 +334,7 @@ def classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", n: i
     groups = staged(groups, "jaccard-groups")
     counts = groups.groupBy("region").agg(F.count("*").alias("all"), F.sum("size").alias("load"))
     cut = staged(blocks(groups.join(counts, "region"), percent), "jaccard-blocks")
-    c = (F.broadcast(cut) if cut.count() <= BROADCAST_NODES else cut).alias("c")
+    c = if_small(cut).alias("c")
     joined = texts.alias("d").join(c, F.col("d.doc_id").eqNullSafe(F.col("c.named.doc_id")) & (F.col("d.hash") == F.col("c.named.hash")))
     whole = joined.select("c.region", "c.tile", "c.node", "d.text", "c.half")
     known = _Words()
@@ -356,4 +354,24 @@ def classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", n: i
     classed = light.join(connected_components(links), "node", "left").withColumn("class", F.coalesce("component", "node"))
     smallest = classed.where("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("smallest"))
     own = F.when(F.col("n_shingles") > 0, F.col("smallest")).otherwise(F.col("doc_id"))
-    return classed.join(smallest, "class", "left").select("doc_id", "n_shingles", "node", own.alias("component_id"))
+    return classed.join(smallest, "class", "left").select("doc_id", F.col("hash").alias("text_hash"), "n_shingles", "node", "class", own.alias("component_id"))
+
+
+def without_copies(docs: DataFrame, **how) -> DataFrame:
+    """The rows of ``docs``, of every class of linked documents only the one with the smallest id.
+
+    Of equal ids the smallest text hash stays, of repeated rows one; a null id stays only where
+    the class has no other. Documents without words all stay.
+    """
+    doc_id, text = how.get("doc_id", "doc_id"), how.get("text", "text")
+    found = staged(classes(docs, **how).where("n_shingles > 0").groupBy("class", "doc_id", "text_hash").agg(F.count("*").alias("copies")), "copy-classes")
+    key = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash")
+    first = found.groupBy("class").agg(F.min(key).alias("first"))
+    judged = found.join(first, "class").select("copies", key.alias("key"), "first")
+    gone = staged(judged.where(~F.col("key").eqNullSafe(F.col("first"))).select("key.doc_id", "key.text_hash"), "near-copies")
+    g, code = if_small(gone).alias("g"), F.xxhash64(F.coalesce(docs[text], F.lit("")))
+    rows = docs.join(g, docs[doc_id].eqNullSafe(F.col("g.doc_id")) & (code == F.col("g.text_hash")), "left_anti")
+    if (judged.where(F.col("key").eqNullSafe(F.col("first"))).agg(F.max("copies")).first()[0] or 1) == 1:
+        return rows
+    words = F.coalesce(F.col(text), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    return rows.where(~words).union(rows.where(words).withColumn("_text_hash", F.xxhash64(text)).dropDuplicates([doc_id, "_text_hash"]).drop("_text_hash"))
