@@ -12,8 +12,8 @@ inequality that put a document into each region in which a partner within ``r``
 2. Large regions are cut by the distance to the empty set, that is by size: a window reaches
    the next class of sizes only, and a class is dealt out in blocks of bounded size.
 3. In a block every document in turn is the pivot for those not reached yet. Distances are
-   those of the vectors of shingle counts in 64 cells: they never exceed the true ones, so
-   what they part is parted.
+   those of the vectors of shingle counts in cells, about one cell for eight shingles: they
+   never exceed the true ones, so what they part is parted.
 4. Documents that hang together so far are brought together with their whole sets, in blocks
    of bounded size again, and compared exactly in the same way.
 
@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from plenum.llm.common import if_small, staged
 from plenum.operators.graph import connected_components
 
-CELLS, BUCKETS = 64, 1 << 16
+FEWEST_CELLS, MOST_CELLS, BUCKETS = 16, 1 << 15, 1 << 16
 #: Documents and shingles of one block, and words whose hashes a task remembers.
 BLOCK, BLOCK_SHINGLES, REMEMBERED = 1 << 14, 1 << 22, 500_000
 #: A bucket of shingles is common when its count exceeds the mean of all by this many deviations and documents.
@@ -84,8 +84,19 @@ def set_id(s: np.ndarray) -> int:
 
 
 def cells(s: np.ndarray) -> np.ndarray:
-    """Shingles per cell, at most 255: neither folding nor the bound ever enlarges a difference."""
-    return np.minimum(np.bincount(s & (CELLS - 1), minlength=CELLS), 255).astype(np.uint8)
+    """Shingles per cell, at most 255: neither folding nor the bound ever enlarges a difference.
+
+    The number of cells is a power of two near an eighth of the set. Documents that may link
+    differ by one power at most; the longer vector is then folded.
+    """
+    count = min(max(1 << (len(s) // 8).bit_length(), FEWEST_CELLS), MOST_CELLS)
+    return np.minimum(np.bincount(s & (count - 1), minlength=count), 255).astype(np.uint8)
+
+
+def folded(v: np.ndarray) -> np.ndarray:
+    """A vector in half as many cells: what stands in cell c and c + half together."""
+    half = v.shape[-1] // 2
+    return np.minimum(v[..., :half].astype(np.int16) + v[..., half:], 255)
 
 
 def buckets(s: np.ndarray) -> np.ndarray:
@@ -127,13 +138,27 @@ class Region:
         return out
 
 
-def _by_cells(vectors: np.ndarray, sizes: np.ndarray, percent: int):
+def _by_cells(vectors: list[np.ndarray], sizes: np.ndarray, percent: int):
     """Can the distance be at most r? True where the counts by cell do not rule it out."""
-    wide, sizes = vectors.astype(np.int16), sizes.astype(np.int64)
+    sizes, width = sizes.astype(np.int64), np.array([len(v) for v in vectors])
+    tables, place = {}, {}
+    for w in np.unique(width):
+        own, wider = np.flatnonzero(width == w), np.flatnonzero(width == 2 * w)
+        rows = [np.stack([vectors[i] for i in own]).astype(np.int16)]
+        if len(wider):
+            rows.append(folded(np.stack([vectors[i] for i in wider])))
+        tables[w], place[w] = np.concatenate(rows), np.full(len(vectors), -1)
+        place[w][np.concatenate((own, wider))] = np.arange(len(own) + len(wider))
 
     def near(pivot: int, rest: np.ndarray) -> np.ndarray:
-        apart = np.abs(wide[rest] - wide[pivot]).sum(axis=1)
-        return apart * (100 + percent) <= (100 - percent) * (sizes[rest] + sizes[pivot])
+        w, ok = width[pivot], np.zeros(len(rest), dtype=bool)
+        for at in (w, w // 2):
+            part = np.flatnonzero(width[rest] >= w) if at == w else np.flatnonzero(width[rest] == at)
+            if len(part):
+                table, where = tables[at], place[at]
+                apart = np.abs(table[where[rest[part]]] - table[where[pivot]]).sum(axis=1, dtype=np.int64)
+                ok[part] = apart * (100 + percent) <= (100 - percent) * (sizes[rest[part]] + sizes[pivot])
+        return ok
 
     return near
 
@@ -141,11 +166,18 @@ def _by_cells(vectors: np.ndarray, sizes: np.ndarray, percent: int):
 def _by_sets(sets: list[np.ndarray], percent: int):
     """Exact: 100 * |a and b| >= percent * |a or b|."""
     sizes = np.array([len(s) for s in sets], dtype=np.int64)
+    maybe = _by_cells([cells(s) for s in sets], sizes, percent)
     _, ids = np.unique(np.concatenate(sets), return_inverse=True)
     ends = np.concatenate(([0], np.cumsum(sizes)))
     mark = np.zeros(int(ids.max()) + 1, dtype=np.int32)
 
     def near(pivot: int, rest: np.ndarray) -> np.ndarray:
+        ok = maybe(pivot, rest)
+        some = rest[ok]
+        ok[ok] = overlaps(pivot, some) if len(some) else False
+        return ok
+
+    def overlaps(pivot: int, rest: np.ndarray) -> np.ndarray:
         own = ids[ends[pivot] : ends[pivot + 1]]
         mark[own] = 1
         if 8 * len(rest) > len(sizes):  # no set is empty, so every sum has a run of its own
@@ -163,7 +195,10 @@ def _pair_by_cells(a: tuple, b: tuple, percent: int) -> bool:
     (_, m, u, *_), (_, n, v, *_) = a, b
     if 100 * min(m, n) < percent * max(m, n):
         return False
-    apart = int(np.abs(np.frombuffer(u, dtype=np.uint8).astype(np.int16) - np.frombuffer(v, dtype=np.uint8)).sum())
+    u, v = np.frombuffer(u, dtype=np.uint8), np.frombuffer(v, dtype=np.uint8)
+    if len(u) != len(v):
+        u, v = (folded(u), v) if len(u) > len(v) else (u, folded(v))
+    apart = int(np.abs(u.astype(np.int16) - v).sum(dtype=np.int64))
     return apart * (100 + percent) <= (100 - percent) * (m + n)
 
 
@@ -301,8 +336,10 @@ def classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", n: i
     n-grams; ``component_id`` is the smallest id that links reach, the own one included. Empty
     and null texts have no shingles and link with nothing. Equal sets share ``node``, linked ones ``class``. Repeated
     rows are rows of their own; null ids are never the smallest unless all are. Other columns
-    are ignored. Sets and shingles are told apart by 63-bit hashes.
+    are ignored. Sets and shingles are told apart by 63-bit hashes. ``percent`` is 50 or more.
     """
+    if not 50 <= percent <= 100:
+        raise ValueError("percent is 50 to 100")
     body = F.coalesce(F.col(text), F.lit(""))
     texts = docs.select(F.col(doc_id).alias("doc_id"), body.alias("text"), F.xxhash64(body).alias("hash"))
     described = staged(describe(texts, n), "jaccard-sets")
@@ -325,7 +362,7 @@ def classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", n: i
             return [tuple(sorted((held[0][0], held[1][0])))] if _pair_by_cells(*held, percent) else []
         ids, sizes, packed, flags = zip(*held, strict=True)
         sizes = np.array(sizes)
-        vectors = np.frombuffer(b"".join(packed), dtype=np.uint8).reshape(-1, CELLS)
+        vectors = [np.frombuffer(p, dtype=np.uint8) for p in packed]
         return [tuple(sorted(p)) for p in Region(np.array(ids), sizes, _by_cells(vectors, sizes, percent), percent).forest(_halves(flags))]
 
     loose = _compared(blocks(members, percent), ["node", "size", "cells", "half"], lambda row: row, loosely)
@@ -369,9 +406,9 @@ def without_copies(docs: DataFrame, **how) -> DataFrame:
     first = found.groupBy("class").agg(F.min(key).alias("first"))
     judged = found.join(first, "class").select("copies", key.alias("key"), "first")
     gone = staged(judged.where(~F.col("key").eqNullSafe(F.col("first"))).select("key.doc_id", "key.text_hash"), "near-copies")
-    g, code = if_small(gone).alias("g"), F.xxhash64(F.coalesce(docs[text], F.lit("")))
-    rows = docs.join(g, docs[doc_id].eqNullSafe(F.col("g.doc_id")) & (code == F.col("g.text_hash")), "left_anti")
-    if (judged.where(F.col("key").eqNullSafe(F.col("first"))).agg(F.max("copies")).first()[0] or 1) == 1:
-        return rows
-    words = F.coalesce(F.col(text), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    return rows.where(~words).union(rows.where(words).withColumn("_text_hash", F.xxhash64(text)).dropDuplicates([doc_id, "_text_hash"]).drop("_text_hash"))
+    body, g = F.coalesce(F.col(text), F.lit("")), if_small(gone).alias("g")
+    rows = docs.select(F.struct("*").alias("doc"), F.col(doc_id).alias("id"), F.xxhash64(body).alias("code"), body.rlike(r"[^\x20\x09-\x0D]").alias("words"))
+    rows = rows.join(g, F.col("id").eqNullSafe(F.col("g.doc_id")) & (F.col("code") == F.col("g.text_hash")), "left_anti")
+    if (judged.where(F.col("key").eqNullSafe(F.col("first"))).agg(F.max("copies")).first()[0] or 1) > 1:
+        rows = rows.where(~F.col("words")).union(rows.where("words").dropDuplicates(["id", "code"]))
+    return rows.select("doc.*")
