@@ -201,8 +201,9 @@ def read_archives(spark: SparkSession, folder: str, keep_payload: bool = True) -
                     if ends := close():
                         yield _rows([], ends)
                     at = here
-                if len(piece := batch[0][row].as_py()) >= 7:  # what stands before the first magic is no member
-                    work.add(piece)
+                    if here[1] == 0:  # what stands before the first magic of a file is no member
+                        continue
+                work.add(batch[0][row].as_py())
             yield _rows(work.records)
             work.records = []
         if ends := close():
