@@ -22,10 +22,7 @@ def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
     Fitted on the rows with a language outside the held-out fold. Texts without a letter go.
     """
-    coder = language.fit_languages(docs.where(fold_of(F.col("doc_id"), 4) != 2))
-    judged = docs.withColumn("_p", language.identify(coder, F.col("text")))
-    kept = judged.where(F.col("_p.lang_pred") != language.UNDETERMINED)
-    return kept.select(*[F.col("_p.lang_pred").alias("lang") if c == "lang" else F.col(c) for c in docs.columns])
+    return language.with_language(docs, language.fit_languages(docs.where(fold_of(F.col("doc_id"), 4) != 2)))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

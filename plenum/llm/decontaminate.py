@@ -85,4 +85,5 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
     """The rows of ``docs`` in which no benchmark item leaks."""
     doc_id, text = how.get("doc_id", "doc_id"), how.get("text", "text")
     bad = staged(leaks(docs, benchmark, **how).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct(), "leaking-documents")
-    return docs.join(if_small(bad), docs[doc_id].eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce(docs[text], F.lit(""))) == F.col("_hash")), "left_anti")
+    rows = docs.select(F.struct("*").alias("doc"), F.col(doc_id).alias("_doc"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_code"))
+    return rows.join(if_small(bad), F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_code") == F.col("_hash")), "left_anti").select("doc.*")

@@ -149,3 +149,10 @@ def identify(coder: Coder | None, text: Column) -> Column:
         return coder.decide([t or "" for t in texts])
 
     return F.when(text.rlike(r"\p{L}"), decide(text)).otherwise(undetermined)
+
+
+def with_language(docs: DataFrame, coder: Coder | None, *, text: str = "text", lang: str = "lang") -> DataFrame:
+    """The rows of ``docs`` whose language can be told, with that language in ``lang``."""
+    judged = docs.select(F.struct("*").alias("doc"), identify(coder, F.col(text)).alias("found"))
+    kept = judged.where(F.col("found.lang_pred") != UNDETERMINED)
+    return kept.select(*[F.col("found.lang_pred").alias(c) if c == lang else F.col(f"doc.`{c}`") for c in docs.columns])

@@ -129,8 +129,7 @@ def mixed(docs: DataFrame, **how) -> DataFrame:
     doc_id, text, source = how.get("doc_id", "doc_id"), how.get("text", "text"), how.get("source", "source")
     plan = mix(docs, **how).groupBy(F.xxhash64("doc_id", "source", "size").alias("_key")).agg(
         F.sort_array(F.collect_list("repeats"), asc=False).alias("_laps"))
-    keyed = docs.withColumn("_key", F.xxhash64(F.col(doc_id), F.col(source), word_count(F.col(text)))).join(plan, "_key")
-    number = F.row_number().over(Window.partitionBy("_key").orderBy(F.xxhash64(text)))
-    laps = F.get("_laps", F.col("_number") - 1)
-    return keyed.withColumn("_number", number).select(
-        *docs.columns, F.explode(F.array_repeat(F.lit(0), laps)).alias("_lap")).drop("_lap")
+    rows = docs.select(F.struct("*").alias("doc"), F.xxhash64(F.col(doc_id), F.col(source), word_count(F.col(text))).alias("_key"), F.xxhash64(text).alias("code"))
+    number = F.row_number().over(Window.partitionBy("_key").orderBy("code"))
+    numbered = rows.join(plan, "_key").select("doc", F.get("_laps", number - 1).alias("laps"))
+    return numbered.select("doc", F.explode(F.array_repeat(F.lit(0), F.col("laps")))).select("doc.*")
