@@ -195,9 +195,10 @@ def _best_vector(spark, d):
 
 def _attach(spark, d):
     """Vectors by distinct text: the documents' vectors come from the embedding table by a text key."""
-    docs = v.table(spark, d, "documents").select("doc_id", F.concat("lang", F.lit("-"), "source").alias("text"))
-    texts = docs.select("text").distinct().withColumn("vec_id", F.pmod(F.length("text") * 7, F.lit(100)).cast("bigint"))
-    vectors = texts.join(v.table(spark, d, "embeddings"), "vec_id").select("text", F.col("embedding").alias("vector"))
+    docs, e = v.table(spark, d, "documents").select("doc_id", "text"), v.table(spark, d, "embeddings")
+    texts = cl.attach_row(docs.select("text").distinct(), e.agg(F.count("*").alias("n")))
+    texts = texts.select("text", F.pmod(F.length("text") * 7, F.col("n")).cast("bigint").alias("vec_id"))
+    vectors = texts.join(e, "vec_id").select("text", F.col("embedding").alias("vector"))
     return cl.attach_vectors(docs, "text", vectors=vectors).select("doc_id", F.round(F.get("embedding", F.lit(0)).cast("double"), 6).alias("first"))
 
 
@@ -237,7 +238,7 @@ QUERIES = {
     "score_groupings": (_score_k, _score_sql()),
     "density_clusters": (_density, DENSITY),
     "best_vector": (_best_vector, "SELECT vec_id, (CASE vec_id % 3 WHEN 0 THEN 15 WHEN 1 THEN 50 ELSE 64 END)::INTEGER AS dims FROM embeddings"),
-    "attach_vectors": (_attach, "SELECT doc_id, round(embedding[1]::DOUBLE, 6) AS first FROM documents LEFT JOIN embeddings ON vec_id = length(lang || '-' || source) * 7 % 100"),
+    "attach_vectors": (_attach, "SELECT doc_id, round(embedding[1]::DOUBLE, 6) AS first FROM documents LEFT JOIN embeddings ON vec_id = length(text) * 7 % (SELECT count(*) FROM embeddings)"),
     "bisecting_clusters": (_kmeans, None),
     "choose_k": (_choose_k, None),
 }

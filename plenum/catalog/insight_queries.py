@@ -254,13 +254,15 @@ CLUSTER_MAPS = """SELECT event_id AS message_id, '{"10":{"cluster_id":' || event
 def _enriched(spark, d):
     m = v.mentions(spark, d).select(F.lit("p").alias("poll_id"), F.col("message_text").alias("original_message_text"), "message_text", F.col("phone").alias("phone_number"),
                                     "primary_category", "secondary_category", "stance", "specific_concern")
-    sizes = v.mentions(spark, d).where("secondary_category <> 'error'").groupBy("primary_category", "secondary_category").agg(F.count("*").alias("n"))
+    # one category is summarised under another name, so that its mentions find no summary
+    other = F.when(F.col("secondary_category") == "error", "no such").otherwise(F.col("secondary_category"))
+    sizes = v.mentions(spark, d).withColumn("secondary_category", other).groupBy("primary_category", "secondary_category").agg(F.count("*").alias("n"))
     summaries = sizes.select("primary_category", "secondary_category", F.lit("theme").alias("theme"), F.concat(F.col("n").cast("string"), F.lit(" messages")).alias("summary"),
                              F.lit("deep").alias("analysis"), F.array(F.lit("q1")).alias("quotes"), F.array(F.struct(F.col("n").alias("message_count"))).alias("clusters"))
     return wr.enriched_export(m, summaries).groupBy("category", "theme", "summary", "quotes", "cluster_analysis", "sentiment").agg(F.count("*").alias("n"), F.min("analysis").alias("analysis"))
 
 
-ENRICHED = f"""WITH {N}, s AS (SELECT primary_category, secondary_category, count(*) AS c FROM mentions WHERE secondary_category <> 'error' GROUP BY ALL)
+ENRICHED = f"""WITH {N}, s AS (SELECT primary_category, CASE WHEN secondary_category = 'error' THEN 'no such' ELSE secondary_category END AS secondary_category, count(*) AS c FROM mentions GROUP BY ALL)
   SELECT issue AS category, CASE WHEN c IS NULL THEN '' ELSE 'theme' END AS theme, coalesce(c || ' messages', '') AS summary, CASE WHEN c IS NULL THEN '[]' ELSE '["q1"]' END AS quotes,
   CASE WHEN c IS NULL THEN '[]' ELSE '[{{"message_count":' || c || '}}]' END AS cluster_analysis, stance AS sentiment, count(*) AS n, min(CASE WHEN c IS NULL THEN specific_concern ELSE 'deep' END) AS analysis
   FROM mentions LEFT JOIN s USING (primary_category, secondary_category) GROUP BY issue, c, stance"""

@@ -12,7 +12,7 @@ from plenum.functions import vectors as vec
 from plenum.operators import districts as ds
 from plenum.operators import matching as mt
 from plenum.operators import quotes as qt
-from plenum.operators.ranking import attach_row, top_n
+from plenum.operators.ranking import attach_row
 from plenum.plans import district_matching as dm
 from plenum.plans import race_matching as rm
 from plenum.session import cut_lineage
@@ -275,13 +275,10 @@ def _missing(spark, d):
 
 
 def _quotes(spark, d):
-    """First sentences of a conversation's first five turns, to be found again among all its turns.
-
-    Five is the number of quotes a theme carries.
-    """
+    """The first sentence of every turn of a conversation, to be found again among all its turns."""
     c = v.table(spark, d, "conversations")
     messages = c.select(F.col("conv_id").alias("cluster_id"), F.col("turn").alias("message_id"), F.col("role").alias("phone_number"), F.col("text").alias("message_text"))
-    quotes = top_n(c, ["conv_id"], [F.col("turn")], 5).select(F.col("conv_id").alias("cluster_id"), F.col("turn").alias("quote_id"), F.split("text", r"\. ")[0].alias("quote"))
+    quotes = c.select(F.col("conv_id").alias("cluster_id"), F.col("turn").alias("quote_id"), F.split("text", r"\. ")[0].alias("quote"))
     return messages, quotes
 
 
@@ -291,7 +288,7 @@ def _contained(spark, d):
     return out.select("cluster_id", "quote_id", "message_id", "phone_number")
 
 
-CONTAINED = f"""WITH m AS (SELECT conv_id, turn, role, lower(text) AS t FROM conversations), qs AS (SELECT conv_id, turn AS quote_id, {q.strip("lower(split_part(text, '. ', 1))")} AS quote FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn) <= 5)
+CONTAINED = f"""WITH m AS (SELECT conv_id, turn, role, lower(text) AS t FROM conversations), qs AS (SELECT conv_id, turn AS quote_id, {q.strip("lower(split_part(text, '. ', 1))")} AS quote FROM conversations)
   SELECT qs.conv_id AS cluster_id, quote_id, m.turn AS message_id, role AS phone_number FROM qs JOIN m ON m.conv_id = qs.conv_id AND contains(t, quote) QUALIFY row_number() OVER (PARTITION BY qs.conv_id, quote_id ORDER BY m.turn) = 1"""
 
 
@@ -301,18 +298,16 @@ def _one_per_phone(spark, d):
 
 
 def _claims(spark, d):
-    p = v.text_table(spark, d, "pages", "page_id")
+    p = v.table(spark, d, "pages")
     title = F.regexp_extract("html", "<title>([^<]*)</title>", 1)
     heading = F.regexp_extract("html", "<h1>([^<]*)</h1>", 1)
-    claims = p.select(F.col("page_id").alias("claim_id"), "url", title.alias("quote")).unionByName(
-        p.select((F.col("page_id") + 1_000_000).alias("claim_id"), "url", F.concat(heading, F.lit(" zzz")).alias("quote")))
-    # pages may share a url: one page per url
-    return claims, p.groupBy("url").agg(F.max_by("html", "page_id").alias("html"))
+    kinds = F.array(F.struct(F.lit("title").alias("kind"), title.alias("quote")), F.struct(F.lit("missed heading").alias("kind"), F.concat(heading, F.lit(" zzz")).alias("quote")))
+    return p.select("page_id", F.inline(kinds)), p.select("page_id", "html")
 
 
 def _verify(spark, d):
     claims, pages = _claims(spark, d)
-    return qt.verify_quotes(claims, pages, explain_misses=False).select("claim_id", "match")
+    return qt.verify_quotes(claims, pages, key="page_id", explain_misses=False).select("page_id", "kind", "match")
 
 
 def _normal_sql(x: str) -> str:
@@ -324,14 +319,14 @@ def _normal_sql(x: str) -> str:
     return q.strip(q.replace(x, r"[\s\x0B\x1C-\x1F\x{85}\p{Z}.-]+", " "))
 
 
-VERIFY = f"""WITH c AS (SELECT page_id AS claim_id, url, regexp_extract(html, '<title>([^<]*)</title>', 1) AS quote FROM pages UNION ALL
-    SELECT page_id + 1000000, url, regexp_extract(html, '<h1>([^<]*)</h1>', 1) || ' zzz' FROM pages), p AS (SELECT url, {_normal_sql('arg_max(html, page_id)')} AS body FROM pages GROUP BY url)
-  SELECT claim_id, {_normal_sql('quote')} <> '' AND contains(body, {_normal_sql('quote')}) AS match FROM c JOIN p USING (url)"""
+VERIFY = f"""WITH c AS (SELECT page_id, 'title' AS kind, regexp_extract(html, '<title>([^<]*)</title>', 1) AS quote FROM pages UNION ALL
+    SELECT page_id, 'missed heading', regexp_extract(html, '<h1>([^<]*)</h1>', 1) || ' zzz' FROM pages), p AS (SELECT page_id, {_normal_sql('html')} AS body FROM pages)
+  SELECT page_id, kind, {_normal_sql('quote')} <> '' AND contains(body, {_normal_sql('quote')}) AS match FROM c JOIN p USING (page_id)"""
 
 
 def _verify_explained(spark, d):
     claims, pages = _claims(spark, d)
-    return qt.verify_quotes(claims, pages).groupBy("match", F.floor(F.col("similarity") * 10).alias("tenth")).agg(F.count("*").alias("n"))
+    return qt.verify_quotes(claims, pages, key="page_id").groupBy("match", F.floor(F.col("similarity") * 10).alias("tenth")).agg(F.count("*").alias("n"))
 
 
 def _source_confidence(spark, d):

@@ -63,19 +63,23 @@ def clean_results(spark, d):
 
 
 def _temporal_match(spark, d):
-    results = clean_results(spark, d).where(F.col("election_date") < "2024-12-10")
+    # some days are moved out of reach, so that the general date has to serve
+    day = F.when(F.col("election_date") < "2024-12-10", F.col("election_date")).otherwise(F.date_add("election_date", 4000))
+    results = clean_results(spark, d).withColumn("election_date", day)
     return rc.temporal_match(expanded(spark, d), results).select(
         "candidacy_id", "election_type", "election_date", "used_general_date"
     )
 
 
-TEMPORAL_MATCH = f"""WITH {CLEANED}, {CLEAN_RESULTS_CTE}, days AS (SELECT DISTINCT election_date AS day FROM results WHERE election_date < DATE '2024-12-10')
+TEMPORAL_MATCH = f"""WITH {CLEANED}, {CLEAN_RESULTS_CTE}, days AS (SELECT DISTINCT CASE WHEN election_date < DATE '2024-12-10' THEN election_date ELSE election_date + 4000 END AS day FROM results)
   SELECT candidacy_id, election_type, election_date, NOT hit AS used_general_date FROM (SELECT *, election_date IN (SELECT day FROM days) AS hit,
   coalesce(election_type = 'runoff' AND general_election_date IN (SELECT day FROM days), FALSE) AS general_hit FROM expanded) WHERE hit OR general_hit"""
 
 
 def _semi_join_dates(spark, d):
-    o, li = v.table(spark, d, "orders"), v.table(spark, d, "lineitem").where(F.col("l_quantity") > 49)
+    # lines of small quantity have no day, so that some orders find none
+    li = v.table(spark, d, "lineitem").select(F.when(F.col("l_quantity") > 49, F.col("l_shipdate")).alias("l_shipdate"))
+    o = v.table(spark, d, "orders")
     return rc.semi_join_dates(o, li, "o_orderdate", "l_shipdate").groupBy("o_orderpriority").agg(F.count("*").alias("orders"))
 
 
@@ -329,11 +333,12 @@ def _keep_first(spark, d):
 def _last_message(spark, d):
     """Atomic results (here: lineitems) with the last message (order) of their phone (customer)."""
     o = v.table(spark, d, "orders").select(F.col("o_custkey").cast("string").alias("phone_number"), F.col("o_orderkey").alias("message_id"), "o_orderdate")
-    li = v.table(spark, d, "lineitem").select((F.col("l_orderkey") % 2000).cast("string").alias("phone_number"), F.concat_ws("-", "l_orderkey", "l_linenumber").alias("atomic_id"))
+    owners = v.table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").cast("string").alias("phone_number"))
+    li = v.table(spark, d, "lineitem").join(owners, "l_orderkey").select("phone_number", F.concat_ws("-", "l_orderkey", "l_linenumber").alias("atomic_id"))
     return rc.attach_messages(li, o, [F.desc("o_orderdate"), F.desc("message_id")]).groupBy("phone_number", "message_id").agg(F.count("*").alias("atoms"))
 
 
-LAST_MESSAGE = """SELECT phone_number, message_id, count(*) AS atoms FROM (SELECT (l_orderkey % 2000)::VARCHAR AS phone_number FROM lineitem) JOIN
+LAST_MESSAGE = """SELECT phone_number, message_id, count(*) AS atoms FROM (SELECT o_custkey::VARCHAR AS phone_number FROM lineitem JOIN orders ON l_orderkey = o_orderkey) JOIN
   (SELECT o_custkey::VARCHAR AS phone_number, o_orderkey AS message_id FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1)
   USING (phone_number) GROUP BY ALL"""
 
@@ -417,7 +422,7 @@ PATCH_ERRORS = """SELECT o_orderkey AS id, o_orderkey % 10 AS database_id, 1.5::
 def _state_tables(spark, d):
     o = v.table(spark, d, "orders")
     return [o.where(F.col("o_orderpriority") == p).select(F.col("o_orderpriority").alias("state"), F.col("o_orderkey").alias("id"))
-            for p in ("1-URGENT", "2-HIGH", "3-MEDIUM")]
+            for p in ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")]
 
 
 def _merge_states(spark, d):
@@ -431,10 +436,8 @@ def _count_check(spark, d):
 
 
 def _sample(spark, d):
-    """Sampling is by a hash only Spark has; the check is the sample's size and membership."""
     o = v.table(spark, d, "orders").select("o_orderkey", "o_custkey")
-    s = rk.reproducible_sample(o, "o_orderkey", 100)
-    return s.join(o.select("o_orderkey"), "o_orderkey", "left_semi").agg(F.count("*").alias("n"), F.countDistinct("o_orderkey").alias("distinct_n"))
+    return rk.reproducible_sample(o, "o_orderkey", 100)
 
 
 def _load_rows(spark, d):
@@ -486,7 +489,7 @@ QUERIES = {
     "expand_elections": (lambda s, d: expanded(s, d).select(*EXPANDED_COLUMNS), f"WITH {CLEANED} SELECT {', '.join(EXPANDED_COLUMNS)} FROM expanded"),
     "clean_results": (lambda s, d: clean_results(s, d), f"WITH {CLEAN_RESULTS_CTE} SELECT * FROM results"),
     "temporal_match": (_temporal_match, TEMPORAL_MATCH),
-    "semi_join_dates": (_semi_join_dates, "SELECT o_orderpriority, count(*) AS orders FROM orders WHERE o_orderdate IN (SELECT l_shipdate FROM lineitem WHERE l_quantity > 49) GROUP BY 1"),
+    "semi_join_dates": (_semi_join_dates, "SELECT o_orderpriority, count(*) AS orders FROM orders WHERE o_orderdate IN (SELECT CASE WHEN l_quantity > 49 THEN l_shipdate END FROM lineitem) GROUP BY 1"),
     "race_texts": (_race_texts, RACE_TEXTS),
     "result_texts": (_result_texts, f"WITH {R} SELECT result_id, 'name: ' || candidate || ' | race: ' || race_name AS race_text FROM raw_results"),
     "district_query_texts": (_district_queries, DISTRICT_QUERIES),
@@ -509,9 +512,9 @@ QUERIES = {
     "merge_runoffs": (_merge_runoffs, MERGE_RUNOFFS),
     "runoff_counts": (_runoff_counts, RUNOFF_COUNTS),
     "patch_error_rows": (_patch_errors, PATCH_ERRORS),
-    "merge_state_tables": (_merge_states, "SELECT o_orderpriority AS state, o_orderkey AS id FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH', '3-MEDIUM')"),
-    "merge_count_check": (_count_check, "SELECT count(*) AS merged_rows, count(*) AS expected_rows, TRUE AS complete FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH', '3-MEDIUM')"),
-    "reproducible_sample": (_sample, "SELECT least(count(*), 100) AS n, least(count(*), 100) AS distinct_n FROM orders"),
+    "merge_state_tables": (_merge_states, "SELECT o_orderpriority AS state, o_orderkey AS id FROM orders"),
+    "merge_count_check": (_count_check, "SELECT count(*) AS merged_rows, count(*) AS expected_rows, TRUE AS complete FROM orders"),
+    "reproducible_sample": (_sample, "SELECT o_orderkey, o_custkey FROM orders ORDER BY md5(o_orderkey || '-42'), o_orderkey LIMIT 100"),
     "state_scan": (_load_rows, "SELECT c_custkey AS id, c_mktsegment AS state FROM customer WHERE c_mktsegment IN ('MACHINERY', 'BUILDING')"),
     "merge_tasks": (_merge_tasks, f"WITH {MERGED_TASKS} SELECT title, flow_type, week FROM merged"),
     "task_statistics": (_task_statistics, f"WITH {MERGED_TASKS} SELECT count(*) AS total_tasks, count(template_id) AS with_templates, count(*) FILTER (pro_required) AS pro_required, min(date) AS earliest, max(date) AS latest FROM merged"),

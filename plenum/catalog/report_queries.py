@@ -184,7 +184,7 @@ EVENT_SCORES = """WITH t AS (SELECT o_orderkey, o_orderdate, unnest(range(o_orde
 def _scoped(spark, d):
     """What a caller scoped to one segment and two nations sees."""
     c = v.table(spark, d, "customer").select("c_custkey", F.col("c_mktsegment").alias("state"), F.col("c_nationkey").cast("string").alias("city"))
-    return guards.scoped_view(c, "scoped_customers", "MACHINERY", ["3", "7"], max_rows=10_000_000)
+    return guards.scoped_view(c, "scoped_customers", "MACHINERY", ["3", "7"])
 
 
 def _split_counts(spark, d):

@@ -21,7 +21,7 @@ def _clean_text(spark, d):
 
 
 def _clean_documents(spark, d):
-    docs = v.text_table(spark, d, "documents", "doc_id")
+    docs = v.table(spark, d, "documents")
     return docs.select("doc_id", F.md5(tx.clean_text("text")).alias("light_md5"), F.md5(tx.clean_text_heavy("text")).alias("heavy_md5"))
 
 
@@ -45,7 +45,7 @@ MESSAGE_FLAGS = f"""WITH {M} SELECT message_id, {q.is_stop('message_text')} AS i
 
 
 def _text_lengths(spark, d):
-    docs = v.text_table(spark, d, "documents", "doc_id").withColumn("c", tx.length_check("text"))
+    docs = v.table(spark, d, "documents").withColumn("c", tx.length_check("text"))
     return docs.select("doc_id", "c.*")
 
 
@@ -82,7 +82,7 @@ FILTER_STATISTICS = f"""WITH {FILTERED} SELECT coalesce(campaign_name, 'all') AS
 
 
 def _filter_reasons(spark, d):
-    docs = v.text_table(spark, d, "documents", "doc_id").withColumnRenamed("text", "message_text")
+    docs = v.table(spark, d, "documents").withColumnRenamed("text", "message_text")
     return ms.filter_reason_counts(ms.filter_messages(docs))
 
 
@@ -154,7 +154,7 @@ TERMS = {"the": "THE", "ion": "$1", "main street": "[street]"}
 
 
 def _anonymise(spark, d):
-    docs = v.text_table(spark, d, "documents", "doc_id")
+    docs = v.table(spark, d, "documents")
     return docs.select("doc_id", F.md5(tx.anonymise("text", TERMS)).alias("anonymised_md5"))
 
 
@@ -164,7 +164,7 @@ ANONYMISE = "SELECT doc_id, md5({0}) AS anonymised_md5 FROM documents".format(
 
 
 def _pii_scan(spark, d):
-    return guards.scan_text(v.text_table(spark, d, "documents", "doc_id"), "text", "doc_id").groupBy("doc_id", "pattern_name", "matched_text").agg(
+    return guards.scan_text(v.table(spark, d, "documents"), "text", "doc_id").groupBy("doc_id", "pattern_name", "matched_text").agg(
         F.count("*").alias("hits")
     )
 
@@ -179,7 +179,7 @@ def _pii_sql() -> str:
 
 
 def _record_scan(spark, d):
-    docs = v.text_table(spark, d, "documents", "doc_id").select(
+    docs = v.table(spark, d, "documents").select(
         "doc_id", F.struct("text", F.struct(F.array("text", F.col("lang")).alias("notes"), "source").alias("details")).alias("artifact")
     )
     return guards.scan_records(docs, "doc_id").groupBy("field_path", "pattern_name").agg(F.count("*").alias("hits"))
@@ -195,7 +195,7 @@ def _record_scan_sql() -> str:
 
 
 def _sanitize_html(spark, d):
-    return v.text_table(spark, d, "pages", "page_id").select("page_id", pv.sanitize_html("html").alias("text"))
+    return v.table(spark, d, "pages").select("page_id", pv.sanitize_html("html").alias("text"))
 
 
 def _sanitize_sql(x: str) -> str:
@@ -205,7 +205,7 @@ def _sanitize_sql(x: str) -> str:
 
 
 def _fence_content(spark, d):
-    pages = v.text_table(spark, d, "pages", "page_id").withColumn("content", pv.sanitize_html("html"))
+    pages = v.table(spark, d, "pages").withColumn("content", pv.sanitize_html("html"))
     return pages.select("page_id", F.md5(pv.fence_content("content", "url", on_refusal="null")).alias("fenced_md5"))
 
 
@@ -221,7 +221,7 @@ FENCE_CONTENT = f"""SELECT page_id, CASE WHEN NOT regexp_matches(c, '(?i)</?untr
 
 
 def _publish_findings(spark, d):
-    pages = v.text_table(spark, d, "pages", "page_id").select("page_id", F.struct("html", "url").alias("artifact"))
+    pages = v.table(spark, d, "pages").select("page_id", F.struct("html", "url").alias("artifact"))
     return guards.publish_findings(pages, "page_id")
 
 
@@ -232,7 +232,7 @@ PUBLISH_FINDINGS = """SELECT page_id, 'artifact.' || f AS field_path, kind AS fi
 
 
 def _host_allowed(spark, d):
-    return v.text_table(spark, d, "pages", "page_id").select("page_id", pv.url_host("url").alias("host"), pv.host_allowed("url", ALLOWED).alias("allowed"))
+    return v.table(spark, d, "pages").select("page_id", pv.url_host("url").alias("host"), pv.host_allowed("url", ALLOWED).alias("allowed"))
 
 
 HOST_ALLOWED = """SELECT page_id, host, host IN ('example.com', 'thther.example.org') OR host LIKE '%.example.com' AS allowed
@@ -276,7 +276,7 @@ CAMPAIGN_LENGTHS = f"WITH {SPLIT_CTE} SELECT campaign_name, count(*) AS atomic_m
 
 def _parse_model_json(spark, d):
     """Model answers with fences, doubled braces, trailing commas and indexes out of range."""
-    e = v.text_table(spark, d, "orders", "o_orderkey")
+    e = v.table(spark, d, "orders")
     k = F.col("o_orderkey")
     body = F.concat(F.lit('"best_match": '), (k % 14).cast("string"), F.lit(', "confidence": '), (k % 101).cast("string"), F.lit(', "reasoning": "r'), (k % 7).cast("string"), F.lit('"'))
     answer = (
@@ -309,7 +309,7 @@ LOAD_SUMMARY = f"WITH {M} " + " UNION ALL ".join(
 
 
 def _text_length_profile(spark, d):
-    p = ms.text_length_profile(v.text_table(spark, d, "documents", "doc_id").withColumn("t", F.when(F.col("doc_id") % 3 == 0, F.col("n_chars"))), "text", "t")
+    p = ms.text_length_profile(v.table(spark, d, "documents").withColumn("t", F.when(F.col("doc_id") % 3 == 0, F.col("n_chars"))), "text", "t")
     return p.withColumns({c: F.round(c, 6) for c in ("mean_length", "timestamp_coverage")})
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from plenum.functions.text import _col
+from plenum.functions.text import _col, let
 
 
 def dot(a: Column | str, b: Column | str) -> Column:
@@ -19,9 +19,9 @@ def norm(a: Column | str) -> Column:
 
 def l2_normalise(a: Column | str) -> Column:
     """Unit vector; a zero vector stays zero."""
-    size = norm(a)
-    scale = F.when(size > 0, size).otherwise(F.lit(1.0))
-    return F.transform(_col(a), lambda x: x.cast("double") / scale)
+    size = let(norm(a), lambda z: F.when(z > 0, z).otherwise(F.lit(1.0)))
+    # the length is bound once; inside the element function it would be computed per element
+    return let(size, lambda z: F.transform(_col(a), lambda x: x.cast("double") / z))
 
 
 def cosine(a: Column | str, b: Column | str) -> Column:

@@ -2,33 +2,36 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plenum.functions.privacy import breaks_fence, has_dangerous_markup, pii_matches, string_leaves
 
 
 def scoped(
-    df: DataFrame, state: str, cities: list[str] | None = None, max_rows: int | None = None,
-    state_column: str = "state", city_column: str = "city",
+    df: DataFrame, state: str, cities: list[str] | None = None, state_column: str = "state", city_column: str = "city",
 ) -> DataFrame:
     """The rows a caller may see. The filter comes first and cannot be widened later."""
     view = df.where(F.col(state_column) == state)
-    if cities:
-        view = view.where(F.col(city_column).isin(cities))
-    return view if max_rows is None else view.limit(max_rows)
+    return view.where(F.col(city_column).isin(cities)) if cities else view
 
 
-def scoped_view(df: DataFrame, name: str, state: str, cities: list[str] | None = None, max_rows: int = 50_000, **columns: str) -> DataFrame:
+def scoped_view(df: DataFrame, name: str, state: str, cities: list[str] | None = None, **columns: str) -> DataFrame:
     """Register the scoped rows as a view; hand out the view, not the table."""
-    view = scoped(df, state, cities, max_rows, **columns)
+    view = scoped(df, state, cities, **columns)
     view.createOrReplaceTempView(name)
     return view
 
 
-def row_cap_hit(df: DataFrame, max_rows: int) -> bool:
-    """Whether a result reached the cap; reads one row more than the cap at most."""
-    return df.limit(max_rows + 1).count() >= max_rows
+def row_capped(df: DataFrame, max_rows: int, order: list[str]) -> DataFrame:
+    """The first ``max_rows`` rows by ``order``, each with ``row_cap_hit``: were there more?
+
+    Only a caller who wants a preview caps; no other function does. One row more than the cap
+    is read to know whether it cut anything.
+    """
+    some = df.orderBy(*order).limit(max_rows + 1)
+    flagged = some.withColumn("row_cap_hit", F.count("*").over(Window.partitionBy()) > max_rows)
+    return flagged.orderBy(*order).limit(max_rows)
 
 
 def scan_text(df: DataFrame, text: str, *ids: str) -> DataFrame:

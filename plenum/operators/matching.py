@@ -17,8 +17,8 @@ from plenum.functions.names import is_municipal
 from plenum.functions.text import _col, nullif_blank
 from plenum.operators.ranking import top_n
 
-QUERY_TILE = 4_096
-CANDIDATE_TILE = 32_768
+#: Bytes of one side of a tile as a matrix of doubles.
+TILE_BYTES = 64 << 20
 DIGITS = 9
 
 
@@ -56,15 +56,16 @@ def block_topk(
     candidate_vector: str = "candidate_vector",
     metric: str = "cosine",
     pair: Pair = Pair(),
-    query_tile: int = QUERY_TILE,
-    candidate_tile: int = CANDIDATE_TILE,
+    query_tile: int | None = None,
+    candidate_tile: int | None = None,
 ) -> DataFrame:
     """The exact ``k`` nearest candidates of every query inside its block.
 
     A block is cut into query tiles times candidate tiles, sized from its counts; one task
     group multiplies one tile pair and hands on at most ``k`` rows per query. So pairs are
-    never rows, memory is bounded by the tile, and a block holding a third of the table is
-    many groups. The tile lists are a row per block: the join with them is left to adaptive
+    never rows, and a block holding a third of the table is many groups. A tile has as many
+    rows as fit ``TILE_BYTES`` at the length of the first vector (unless rows are given), so
+    memory does not grow with the dimension. The tile lists are a row per block: the join with them is left to adaptive
     execution, which checks their size before broadcasting and splits skewed blocks otherwise.
 
     Scores are rounded before ranking, so ties fall to the smaller id whatever the tile shape.
@@ -78,6 +79,11 @@ def block_topk(
         *[F.col(c).alias(c) for c in on], F.col(candidate_id).alias("candidate_id"), F.col(candidate_vector).alias("vector"), *pair.candidate_columns
     ).where(F.col("vector").isNotNull())
 
+    if query_tile is None or candidate_tile is None:
+        first = c.select(F.size("vector")).first()
+        rows = max(64, TILE_BYTES // (8 * max(first[0], 1))) if first else 1
+        query_tile, candidate_tile = query_tile or rows, candidate_tile or rows
+
     def tile_counts(df: DataFrame, size: int, name: str) -> DataFrame:
         # counted without looking at the vectors, so this scan reads the block columns only
         return df.groupBy(*[F.col(b).alias(b) for b in on]).agg(F.ceil(F.count("*") / size).cast("int").alias(name))
@@ -116,13 +122,26 @@ def _arrow_schema(schema: T.StructType) -> pa.Schema:
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     rows = column.combine_chunks()
     flat = rows.flatten().to_numpy(zero_copy_only=False)
-    return flat.reshape(len(rows), -1).astype(np.float64, copy=False)
+    return flat.reshape(len(rows), -1).astype(np.float64)
 
 
 def _unit(matrix: np.ndarray) -> np.ndarray:
-    sizes = np.linalg.norm(matrix, axis=1, keepdims=True)
+    """The rows at unit length, in place."""
+    sizes = np.sqrt(np.einsum("ij,ij->i", matrix, matrix))[:, None]
     sizes[sizes == 0] = 1.0
-    return matrix / sizes
+    matrix /= sizes
+    return matrix
+
+
+def _first_k(costs: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column of the ``k`` smallest finite costs of every row; ties go to the left column."""
+    limit = np.partition(costs, k - 1, axis=1)[:, k - 1 : k] if costs.shape[1] > k else np.inf
+    rows, columns = np.nonzero((costs <= limit) & np.isfinite(costs))
+    order = np.lexsort((columns, costs[rows, columns], rows))
+    rows, columns = rows[order], columns[order]
+    starts = np.searchsorted(rows, np.arange(len(costs)))
+    keep = np.arange(len(rows)) - starts[rows] < k
+    return rows[keep], columns[keep]
 
 
 def _tile_search(k: int, metric: str, pair: Pair, schema: pa.Schema) -> Callable[[pa.Table, pa.Table], pa.Table]:
@@ -167,14 +186,10 @@ def _tile_search(k: int, metric: str, pair: Pair, schema: pa.Schema) -> Callable
                 bits = c[pair.allowed[1]].to_numpy()[None, :] & q[pair.allowed[0]].to_numpy()[part, None]
                 usable &= bits != 0
             costs[~usable] = np.inf
-            limit = np.partition(costs, k - 1, axis=1)[:, k - 1] if costs.shape[1] > k else np.full(len(costs), np.inf)
-            for i, row in enumerate(costs):
-                near = np.flatnonzero((row <= limit[i]) & np.isfinite(row))
-                # candidates are sorted by id, so a stable sort breaks ties by id
-                near = near[np.argsort(row[near], kind="stable")[:k]]
-                found_q.append(np.full(len(near), start + i))
-                found_c.append(near)
-                found_s.append(row[near] if metric == "l2" else -row[near])
+            rows, near = _first_k(costs, k)  # candidates are sorted by id, so ties fall to the smaller id
+            found_q.append(start + rows)
+            found_c.append(near)
+            found_s.append(costs[rows, near] if metric == "l2" else -costs[rows, near])
         picked_q, picked_c = np.concatenate(found_q), np.concatenate(found_c)
         return pa.table(
             {
@@ -348,24 +363,6 @@ def candidate_list_json(ranked: DataFrame, keys: list[str], columns: list[str])
     return ranked.groupBy(*keys).agg(F.to_json(F.sort_array(F.collect_list(entry))).alias("top_candidates"))
 
 
-def match_records(
-    records: DataFrame,
-    chosen: DataFrame,
-    key: str,
-    matched_columns: list[str],
-    threshold: float = 70,
-) -> DataFrame:
-    """One row per record: matched-side columns are null unless the choice was accepted."""
-    joined = records.join(chosen, key, "left")
-    ok = accept("confidence", threshold)
-    joined = joined.withColumn("has_match", ok).withColumn(
-        "confidence", F.coalesce(F.col("confidence").cast("double"), F.lit(0.0))
-    )
-    for c in [*matched_columns, "best_match"]:
-        joined = joined.withColumn(c, F.when(F.col("has_match"), F.col(c)))
-    return joined.withColumn("match_source", F.coalesce("match_source", F.lit("no_match")))
-
-
 def match_statistics(matches: DataFrame) -> DataFrame:
     race = F.col("matched_race_name")
     return matches.agg(

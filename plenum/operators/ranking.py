@@ -23,7 +23,7 @@ def top_n(df: DataFrame, keys: list[str], order: list[Column], n: int, rank: str
 
 def reproducible_sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
     """``n`` rows chosen by a hash of their key: the same rows under any partitioning."""
-    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), F.col(key)).limit(n)
+    return df.orderBy(F.md5(F.concat_ws("-", F.col(key), F.lit(seed))), F.col(key)).limit(n)
 
 
 def attach_row(df: DataFrame, row: DataFrame) -> DataFrame:

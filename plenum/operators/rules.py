@@ -69,17 +69,6 @@ def mentions_enforcement(c: Column | str) -> Column:
     return _triggered(F.lower(_col(c)), fixed.ENFORCEMENT_WORDS)
 
 
-def police_rule(issues: Column | str, c: Column | str, strict_parity: bool = False) -> Column:
-    """With e-bike words, police stays only beside an enforcement word.
-
-    Under ``strict_parity`` the rule never removes anything, as in the observed behaviour.
-    """
-    if strict_parity:
-        return _col(issues)
-    drop = mentions_ebike(c) & ~mentions_enforcement(c)
-    return F.filter(_col(issues), lambda i: ~(i["secondary_category"].contains("police") & drop))
-
-
 def refine_issues(issues: Column | str, c: Column | str) -> Column:
     """Business permits bring zoning in as a root cause."""
     permit = F.lower(_col(c)).rlike(f"(?d){fixed.BUSINESS_PERMIT_PATTERN}")

@@ -106,6 +106,20 @@ def normalise_columns(df: DataFrame, aliases: dict[str, list[str]] = fixed.POLL_
     return df
 
 
+def _first_line(spark: SparkSession, path: str) -> str:
+    """The first line of a file that is not blank; no more than the start of the file is read."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stream = place.getFileSystem(spark._jsc.hadoopConfiguration()).open(place)
+    reader = spark._jvm.java.io.BufferedReader(spark._jvm.java.io.InputStreamReader(stream, "UTF-8"))
+    try:
+        line = reader.readLine()
+        while line is not None and not line.strip():
+            line = reader.readLine()
+        return line or ""
+    finally:
+        reader.close()
+
+
 def consolidate_polls(spark: SparkSession, folder: str, campaign: str) -> tuple[DataFrame, DataFrame]:
     """All rows of a campaign's files, with the file stem as poll, and the list of its files.
 
@@ -120,13 +134,9 @@ def consolidate_polls(spark: SparkSession, folder: str, campaign: str) -> tuple[
     filled = [f["path"] for f in listed if f["size"] > 0]
     parts = []
     if filled:
-        lines = spark.read.text(filled).select(
-            F.col("_metadata.file_path").alias("path"), "value", F.monotonically_increasing_id().alias("_i")
-        ).where(strip("value") != "")
-        heads = lines.groupBy("path").agg(F.min_by("value", "_i").alias("header")).collect()  # a row per file
         by_header: dict[str, list[str]] = {}
-        for row in sorted(heads, key=lambda r: r["path"]):
-            by_header.setdefault(row["header"], []).append(row["path"])
+        for path in filled:
+            by_header.setdefault(_first_line(spark, path), []).append(path)
         for paths in by_header.values():
             part = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(paths)
             stem = F.regexp_replace(F.url_decode(F.col("_metadata.file_name")), r"\.[^.]*$", "")

@@ -7,7 +7,6 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plenum.functions.text import issue_strings
 
 
 def write_snapshot(df: DataFrame, folder: str, name: str, stamp: datetime) -> tuple[str, str]:
@@ -66,11 +65,15 @@ def unfinished(df: DataFrame, done: DataFrame, key: str, result: str) -> DataFra
     return df.join(done.where(F.col(result).isNotNull()).select(key).distinct(), key, "left_anti")
 
 
-def resume(df: DataFrame, folder: str, key: str, result: str, compute, index: str | None = None, start: int | None = None, stop: int | None = None) -> DataFrame:
+def resume(
+    df: DataFrame, folder: str, key: str, result: str, compute, index: str | None = None, start: int | None = None, stop: int | None = None, slices: int = 10,
+) -> DataFrame:
     """Compute only what is missing and append it; a rerun continues where the last one ended.
 
-    ``compute`` maps a DataFrame to the same rows with ``result``. The appended table is the
-    checkpoint: every committed task file survives a lost run.
+    ``compute`` maps a DataFrame to the same rows with ``result``. The rows go in ``slices`` by
+    the hash of their key and every slice is a commit of its own, so a lost run costs one
+    slice. Before each slice the keys in the folder are left out, also those that a run left
+    there without finishing, so no key is written twice.
     """
     spark = df.sparkSession
     if index is not None:
@@ -78,10 +81,13 @@ def resume(df: DataFrame, folder: str, key: str, result: str, compute, index: st
             df = df.where(F.col(index) >= start)
         if stop is not None:
             df = df.where(F.col(index) < stop)
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/_SUCCESS")
-    if hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
-        df = unfinished(df, spark.read.parquet(folder), key, result)
-    compute(df).write.mode("append").parquet(folder)
+    files = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/*.parquet")
+    system = files.getFileSystem(spark._jsc.hadoopConfiguration())
+    for number in range(slices):
+        part = df.where(F.pmod(F.xxhash64(key), F.lit(slices)) == number)
+        if system.globStatus(files):
+            part = unfinished(part, spark.read.parquet(folder), key, result)
+        compute(part).write.mode("append").parquet(folder)
     return spark.read.parquet(folder)
 
 
@@ -106,8 +112,3 @@ def enriched_export(messages: DataFrame, summaries: DataFrame) -> DataFrame:
         F.concat_ws("/", "primary_category", "secondary_category").alias("category"),
         F.col("stance").alias("sentiment"), F.coalesce(F.to_json("clusters"), F.lit("[]")).alias("cluster_analysis"),
     )
-
-
-def classified_export(df: DataFrame) -> DataFrame:
-    """Classified messages with their issues as one text column."""
-    return df.withColumn("issues_text", issue_strings("issues")).drop("issues")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -35,56 +36,73 @@ def drop_exact_duplicates(stream: DataFrame, phone: str, text: str, timestamp: s
 
 
 class DuplicateState(StatefulProcessor):
-    """Per phone: the hashes of the texts seen and the words of the last message kept."""
+    """Per phone: digests of the texts seen and the words of the last message kept.
+
+    Both expire ``keep_ms`` after they were last written.
+    """
+
+    def __init__(self, keep_ms: int) -> None:
+        self.keep_ms = keep_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.seen = handle.getMapState("seen", "digest string", "flag boolean")
-        self.kept = handle.getValueState("kept", "words string")
+        self.seen = handle.getMapState("seen", "digest string", "flag boolean", self.keep_ms)
+        self.kept = handle.getValueState("kept", "words string", self.keep_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        for batch in rows:
-            batch = batch.sort_values(["source_file", "source_row"])
-            verdicts = []
-            for text in batch["normalised"]:
-                if self.seen.containsKey((text,)):
-                    verdicts.append("duplicate")
-                    continue
-                self.seen.updateValue((text,), (True,))
-                words = frozenset(text.split())
-                last = self.kept.get()
-                if last is not None and near_duplicate(words, frozenset(last[0].split())):
-                    verdicts.append("near_duplicate")
-                else:
-                    self.kept.update((text,))
-                    verdicts.append("new")
-            yield pd.DataFrame(
-                {"phone": [key[0]] * len(batch), "source_file": batch["source_file"].tolist(), "source_row": batch["source_row"].tolist(), "verdict": verdicts}
-            )
+        # all rows of a phone in this micro-batch, however many Arrow batches they came in
+        batch = pd.concat(list(rows)).sort_values(["source_file", "source_row"])
+        verdicts = []
+        for text in batch["normalised"]:
+            digest = (hashlib.md5(text.encode()).hexdigest(),)
+            if self.seen.containsKey(digest):
+                verdicts.append("duplicate")
+                continue
+            self.seen.updateValue(digest, (True,))
+            words = frozenset(text.split())
+            last = self.kept.get()
+            if last is not None and near_duplicate(words, frozenset(last[0].split())):
+                verdicts.append("near_duplicate")
+            else:
+                self.kept.update((text,))
+                verdicts.append("new")
+        yield pd.DataFrame(
+            {"phone": [key[0]] * len(batch), "source_file": batch["source_file"].tolist(), "source_row": batch["source_row"].tolist(), "verdict": verdicts}
+        )
 
     def close(self) -> None:
         pass
 
 
-def duplicate_verdicts(stream: DataFrame, phone: str, text: str, file: str = "source_file", row: str = "source_row") -> DataFrame:
+def duplicate_verdicts(stream: DataFrame, phone: str, text: str, file: str = "source_file", row: str = "source_row", keep_days: int = 365) -> DataFrame:
     """new, duplicate or near_duplicate for every message, with state per phone.
 
-    The order of arrival is the order of the rule; inside a batch it is file and row.
+    The order of arrival is the order of the rule; inside a micro-batch it is file and row.
+    What a phone sent is forgotten after ``keep_days``.
     """
     prepared = stream.select(
         F.col(phone).alias("phone"), F.col(file).alias("source_file"), F.col(row).cast("bigint").alias("source_row"),
         F.lower(tx.clean_text(F.col(text))).alias("normalised"),
     ).where("phone <> '' and normalised is not null")
     return prepared.groupBy("phone").transformWithStateInPandas(
-        statefulProcessor=DuplicateState(),
+        statefulProcessor=DuplicateState(keep_days * 86_400_000),
         outputStructType="phone string, source_file string, source_row bigint, verdict string",
-        outputMode="Append", timeMode="None",
+        outputMode="Append", timeMode="ProcessingTime",
     )
 
 
-def complete_polls(stream: DataFrame, polls: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, minimum: int = 1, n: int = 3) -> StreamingQuery:
-    """Completion of the polls of every batch of records."""
+def complete_polls(
+    stream: DataFrame, polls: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, store: str, minimum: int = 1, n: int = 3,
+) -> StreamingQuery:
+    """Completion of the polls that a batch touches, from all their records so far.
+
+    Records are kept in ``store``, a folder per batch that a repeated batch replaces, so a
+    poll whose files arrive in several batches ends with one complete result.
+    """
     def run(batch: DataFrame, epoch: int) -> None:
-        mine = polls.join(batch.select("poll_id").distinct(), "poll_id", "left_semi")
-        sink(poll_completion(mine, batch, minimum, n), epoch)
+        spark = batch.sparkSession
+        batch.write.mode("overwrite").parquet(f"{store}/batch={epoch}")
+        touched = spark.read.parquet(f"{store}/batch={epoch}").select("poll_id").distinct()
+        records = spark.read.parquet(store).drop("batch").join(touched, "poll_id", "left_semi")
+        sink(poll_completion(polls.join(touched, "poll_id", "left_semi"), records, minimum, n), epoch)
 
     return stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

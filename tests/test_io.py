@@ -116,7 +116,27 @@ def test_resume_computes_only_what_is_missing(spark, tmp_path):
 
     wr.resume(df, str(tmp_path / "r"), "id", "result", compute, index="id", stop=4)
     out = wr.resume(df, str(tmp_path / "r"), "id", "result", compute)
-    assert seen == [4, 6] and out.count() == 10
+    assert sum(seen[:10]) == 4 and sum(seen) == 10 and out.count() == out.distinct().count() == 10
+
+
+def test_a_lost_run_keeps_its_slices(spark, tmp_path):
+    df, folder, done = spark.range(100), str(tmp_path / "lost"), []
+
+    def compute(todo):
+        if len(done) == 3 and not lost.get("again"):
+            raise RuntimeError("executor lost")
+        done.append(todo.count())
+        return todo.withColumn("result", F.lit("ok"))
+
+    lost = {}
+    with pytest.raises(RuntimeError):
+        wr.resume(df, folder, "id", "result", compute, slices=5)
+    kept = spark.read.parquet(folder).count()
+    # a run that ends before its job is committed leaves files without a success mark
+    (tmp_path / "lost" / "_SUCCESS").unlink()
+    lost["again"] = True
+    out = wr.resume(df, folder, "id", "result", compute, slices=5)
+    assert kept == sum(done[:3]) > 0 and sum(done) == 100 and out.count() == out.select("id").distinct().count() == 100
 
 
 def test_split_write(spark, tmp_path):

@@ -97,3 +97,21 @@ def test_patching_prefers_id(spark):
     new = ds.error_rows(m).withColumn("district_name", F.lit("fixed"))
     got = {r.id: r.district_name for r in ds.patch_rows(m, new).collect()}
     assert got == {1: "fixed", 2: "fixed", 3: "B"}
+
+
+def test_long_vectors_in_several_tiles(spark, monkeypatch):
+    """3072 dimensions; a tile holds what fits the bytes, and the result does not depend on it."""
+    rng = np.random.default_rng(5)
+    vectors = rng.normal(size=(150, 3072)).astype(np.float32)
+    df = spark.createDataFrame([("x", i, vectors[i].tolist()) for i in range(150)], "block string, id long, v array<float>")
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    scores = np.round(unit.astype(np.float64) @ unit.T.astype(np.float64), 6)
+    got = {}
+    for size in (1 << 20, 64 << 20):
+        monkeypatch.setattr(mt, "TILE_BYTES", size)
+        rows = mt.block_topk(df, df, ["block"], 3, "id", "id", "v", "v", pair=mt.Pair(same_id=False)).collect()
+        got[size] = sorted((r.query_id, r.rank, r.candidate_id) for r in rows)
+    assert got[1 << 20] == got[64 << 20]
+    for q, rank, c in got[64 << 20]:
+        others = np.delete(scores[q], q)
+        assert abs(scores[q, c] - np.sort(others)[-rank]) < 1e-5

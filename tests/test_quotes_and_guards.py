@@ -76,4 +76,6 @@ def test_scope_cannot_be_widened(spark):
     df = spark.createDataFrame([("CA", "a"), ("CA", "b"), ("TX", "a")], "state string, city string")
     guards.scoped_view(df, "mine", "CA", ["a"])
     assert spark.sql("select * from mine where state = 'TX' or true").count() == 1
-    assert guards.row_cap_hit(df, 3) and not guards.row_cap_hit(df, 4)
+    capped = guards.row_capped(df, 2, ["state", "city"]).collect()
+    assert [(r.state, r.city) for r in capped] == [("CA", "a"), ("CA", "b")] and all(r.row_cap_hit for r in capped)
+    assert not any(r.row_cap_hit for r in guards.row_capped(df, 3, ["city"]).collect())

@@ -3,7 +3,10 @@
 from pyspark.sql import functions as F
 
 from plenum.operators import messages as ms
+from plenum.operators.polls import poll_completion
 from plenum.streaming import messages as st
+from tests.test_insights_and_polls import SCHEMA as POLL_SCHEMA
+from tests.test_insights_and_polls import record
 
 SCHEMA = "phone string, source_row bigint, text string"
 ROWS = [("1", 1, "a b c d e f g h i j"), ("1", 2, "a b c d e f g h i j k"), ("1", 3, "A b c d e f g h i j"), ("1", 4, "new text here"), ("2", 5, "a b c"), ("2", 6, "a b c")]
@@ -50,3 +53,17 @@ def test_each_file_runs_once(spark, tmp_path):
     run()
     run()
     assert counts == [2, 4]
+
+
+def test_a_poll_in_two_batches_ends_complete(spark, tmp_path):
+    """The second batch sees the records of the first."""
+    rows = [record(1, "p", "a", 1), record(2, "p", "b", 2), record(3, "p", "c", 2), record(4, "q", "d", 1), record(5, "p", "d", 3), record(6, "p", "e", 1), record(7, "p", "f", 1)]
+    polls, source, out = spark.createDataFrame([("p",), ("q",), ("silent",)], "poll_id string"), str(tmp_path / "in"), []
+    whole = spark.createDataFrame(rows, POLL_SCHEMA)
+    for part in (rows[:4], rows[4:]):
+        spark.createDataFrame(part, POLL_SCHEMA).coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(whole.schema).parquet(source)
+        st.complete_polls(stream, polls, lambda df, _: out.append({r.poll_id: r for r in df.collect()}), str(tmp_path / "ck3"), str(tmp_path / "store")).awaitTermination(120)
+    want = {r.poll_id: r for r in poll_completion(polls, whole, 1, 3).collect()}
+    assert [sorted(batch) for batch in out] == [["p", "q"], ["p"]]
+    assert out[1]["p"] == want["p"] and out[0]["q"] == want["q"] and out[0]["p"] != want["p"]
