@@ -297,6 +297,11 @@ def _one_per_phone(spark, d):
     return qt.attribute_quotes(quotes, messages, fallback="first").select("cluster_id", "quote_id", "phone_number", "matched_by")
 
 
+#: Every quote stands in its own turn, so each is found by containment; one quote per speaker.
+ATTRIBUTED = f"""SELECT cluster_id, quote_id, phone_number, 'contains' AS matched_by FROM ({CONTAINED})
+  QUALIFY row_number() OVER (PARTITION BY cluster_id, phone_number ORDER BY quote_id) = 1"""
+
+
 def _claims(spark, d):
     p = v.table(spark, d, "pages")
     title = F.regexp_extract("html", "<title>([^<]*)</title>", 1)
@@ -329,6 +334,18 @@ def _verify_explained(spark, d):
     return qt.verify_quotes(claims, pages, key="page_id").groupBy("match", F.floor(F.col("similarity") * 10).alias("tenth")).agg(F.count("*").alias("n"))
 
 
+#: The longest block of a miss: the longest piece of the quote that the page contains.
+EXPLAINED = f"""WITH c AS (SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS quote FROM pages UNION ALL
+    SELECT page_id, regexp_extract(html, '<h1>([^<]*)</h1>', 1) || ' zzz' FROM pages), p AS (SELECT page_id, {_normal_sql('html')} AS body FROM pages),
+  t AS (SELECT row_number() OVER () AS claim, {_normal_sql('quote')} AS q, body FROM c JOIN p USING (page_id)),
+  sizes AS (SELECT claim, q, body, unnest(range(1, length(q) + 1)) AS size FROM t WHERE NOT (q <> '' AND contains(body, q))),
+  pieces AS (SELECT claim, body, size, q, unnest(range(1, length(q) - size + 2)) AS place FROM sizes),
+  best AS (SELECT claim, max(size) FILTER (contains(body, substr(q, place, size))) AS size FROM pieces GROUP BY claim),
+  scored AS (SELECT q <> '' AND contains(body, q) AS match, CASE WHEN q <> '' AND contains(body, q) THEN 1.0::DOUBLE ELSE coalesce(best.size / length(q), 0.0::DOUBLE) END AS similarity
+    FROM t LEFT JOIN best USING (claim))
+  SELECT match, CAST(floor(similarity * 10) AS BIGINT) AS tenth, count(*) AS n FROM scored GROUP BY ALL"""
+
+
 def _source_confidence(spark, d):
     o = v.table(spark, d, "orders")
     s = o.select((F.col("o_orderkey") % 4000).alias("atom_id"), (F.col("o_orderstatus") != "P").alias("verified"),
@@ -362,8 +379,8 @@ QUERIES = {
     "state_match_rates": (_state_rates, STATE_RATES),
     "missing_reference_states": (_missing, f"WITH {V} SELECT 'PR' AS state WHERE EXISTS (SELECT 1 FROM vectors WHERE vec_id % 23 = 0)"),
     "attribute_contained_quotes": (_contained, CONTAINED),
-    "attribute_quotes": (_one_per_phone, None),
+    "attribute_quotes": (_one_per_phone, ATTRIBUTED),
     "verify_quotes": (_verify, VERIFY),
-    "verify_quotes_explained": (_verify_explained, None),
+    "verify_quotes_explained": (_verify_explained, EXPLAINED),
     "source_confidence": (_source_confidence, SOURCE_CONFIDENCE),
 }

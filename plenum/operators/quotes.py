@@ -16,10 +16,20 @@ from plenum.operators.ranking import keep_first
 MIN_RATIO = 0.6
 
 
+def ratio_above(left: str, right: str, least: float) -> float:
+    """difflib's ratio, or 0 when it is not above ``least``.
+
+    ``quick_ratio`` counts common characters without their order: an upper bound in linear
+    time, so only pairs that may pass are aligned.
+    """
+    matcher = SequenceMatcher(None, left, right)
+    return matcher.ratio() if matcher.quick_ratio() > least else 0.0
+
+
 @F.pandas_udf(T.DoubleType())
 def similarity_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
     """difflib's ratio; neither an edit distance nor symmetric, so no built-in replaces it."""
-    return pd.Series([SequenceMatcher(None, a, b).ratio() for a, b in zip(left, right)], dtype="float64")
+    return pd.Series([ratio_above(a, b, MIN_RATIO) for a, b in zip(left, right)], dtype="float64")
 
 
 @F.pandas_udf(T.StringType())
@@ -101,17 +111,30 @@ BLOCK = T.StructType(
 )
 
 
+def common_block(body: str, quote: str) -> tuple[int, int]:
+    """Length of the longest common block and its first place in the body.
+
+    A block of some length contains blocks of every smaller length, so the length is found by
+    bisection; each step looks up the distinct pieces of the quote in the body.
+    """
+    def places(size: int) -> list[int]:
+        return [at for piece in {quote[i : i + size] for i in range(len(quote) - size + 1)} if (at := body.find(piece)) >= 0]
+
+    low, high = 0, min(len(quote), len(body))
+    while low < high:
+        middle = (low + high + 1) // 2
+        pieces = {quote[i : i + middle] for i in range(len(quote) - middle + 1)}
+        low, high = (middle, high) if any(p in body for p in pieces) else (low, middle - 1)
+    return low, min(places(low)) if low else 0
+
+
 @F.pandas_udf(BLOCK)
 def longest_block(body: pd.Series, quote: pd.Series) -> pd.DataFrame:
     """Longest common block as a share of the quote, and the text around it."""
     rows = []
     for b, q in zip(body, quote):
-        if not b or not q:
-            rows.append((0.0, None))
-            continue
-        hit = SequenceMatcher(None, b, q, autojunk=False).find_longest_match(0, len(b), 0, len(q))
-        window = b[max(0, hit.a - 30): hit.a + hit.size + 30] if hit.size else None
-        rows.append((hit.size / len(q), window))
+        size, at = common_block(b or "", q or "")
+        rows.append((size / len(q), b[max(0, at - 30): at + size + 30]) if size else (0.0, None))
     return pd.DataFrame(rows, columns=["similarity", "closest_match"])
 
 

@@ -79,3 +79,25 @@ def test_scope_cannot_be_widened(spark):
     capped = guards.row_capped(df, 2, ["state", "city"]).collect()
     assert [(r.state, r.city) for r in capped] == [("CA", "a"), ("CA", "b")] and all(r.row_cap_hit for r in capped)
     assert not any(r.row_cap_hit for r in guards.row_capped(df, 3, ["city"]).collect())
+
+
+def test_longest_block_is_that_of_difflib():
+    import random
+    from difflib import SequenceMatcher
+
+    rng = random.Random(3)
+    for _ in range(300):
+        body, quote = ("".join(rng.choices("abc ", k=rng.randint(0, n))) for n in (60, 20))
+        hit = SequenceMatcher(None, body, quote, autojunk=False).find_longest_match(0, len(body), 0, len(quote))
+        assert quotes.common_block(body, quote) == (hit.size, hit.a if hit.size else 0)
+
+
+def test_ratio_bound_loses_nothing():
+    import random
+    from difflib import SequenceMatcher
+
+    rng = random.Random(4)
+    for _ in range(300):
+        a, b = ("".join(rng.choices("abcd", k=rng.randint(0, 30))) for _ in range(2))
+        full = SequenceMatcher(None, a, b).ratio()
+        assert quotes.ratio_above(a, b, 0.6) == full if full > 0.6 else quotes.ratio_above(a, b, 0.6) <= 0.6
