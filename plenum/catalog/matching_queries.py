@@ -237,23 +237,33 @@ def _district_matching(spark, d):
     return m.select("position_id", "district_name", "is_matched", F.round("confidence", 4).alias("confidence"), F.round("top_embedding_score", 6).alias("top_embedding_score"))
 
 
-def _district_sql() -> str:
+def _user_matching(spark, d):
+    """Users with a city: city boost, the best generic district that a list lacks, stricter for municipal offices."""
+    m = dm.match_districts(*district_inputs(spark, d), city="city", variant="best_of_rest")
+    return m.select("position_id", "district_name", "is_matched", F.round("confidence", 4).alias("confidence"), F.round("top_embedding_score", 6).alias("top_embedding_score"))
+
+
+def _district_sql(city: bool = False) -> str:
     name, other = "lower(p.name)", "lower(d.district_name)"
+    like, offers, first = (BOOSTED, 14, "QUALIFY row_number() OVER (PARTITION BY l.position_id ORDER BY g.rank) = 1") if city else (COS, 1, "")
+    office = v.sql_pick(v.OFFICES, f"vec_id % {len(v.OFFICES)}")
+    least = "CASE WHEN regexp_matches(lower(p.office), 'council|mayor|alderman|commissioner') AND trim(p.city) = '' THEN 70 ELSE 60 END" if city else "60"
     return f"""WITH {V}, d AS (SELECT vec_id AS district_id, district_name, state, embedding FROM vectors WHERE state IS NOT NULL),
-  p AS (SELECT vec_id AS position_id, 'District ' || (vec_id % 11) || ' of ' || city AS name, CASE WHEN vec_id % 23 = 0 THEN 'PR' ELSE state END AS state, embedding FROM vectors),
-  listed AS (SELECT a.position_id, a.state, b.district_id, {COS} AS s, row_number() OVER (PARTITION BY a.position_id ORDER BY {COS} DESC, b.district_id) AS rank FROM p a JOIN d b ON a.state = b.state WHERE {COS} > 0 QUALIFY rank <= 13),
-  generic AS (SELECT b.state, b.district_id, row_number() OVER (PARTITION BY b.state ORDER BY {COS} DESC, b.district_id) AS rank FROM (SELECT * FROM vectors WHERE vec_id = 0) a, d b WHERE {COS} > 0 QUALIFY rank <= 1),
+  p AS (SELECT vec_id AS position_id, 'District ' || (vec_id % 11) || ' of ' || city AS name, CASE WHEN vec_id % 23 = 0 THEN 'PR' ELSE state END AS state, embedding, city, {office} AS office FROM vectors),
+  listed AS (SELECT a.position_id, a.state, b.district_id, {like} AS s, row_number() OVER (PARTITION BY a.position_id ORDER BY {like} DESC, b.district_id) AS rank FROM p a JOIN d b ON a.state = b.state WHERE {like} > 0 QUALIFY rank <= 13),
+  generic AS (SELECT b.state, b.district_id, row_number() OVER (PARTITION BY b.state ORDER BY {COS} DESC, b.district_id) AS rank FROM (SELECT * FROM vectors WHERE vec_id = 0) a, d b WHERE {COS} > 0 QUALIFY rank <= {offers}),
   fresh AS (SELECT l.position_id, g.district_id FROM (SELECT position_id, any_value(state) AS state, count(*) AS n FROM listed GROUP BY 1) l JOIN generic g USING (state)
-    WHERE n >= 11 AND NOT EXISTS (SELECT 1 FROM listed x WHERE x.position_id = l.position_id AND x.district_id = g.district_id)),
+    WHERE n >= 11 AND NOT EXISTS (SELECT 1 FROM listed x WHERE x.position_id = l.position_id AND x.district_id = g.district_id) {first}),
   merged AS (SELECT position_id, district_id, CASE WHEN rank >= 11 AND position_id IN (SELECT position_id FROM fresh) THEN rank + 1 ELSE rank END AS rank, s FROM listed UNION ALL SELECT position_id, district_id, 11, NULL FROM fresh),
   scored AS (SELECT m.*, d.district_name, round((1.0::DOUBLE - levenshtein({name}, {other}) / greatest(length({name}), length({other}))) * 100, 4) AS score
     FROM merged m JOIN d USING (district_id) JOIN p USING (position_id) WHERE rank <= 13),
   best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY position_id ORDER BY score DESC, rank) = 1), tops AS (SELECT position_id, s FROM listed WHERE rank = 1)
-  SELECT p.position_id, CASE WHEN b.score >= 60 THEN b.district_name WHEN b.score IS NOT NULL THEN 'NOT_MATCHED' ELSE 'NO_VECTOR_STORE' END AS district_name, coalesce(b.score >= 60, FALSE) AS is_matched,
+  SELECT p.position_id, CASE WHEN b.score >= {least} THEN b.district_name WHEN b.score IS NOT NULL THEN 'NOT_MATCHED' ELSE 'NO_VECTOR_STORE' END AS district_name, coalesce(b.score >= {least}, FALSE) AS is_matched,
     round(coalesce(b.score, 0.0), 4) AS confidence, round(t.s, 6) AS top_embedding_score FROM p LEFT JOIN best b USING (position_id) LEFT JOIN tops t USING (position_id)"""
 
 
 DISTRICTS = _district_sql()
+USERS = _district_sql(city=True)
 
 
 def _buckets(spark, d):
@@ -375,6 +385,7 @@ QUERIES = {
     "office_level_split": (_level_split, LEVEL_SPLIT),
     "candidate_list_json": (_candidate_lists, CANDIDATE_LISTS),
     "district_matching": (_district_matching, DISTRICTS),
+    "user_matching": (_user_matching, USERS),
     "confidence_buckets": (_buckets, f"SELECT CASE WHEN is_matched AND confidence > 80 THEN 'high' WHEN is_matched AND confidence > 60 THEN 'medium' WHEN is_matched THEN 'low' ELSE 'no_match' END AS bucket, count(*) AS n FROM ({DISTRICTS}) GROUP BY 1"),
     "state_match_rates": (_state_rates, STATE_RATES),
     "missing_reference_states": (_missing, f"WITH {V} SELECT 'PR' AS state WHERE EXISTS (SELECT 1 FROM vectors WHERE vec_id % 23 = 0)"),

@@ -483,7 +483,36 @@ def _projection(spark, d):
     return rc.existing_columns(v.candidates(spark, d), ["candidacy_id", "not_there", "state", "full_name"])
 
 
+def _table_scan(spark, d):
+    """All columns of a table known by name."""
+    v.table(spark, d, "orders").createOrReplaceTempView("warehouse_orders")
+    return rd.extract_table(spark, "warehouse_orders").select("o_orderkey", "o_custkey", "o_totalprice")
+
+
+def _sampled(spark, d):
+    """A third of the customers by a hash of their key."""
+    c = v.table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("state"))
+    return rd.load_rows(c, sample_fraction=1 / 3)
+
+
+def _text_column(spark, d):
+    """The column found to hold the text, and how many of its values are there."""
+    e = v.table(spark, d, "conversations").withColumn("message", F.lit(None).cast("string"))
+    name = rd.find_text_column(e)
+    return e.agg(F.lit(name).alias("text_column"), F.count(name).alias("filled"), F.count("*").alias("n"))
+
+
+def _described(spark, d):
+    """Columns of a table with their types, beside its row count."""
+    o = v.table(spark, d, "orders").select("o_orderkey", "o_orderstatus")
+    return rd.describe(o).withColumn("n", F.lit(rd.table_count(o)))
+
+
 QUERIES = {
+    "table_scan": (_table_scan, "SELECT o_orderkey, o_custkey, o_totalprice FROM orders"),
+    "sampled_scan": (_sampled, "SELECT c_custkey AS id, c_mktsegment AS state FROM customer WHERE ('0x' || substr(md5(c_custkey || '-42'), 1, 8))::BIGINT < 1431655765"),
+    "text_column": (_text_column, "SELECT 'text' AS text_column, count(text) AS filled, count(*) AS n FROM conversations"),
+    "described_table": (_described, "SELECT unnest(['o_orderkey', 'o_orderstatus']) AS col_name, unnest(['bigint', 'string']) AS data_type, (SELECT count(*)::INTEGER FROM orders) AS n"),
     "output_projection": (_projection, f"WITH {C} SELECT candidacy_id, state, full_name FROM raw_candidates"),
     "clean_candidate_fields": (_clean_fields, CLEAN_FIELDS),
     "expand_elections": (lambda s, d: expanded(s, d).select(*EXPANDED_COLUMNS), f"WITH {CLEANED} SELECT {', '.join(EXPANDED_COLUMNS)} FROM expanded"),

@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from plenum.functions import text as tx
 from plenum.operators.ranking import attach_row, computed
+from plenum.session import cut_lineage
 
 NEAR = 0.9
 SURELY_NEW = 0.8
@@ -52,11 +53,13 @@ def near_duplicates(
     away from the row before it is kept whatever came earlier. Each such row starts a run
     that is folded on its own; rows that are a run by themselves need no fold at all.
     """
-    rows = df.select(
-        F.col(phone).alias("_phone"), F.col(file).alias("_file"), F.col(row).alias("_row"),
-        F.floor(F.col(row) / CHUNK_ROWS).alias("_chunk"), tx.words(tx.clean_text(F.col(text))).alias("_words"),
-    )
-    runs = _run_starts(rows)
+    rows = df.select(F.col(phone).alias("_phone"), F.col(file).alias("_file"), F.col(row).alias("_row"), tx.words(tx.clean_text(F.col(text))).alias("_words"))
+    return _near_positions(rows).select(F.col("file").alias(file), F.col("row").alias(row), F.lit(True).alias("is_near_duplicate"))
+
+
+def _near_positions(rows: DataFrame) -> DataFrame:
+    """(file, row) of the near duplicates among (_phone, _file, _row, _words)."""
+    runs = _run_starts(rows.withColumn("_chunk", F.floor(F.col("_row") / CHUNK_ROWS)))
     # a run of one row cannot hold a near duplicate and leaves here
     return (
         runs.where(F.col("_in_long_run"))
@@ -67,10 +70,26 @@ def near_duplicates(
             F.col("_file").alias("file"), F.col("_row").cast("bigint").alias("row"), F.col("_words").alias("words"),
         )
         .mapInPandas(_fold_runs, "file string, row bigint")
-        .select(F.col("file").alias(file), F.col("row").alias(row), F.lit(True).alias("is_near_duplicate"))
     )
 
 
+def duplicate_flags(df: DataFrame, phone: str, text: str, file: str, row: str) -> DataFrame:
+    """(file, row, is_near_duplicate) of the first messages per phone and normalised text.
+
+    What is missing here repeats an earlier message of its phone. Texts are cleaned once, into
+    a narrow table that is written before it is read several times; the texts of the first
+    messages come out of the aggregate that finds them.
+    """
+    checked = (F.coalesce(F.col(phone), F.lit("")) != "") & (tx.strip(F.coalesce(F.col(text), F.lit(""))) != "")
+    position = F.struct(F.col(file).alias("_file"), F.col(row).alias("_row"))
+    cleaned = computed(df.where(checked).select(F.col(phone).alias("_phone"), position.alias("_at"), F.col(text).alias("_text")), _clean=tx.clean_text(F.col("_text")))
+    firsts = cleaned.groupBy("_phone", F.lower("_clean").alias("_same")).agg(F.min("_at").alias("_at"), F.min_by("_clean", "_at").alias("_clean"))
+    kept = cut_lineage(firsts.select("_phone", "_at._file", "_at._row", tx.words(F.col("_clean")).alias("_words")))
+    near = _near_positions(kept).select(F.col("file").alias("_file"), F.col("row").alias("_row"), F.lit(True).alias("is_near_duplicate"))
+    return kept.select("_file", "_row").join(near, ["_file", "_row"], "left").select(
+        F.col("_file").alias(file), F.col("_row").alias(row), F.coalesce("is_near_duplicate", F.lit(False)).alias("is_near_duplicate"))
+
+
 def _run_starts(rows: DataFrame) -> DataFrame:
     """The position that starts each row's run, and whether the run has more rows.
 
@@ -155,17 +174,15 @@ def clean_messages(
     opt-out still counts as the previous message of its phone.
     """
     if remove_duplicates:
-        df = exact_duplicates(df, phone, text, file, row)
+        df = df.join(duplicate_flags(df, phone, text, file, row), [file, row], "left")
         blank = tx.strip(F.coalesce(F.col(text), F.lit(""))) == ""
-        usable = (F.coalesce(F.col(phone), F.lit("")) != "") & ~blank & ~F.col("is_exact_duplicate")
-        near = near_duplicates(df.where(usable), phone, text, file, row)
-        df = df.join(near, [file, row], "left")
-        duplicate = F.col("is_exact_duplicate") | F.coalesce("is_near_duplicate", F.lit(False))
+        # a checked message that is not the first of its text has no row among the flags
+        duplicate = (F.coalesce(F.col(phone), F.lit("")) != "") & ~blank & F.coalesce("is_near_duplicate", F.lit(True))
     else:
         duplicate = F.lit(False)
     df = df.withColumn("_duplicate", duplicate)
     return cleaning_verdict(df, text, F.col("_duplicate"), min_length, strict_boundary).drop(
-        "_duplicate", "is_exact_duplicate", "is_near_duplicate"
+        "_duplicate", "is_near_duplicate"
     )
 
 

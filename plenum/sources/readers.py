@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from plenum.functions import fixed
 from plenum.functions.dates import first_timestamp, repair_timestamp
 from plenum.functions.text import nullif_blank, strip
+from plenum.operators.ranking import reproducible_sample
 
 
 def extract_table(spark: SparkSession, table: str, order_by: str | None = None) -> DataFrame:
@@ -26,10 +27,10 @@ def load_rows(
         df = df.where(F.col("state").isin(states))
     if sample_fraction is not None:
         # a hash of the key selects the same rows under any partitioning
-        share = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1_000_000)) / 1_000_000
-        df = df.where(share < sample_fraction)
+        digits = F.conv(F.substring(F.md5(F.concat_ws("-", F.col(key), F.lit(seed))), 1, 8), 16, 10)
+        df = df.where(digits.cast("long") < round(sample_fraction * 2**32))
     if limit is not None:
-        df = df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), F.col(key)).limit(limit)
+        df = reproducible_sample(df, key, limit, seed)
     return df
 
 
