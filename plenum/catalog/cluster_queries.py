@@ -79,7 +79,7 @@ PAIRS_SQL = f"""{SUMS}, pairs AS (SELECT x.label AS a, y.label AS b, round(list_
 
 def mapping(spark, d):
     centres = cl.centroids(labelled(spark, d))
-    return cl.merge_map(cl.similar_pairs(centres, PAIRS_AT), centres)
+    return cl.merge_map(cl.similar_forest(centres, PAIRS_AT), centres)
 
 
 MERGES = f"""RECURSIVE {PAIRS_SQL}, edges AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs),

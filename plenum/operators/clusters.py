@@ -265,14 +265,44 @@ def similar_pairs(centres: DataFrame, threshold: float = 0.92, cluster: str = "c
     """Pairs of clusters whose unit centroids are at least ``threshold`` alike.
 
     Pairs are found tile by tile by the same matrix product as the vector search; a pair
-    leaves the tile only if it is similar.
+    leaves the tile only if it is similar. For merging take ``similar_forest``: a dense set of
+    clusters has a pair for nearly every two.
     """
     pairs = threshold_pairs(centres.withColumn("_all", F.lit(0)), ["_all"], cluster, "centroid", threshold)
     return pairs.drop("_all")
 
 
-def threshold_pairs(df: DataFrame, on: list[str], key: str, vector: str, threshold: float, tile: int = 4_096) -> DataFrame:
-    """All pairs (a < b) of a block with cosine at least ``threshold``.
+def similar_forest(centres: DataFrame, threshold: float = 0.92, cluster: str = "cluster_id") -> DataFrame:
+    """Edges (a, b) that connect what the similar pairs connect: less than one per row and tile."""
+    edges = threshold_pairs(centres.withColumn("_all", F.lit(0)), ["_all"], cluster, "centroid", threshold, forest=True)
+    return edges.select("a", "b")
+
+
+def _stars(rows: np.ndarray, columns: np.ndarray, linked: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Every component of a tile as a star: its other members, and its smallest once for each."""
+    row_seen, column_seen = np.zeros(len(rows), bool), np.zeros(len(columns), bool)
+    one_side = len(rows) == len(columns) and bool((rows == columns).all())
+    a, b = [], []
+    for start in range(len(rows)):
+        if row_seen[start] or not linked[start].any():
+            continue
+        frontier, members = np.array([start]), [rows[start: start + 1]]
+        row_seen[start] = True
+        while len(frontier):
+            reached = np.flatnonzero(linked[frontier].any(axis=0) & ~column_seen)
+            column_seen[reached] = True
+            # on the diagonal a node is a row and a column at once
+            frontier = reached[~row_seen[reached]] if one_side else np.flatnonzero(linked[:, reached].any(axis=1) & ~row_seen)
+            row_seen[frontier] = True
+            members += [columns[reached], rows[frontier]]
+        component = np.unique(np.concatenate(members))
+        a.append(component[1:])
+        b.append(np.full(len(component) - 1, component[0]))
+    return a, b
+
+
+def threshold_pairs(df: DataFrame, on: list[str], key: str, vector: str, threshold: float, tile: int = 4_096, forest: bool = False) -> DataFrame:
+    """All pairs (a < b) of a block with cosine at least ``threshold``, or a forest that connects them.
 
     The block is cut into tiles and every unordered tile pair is one group.
     """
@@ -296,6 +326,14 @@ def threshold_pairs(df: DataFrame, on: list[str], key: str, vector: str, thresho
         i, j = group["_i"][0].as_py(), group["_j"][0].as_py()
         left, right = np.flatnonzero(tiles == i), np.flatnonzero(tiles == j)
         alike = np.round(unit[left] @ unit[right].T, 9)
+        if forest:
+            near = alike >= threshold
+            if i == j:
+                np.fill_diagonal(near, False)
+            others, firsts = (np.concatenate([np.zeros(0, np.int64), *part]).astype(np.int64) for part in _stars(left, right, near))
+            columns = {c: group[c].take(pa.array(firsts)) for c in on}
+            return pa.table({**columns, "a": group["id"].take(pa.array(firsts)), "b": group["id"].take(pa.array(others)),
+                             "similarity": pa.nulls(len(firsts), pa.float64())})
         x, y = np.nonzero(alike >= threshold)
         a, b = left[x], right[y]
         # the diagonal cell sees each pair twice, the others once in either order
@@ -413,23 +451,7 @@ def density_clusters(
         left, right, near, same = adjacency(group)
         core = group["core"].to_numpy(zero_copy_only=False).astype(bool)
         rows, columns = left[core[left]], right[core[right]]
-        linked = near[np.ix_(core[left], core[right])]
-        row_seen, column_seen = np.zeros(len(rows), bool), np.zeros(len(columns), bool)
-        a, b = [], []
-        for start in range(len(rows)):
-            if row_seen[start] or not linked[start].any():
-                continue
-            frontier, members = np.array([start]), [rows[start: start + 1]]
-            row_seen[start] = True
-            while len(frontier):
-                reached = np.flatnonzero(linked[frontier].any(axis=0) & ~column_seen)
-                column_seen[reached] = True
-                frontier = np.flatnonzero(linked[:, reached].any(axis=1) & ~row_seen)
-                row_seen[frontier] = True
-                members += [columns[reached], rows[frontier]]
-            component = np.unique(np.concatenate(members))
-            a.append(component[1:])
-            b.append(np.full(len(component) - 1, component[0]))
+        a, b = _stars(rows, columns, near[np.ix_(core[left], core[right])])
         both = sum(len(x) for x in a)
         sides = [(left, right, near)] if same[0] else [(left, right, near), (right, left, near.T)]
         for outer, inner, table in sides:

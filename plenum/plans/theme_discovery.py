@@ -27,7 +27,7 @@ def discover(atoms: DataFrame, vector: str = "embedding", dims: int = 50, k: int
     k = k or cl.choose_k(reduced, "reduced", seed)[0]
     labelled = cut_lineage(cl.cluster_k(reduced, k, "reduced", seed=seed))
     centres = cl.centroids(labelled, vector=vector)
-    mapping = cl.merge_map(cl.similar_pairs(centres, merge_at), centres)
+    mapping = cl.merge_map(cl.similar_forest(centres, merge_at), centres)
     merged = cl.apply_merges(labelled, mapping)
     rest = atoms.where(F.col("is_opt_out") | F.col(vector).isNull()).withColumn("cluster_id", F.lit(cl.NOISE))
     return merged.unionByName(rest, allowMissingColumns=True)

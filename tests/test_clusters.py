@@ -99,6 +99,19 @@ def test_similar_pairs_for_any_tiling(spark):
         assert len(got) == len(expected) and {(r.a, r.b) for r in got} == expected
 
 
+@pytest.mark.parametrize("tile", [3, 7, 100])
+def test_forest_connects_what_the_pairs_connect(spark, tile):
+    rng = np.random.default_rng(8)
+    rows = [("x", i, rng.normal(size=4).tolist()) for i in range(40)]
+    df = spark.createDataFrame(rows, "block string, id int, v array<double>")
+    pairs = cl.threshold_pairs(df, ["block"], "id", "v", 0.8, tile=tile)
+    forest = cl.threshold_pairs(df, ["block"], "id", "v", 0.8, tile=tile, forest=True)
+    label = lambda edges: {(r.node, r.component) for r in cl.connected_components(edges.select("a", "b")).collect()}
+    assert label(forest) == label(pairs) and forest.count() <= pairs.count()
+    if tile == 100:
+        assert forest.count() < 40
+
+
 def test_merging_goes_to_the_largest_cluster(spark):
     pairs = spark.createDataFrame([(1, 2), (2, 3)], "a int, b int")
     sizes = spark.createDataFrame([(1, 5), (2, 9), (3, 9), (4, 1)], "cluster_id int, n int")
