@@ -32,7 +32,7 @@ def test_hot_group_is_dealt_out(documents):
 
 def test_pack_takes_the_largest_dot_product():
     demand = np.array([[4.0, 0], [0, 4], [2, 2], [1, 1], [1, 1]])
-    placed = sharding.pack(demand, 2)
+    placed = sharding.pack(demand, 2, (1.0, 1.0))
     sums = np.zeros((2, 2))
     for d, s in zip(demand, placed, strict=True):
         sums[s] += d
