@@ -29,8 +29,10 @@ DROPPED_WORDS = set(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar menu nav navbar navigation navi "
     "breadcrumb breadcrumbs masthead footer foot cookie cookies consent gdpr notice notices notification popup modal overlay newsletter subscribe "
     "subscription signup social share sharing related recommended recommendations comment comments reply replies discussion disqus respond widget "
-    "pagination pager login toolbar hidden copyright disclaimer".split())
+    "pagination pager login toolbar hidden copyright disclaimer commentlist adbox adslot adsbygoogle sidenav topnav toc".split())
 HEADER_WORDS = {"header", "topbar", "head"}
+#: A class that begins like this tells of other parts of the page ("has-sidebar").
+ABOUT = set("has with without no not is".split())
 GOOD_WORDS = set("content article post entry story main text body".split())
 
 _TAG = re.compile(
@@ -64,8 +66,8 @@ def _attributes(raw: str) -> dict[str, str]:
 def _open(page: Page, parent: int, tag: str, raw: str) -> int:
     up = page.nodes[parent] if parent >= 0 else None
     attributes = _attributes(raw)
-    names = " ".join((attributes.get("class", ""), attributes.get("id", ""))).lower()
-    words = set(_PART.split(names)) if names.strip() else set()
+    names = f"{attributes.get('class', '')} {attributes.get('id', '')}".lower().split()
+    words = {w for n in names if (parts := _PART.split(n)) and parts[0] not in ABOUT for w in parts}
     inside = tag in ("article", "main") or (up is not None and up.inside)
     dropped = up is not None and up.dropped
     if not dropped and tag not in ("html", "body", "article", "main"):

@@ -26,6 +26,7 @@ def test_other_shapes():
         f'<main><section><p>{text}</p></section><section><p>{text}</p></section></main><div role="complementary">{text * 5}</div>': 2,
         f'<div class="header">{text}</div><div class="post-body">{text}<br>{text}</div><div class="cookie-notice">{text * 4}</div>': 2,
         f"<table><tr><td>{text}</td></tr></table>": 1,
+        f'<div class="page has-sidebar no-comments"><div class="story">{text}</div></div><ol class="comment-list"><li>{text * 3}</li></ol>': 1,
     }
     for body, times in shapes.items():
         assert main_text(page(body)) == " ".join([text.strip()] * times), body
