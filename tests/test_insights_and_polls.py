@@ -96,3 +96,8 @@ def test_wide_export_names_a_single_configuration_merged(spark):
     df = spark.createDataFrame([record(1, "p", "a", 1), record(2, "p", "b", 0, True)], SCHEMA)
     out = pl.wide_clusters(df, ["15"], {"cluster_id": "value", "quotes": "json"}).orderBy("atomic_id").collect()
     assert out[0].cluster_id_merged == 1 and out[0].quotes_merged == '[{"quote":"q","phone_number":"a"}]' and out[1].quotes_merged == ""
+
+
+def test_one_message_is_one_theme(spark):
+    row = pl.single_message_theme(spark.createDataFrame([("a",)], "phone string")).first()
+    assert (row.cluster_id, row.total_mentions, row.respondent_coverage_pct) == (0, 1, 100.0)
