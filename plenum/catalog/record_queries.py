@@ -11,7 +11,6 @@ from plenum.catalog import views as v
 from plenum.functions import dates as dt
 from plenum.functions import fixed
 from plenum.functions import names as nm
-from plenum.functions import text as tx
 from plenum.operators import districts as ds
 from plenum.operators import profile as pf
 from plenum.operators import ranking as rk

@@ -12,13 +12,13 @@ from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plenum.functions import fixed
 from plenum.functions.text import let
-from plenum.functions.vectors import dot, l2_normalise, norm
+from plenum.functions.vectors import dot, l2_normalise
 from plenum.operators.graph import connected_components
 from plenum.operators.matching import _matrix, _unit
 from plenum.operators.ranking import attach_row

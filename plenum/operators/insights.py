@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from plenum.functions import fixed
 from plenum.functions.names import normalise_phone, title_case
-from plenum.functions.text import _col, issue_key
+from plenum.functions.text import issue_key
 from plenum.operators.ranking import top_n
 
 SAMPLES = 5

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plenum.functions import names as nm
 from plenum.functions.dates import excel_serial_to_date, plausible_date, plausible_timestamp, presence
-from plenum.functions.text import _col, collapse_spaces, nullif_blank, strip
+from plenum.functions.text import collapse_spaces, nullif_blank, strip
 from plenum.operators.ranking import keep_first
 
 
