@@ -139,7 +139,7 @@ def election_type(x: str, default: str | None = None) -> str:
 
 def state_code(x: str) -> str:
     s = f"upper({nullif_blank(x)})"
-    cases = " ".join(f"WHEN {quoted(n)} THEN {quoted(c)}" for n, c in zip(fixed.STATE_NAMES, fixed.STATE_CODES))
+    cases = " ".join(f"WHEN {quoted(n)} THEN {quoted(c)}" for n, c in fixed.STATES.items())
     return f"CASE WHEN length({s}) = 2 THEN {s} ELSE CASE {s} {cases} ELSE left({s}, 2) END END"
 
 

@@ -4,6 +4,19 @@ Patterns are written so that Java's regex engine and RE2 read them alike. ``WS``
 ``WORD`` spell out Unicode white space and word characters instead of relying on ``(?U)``.
 """
 
+from typing import NamedTuple
+
+
+class Issue(NamedTuple):
+    """An issue that a rule adds."""
+
+    primary_category: str
+    secondary_category: str
+    stance: str
+    specific_concern: str
+    is_root_cause: bool
+
+
 # Character classes
 WS = r"[\s\x0B\x1C-\x1F\x{85}\p{Z}]"
 NWS = r"[^\s\x0B\x1C-\x1F\x{85}\p{Z}]"
@@ -14,27 +27,20 @@ SPACES = (
 )
 WS_OR_WORD = r"[\s\x0B\x1C-\x1F\x{85}\p{Z}\p{L}\p{N}_]"
 
-# US states and the District of Columbia
-STATE_CODES = [
-    "AL", "AK", "AZ", "AR", "CA", "CO", "CT", "DE", "FL", "GA",
-    "HI", "ID", "IL", "IN", "IA", "KS", "KY", "LA", "ME", "MD",
-    "MA", "MI", "MN", "MS", "MO", "MT", "NE", "NV", "NH", "NJ",
-    "NM", "NY", "NC", "ND", "OH", "OK", "OR", "PA", "RI", "SC",
-    "SD", "TN", "TX", "UT", "VT", "VA", "WA", "WV", "WI", "WY",
-    "DC",
-]
-
-# The fifty state names in the order of the first fifty codes
-STATE_NAMES = [
-    "ALABAMA", "ALASKA", "ARIZONA", "ARKANSAS", "CALIFORNIA", "COLORADO", "CONNECTICUT",
-    "DELAWARE", "FLORIDA", "GEORGIA", "HAWAII", "IDAHO", "ILLINOIS", "INDIANA", "IOWA",
-    "KANSAS", "KENTUCKY", "LOUISIANA", "MAINE", "MARYLAND", "MASSACHUSETTS", "MICHIGAN",
-    "MINNESOTA", "MISSISSIPPI", "MISSOURI", "MONTANA", "NEBRASKA", "NEVADA",
-    "NEW HAMPSHIRE", "NEW JERSEY", "NEW MEXICO", "NEW YORK", "NORTH CAROLINA",
-    "NORTH DAKOTA", "OHIO", "OKLAHOMA", "OREGON", "PENNSYLVANIA", "RHODE ISLAND",
-    "SOUTH CAROLINA", "SOUTH DAKOTA", "TENNESSEE", "TEXAS", "UTAH", "VERMONT", "VIRGINIA",
-    "WASHINGTON", "WEST VIRGINIA", "WISCONSIN", "WYOMING",
-]
+# US states
+STATES = {
+    "ALABAMA": "AL", "ALASKA": "AK", "ARIZONA": "AZ", "ARKANSAS": "AR", "CALIFORNIA": "CA", "COLORADO": "CO",
+    "CONNECTICUT": "CT", "DELAWARE": "DE", "FLORIDA": "FL", "GEORGIA": "GA", "HAWAII": "HI", "IDAHO": "ID",
+    "ILLINOIS": "IL", "INDIANA": "IN", "IOWA": "IA", "KANSAS": "KS", "KENTUCKY": "KY", "LOUISIANA": "LA",
+    "MAINE": "ME", "MARYLAND": "MD", "MASSACHUSETTS": "MA", "MICHIGAN": "MI", "MINNESOTA": "MN", "MISSISSIPPI": "MS",
+    "MISSOURI": "MO", "MONTANA": "MT", "NEBRASKA": "NE", "NEVADA": "NV", "NEW HAMPSHIRE": "NH", "NEW JERSEY": "NJ",
+    "NEW MEXICO": "NM", "NEW YORK": "NY", "NORTH CAROLINA": "NC", "NORTH DAKOTA": "ND", "OHIO": "OH",
+    "OKLAHOMA": "OK", "OREGON": "OR", "PENNSYLVANIA": "PA", "RHODE ISLAND": "RI", "SOUTH CAROLINA": "SC",
+    "SOUTH DAKOTA": "SD", "TENNESSEE": "TN", "TEXAS": "TX", "UTAH": "UT", "VERMONT": "VT", "VIRGINIA": "VA",
+    "WASHINGTON": "WA", "WEST VIRGINIA": "WV", "WISCONSIN": "WI", "WYOMING": "WY",
+}
+# with the District of Columbia
+STATE_CODES = [*STATES.values(), "DC"]
 
 # Record cleaning
 NAME_SUFFIXES = ["Jr", "Sr", "II", "III", "IV", "V"]
@@ -134,6 +140,12 @@ CIVIC_KEYWORDS = [
     "accessibility", "diversity", "inclusion", "neighborhood",
 ]
 
+# What heavy cleaning takes out of a text
+LINK_PATTERN = r"https?://[a-z!$-_]+"
+#: Anchoring at the word start changes no match and keeps long words linear.
+ADDRESS_PATTERN = rf"(?<!{NWS}){NWS}+@{NWS}+"
+PHONE_PATTERN = r"(?U)\b\d{3}-\d{3}-\d{4}\b|\b\(\d{3}\)\s*\d{3}-\d{4}\b"
+
 # Rule-based classification
 UNCATEGORIZED_RULES = [
     (
@@ -164,48 +176,58 @@ UNCATEGORIZED_RULES = [
 ]
 EBIKE_TRIGGERS = [r"e-?bike", r"electric\s+bike", r"e-?scooter", r"electric\s+scooter"]
 ENFORCEMENT_WORDS = [r"enforcement", r"fine", r"ticket", r"police", r"ban", r"ordinance"]
-# (triggers, required issues as primary, secondary, stance, concern, root cause; avoided keys)
+# Patterns that call for issues, and the category keys that they rule out
 CATEGORY_RULES = [
     {
         "triggers": [r"truck\s+traffic", r"semi\s+truck", r"warehouse", r"intermodal",
                      r"cn\s+rail", r"rail\s+yard", r"data\s+center", r"industrial"],
         "required": [
-            ("infrastructure_and_transportation", "roads_and_bridges", "negative",
-             "truck traffic impact on roads", False),
-            ("housing_and_development", "zoning_and_permits", "negative",
-             "zoning approvals enabling development", True),
+            Issue(
+                primary_category="infrastructure_and_transportation", secondary_category="roads_and_bridges", stance="negative",
+                specific_concern="truck traffic impact on roads", is_root_cause=False,
+            ),
+            Issue(
+                primary_category="housing_and_development", secondary_category="zoning_and_permits", stance="negative",
+                specific_concern="zoning approvals enabling development", is_root_cause=True,
+            ),
         ],
         "avoid": [],
     },
     {
         "triggers": [r"property\s+tax", r"home\s+tax", r"house\s+tax", r"property\s+taxes"],
         "required": [
-            ("housing_and_development", "taxes_and_assessments", "negative",
-             "property tax burden", False),
+            Issue(
+                primary_category="housing_and_development", secondary_category="taxes_and_assessments", stance="negative",
+                specific_concern="property tax burden", is_root_cause=False,
+            ),
         ],
         "avoid": ["government_operations/budget_and_taxes"],
     },
     {
         "triggers": EBIKE_TRIGGERS,
         "required": [
-            ("infrastructure_and_transportation", "transit_and_walkways", "neutral",
-             "e-bike/scooter infrastructure needs", False),
+            Issue(
+                primary_category="infrastructure_and_transportation", secondary_category="transit_and_walkways", stance="neutral",
+                specific_concern="e-bike/scooter infrastructure needs", is_root_cause=False,
+            ),
         ],
         "avoid": [],
     },
     {
         "triggers": [r"water\s+bill", r"water\s+cost", r"water\s+price"],
         "required": [
-            ("quality_of_life", "utilities_and_waste", "negative",
-             "water utility costs", False),
+            Issue(
+                primary_category="quality_of_life", secondary_category="utilities_and_waste", stance="negative",
+                specific_concern="water utility costs", is_root_cause=False,
+            ),
         ],
         "avoid": [],
     },
 ]
 BUSINESS_PERMIT_PATTERN = r"business.*permit|permit.*business"
-BUSINESS_PERMIT_ISSUE = (
-    "housing_and_development", "zoning_and_permits", "negative",
-    "zoning/permits enabling business issues", True,
+BUSINESS_PERMIT_ISSUE = Issue(
+    primary_category="housing_and_development", secondary_category="zoning_and_permits", stance="negative",
+    specific_concern="zoning/permits enabling business issues", is_root_cause=True,
 )
 TRUCK_WORDS = ["truck", "warehouse", "intermodal", "cn rail", "data center"]
 NEGATIVE_CONCERN_WORDS = ["too high", "bad", "terrible", "awful", "problem"]

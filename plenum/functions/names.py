@@ -89,7 +89,7 @@ def state_code(c: Column | str) -> Column:
     """Two-letter code from a code or a full name; otherwise the first two letters."""
     state = F.upper(nullif_blank(c))
     codes = F.create_map(
-        *[F.lit(x) for pair in zip(fixed.STATE_NAMES, fixed.STATE_CODES) for x in pair]
+        *[F.lit(x) for pair in fixed.STATES.items() for x in pair]
     )
     return F.when(F.length(state) == 2, state).otherwise(
         F.coalesce(F.try_element_at(codes, state), F.substring(state, 1, 2))

@@ -65,10 +65,9 @@ def clean_text(c: Column | str) -> Column:
 def clean_text_heavy(c: Column | str) -> Column:
     """Also drop links, addresses, phone numbers, repeated punctuation and all symbols."""
     text = collapse_spaces(strip(F.coalesce(_col(c), F.lit(""))))
-    text = replace_if(text, "http", r"https?://[a-z!$-_]+", "")
-    # anchoring at the word start changes no match and keeps long words linear
-    text = replace_if(text, "@", rf"(?<!{NWS}){NWS}+@{NWS}+", "")
-    text = replace_if(text, "-", r"(?U)\b\d{3}-\d{3}-\d{4}\b|\b\(\d{3}\)\s*\d{3}-\d{4}\b", "")
+    text = replace_if(text, "http", fixed.LINK_PATTERN, "")
+    text = replace_if(text, "@", fixed.ADDRESS_PATTERN, "")
+    text = replace_if(text, "-", fixed.PHONE_PATTERN, "")
     text = F.regexp_replace(text, r"([!?])\1+", "$1")
     text = replace_if(text, "...", r"\.{3,}", "...")
     text = F.regexp_replace(text, r"[^\s\x0B\x1C-\x1F\x{85}\p{Z}\p{L}\p{N}_.,!?;:'\"-]", " ")

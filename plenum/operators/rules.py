@@ -16,9 +16,8 @@ ISSUE_TYPE = (
 FINDING_TYPE = "array<struct<severity:string,issue_type:string,description:string>>"
 
 
-def _issue(values: tuple[str, str, str, str, bool]) -> Column:
-    names = ["primary_category", "secondary_category", "stance", "specific_concern", "is_root_cause"]
-    return F.struct(*[F.lit(v).alias(n) for v, n in zip(values, names)])
+def _issue(issue: fixed.Issue) -> Column:
+    return F.struct(*[F.lit(v).alias(n) for n, v in issue._asdict().items()])
 
 
 def _no_issues() -> Column:
