@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plenum.llm import decontaminate, jaccard, language, mixing, sharding
-from plenum.llm.common import staged
+from plenum.llm.common import staged, use_short_batches
 from plenum.llm.queries import fold_of
 
 
@@ -22,6 +22,7 @@ def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
     Fitted on the rows with a language outside the held-out fold. Texts without a letter go.
     """
+    use_short_batches(spark)
     return language.with_language(docs, language.fit_languages(docs.where(fold_of(F.col("doc_id"), 4) != 2)))
 
 

@@ -12,10 +12,12 @@ import html
 import re
 from dataclasses import dataclass, field
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plenum.llm.common import staged, text_lists
+
 # Kinds of HTML elements.
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong "
              "sub sup time tt u var wbr".split())
@@ -211,9 +213,10 @@ def winning_paths(pages: DataFrame, *, url: str = "url", source: str = "html") -
     a third of all pages is a handful of partial sums.
     """
 
-    @F.pandas_udf("path string, score double")
-    def ballot(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([vote(t) for t in texts], columns=["path", "score"])
+    @F.arrow_udf("path string, score double")
+    def ballot(texts: pa.Array) -> pa.Array:
+        found = [vote(t) for part in text_lists(texts) for t in part]
+        return pa.StructArray.from_arrays([pa.array([p for p, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], names=["path", "score"])
 
     votes = pages.select(host_of(F.col(url)).alias("host"), ballot(F.coalesce(F.col(source), F.lit(""))).alias("b")).select("host", "b.*")
     counts = votes.where("path is not null").groupBy("host", "path").agg(F.count("*").alias("votes"), F.sum(F.round("score")).alias("score"))
@@ -231,14 +234,13 @@ def extract_pages(pages: DataFrame, *, page_id: str = "page_id", url: str = "url
     Null and empty pages, and pages without main text, give the empty text. Pages without a
     host vote together. Repeated rows count as pages of their own. Other columns are ignored.
     """
-    from plenum.llm.common import staged
-
     winners = staged(winning_paths(pages, url=url, source=source), "host-paths")
     few = winners.count() <= BROADCAST_HOSTS
 
-    @F.pandas_udf("string")
-    def read(texts: pd.Series, paths: pd.Series) -> pd.Series:
-        return pd.Series([extract(t, p) for t, p in zip(texts, paths, strict=True)], dtype=object)
+    @F.arrow_udf("string")
+    def read(texts: pa.Array, paths: pa.Array) -> pa.Array:
+        sources = (t for part in text_lists(texts) for t in part)
+        return pa.array([extract(t, p) for t, p in zip(sources, paths.to_pylist(), strict=True)], pa.string())
 
     rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.coalesce(F.col(source), F.lit("")).alias("_html"), host_of(F.col(url)).alias("host"))
     joined = rows.join(F.broadcast(winners) if few else winners, "host", "left")

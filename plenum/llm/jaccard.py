@@ -32,12 +32,14 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plenum.llm.common import if_small, staged
+from plenum.llm.common import if_small, short_batches, slices, staged
 from plenum.operators.graph import connected_components
 
 FEWEST_CELLS, MOST_CELLS, BUCKETS = 16, 1 << 15, 1 << 16
 #: Documents and shingles of one block, and words whose hashes a task remembers.
 BLOCK, BLOCK_SHINGLES, REMEMBERED = 1 << 14, 1 << 22, 500_000
+#: One region of so many is compared first.
+EARLY = 16
 #: A bucket of shingles is common when its count exceeds the mean of all by this many deviations and documents.
 COMMON_SIGMAS, COMMON_LEAST = 10, 500
 
@@ -218,7 +220,7 @@ def describe(texts: DataFrame, n: int) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, uses, seen = _Words(), np.zeros(BUCKETS, dtype=np.int64), set()
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for doc_id, text, code in zip(*(batch[i].to_pylist() for i in range(3)), strict=True):
                 s = shingles(text, n, known)
@@ -241,7 +243,7 @@ def pivots(texts: DataFrame, n: int, percent: int, common: np.ndarray) -> DataFr
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, seen, stands_last = _Words(), set(), np.zeros(BUCKETS, dtype=bool)
         stands_last[common] = True
-        for batch in batches:
+        for batch in slices(batches):
             found, owners = [], []
             for text in batch[0].to_pylist():
                 s = shingles(text, n, known)
@@ -305,7 +307,7 @@ def _compared(members: DataFrame, columns: list[str], keep: Callable[[tuple], tu
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held, done = None, [], set()
-        for batch in batches:
+        for batch in slices(batches):
             data = [batch[i].to_pylist() for i in range(batch.num_columns)]
             for row in zip(*data, strict=True):
                 if (row[0], row[1]) != at:
@@ -340,6 +342,11 @@ def classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", n: i
     """
     if not 50 <= percent <= 100:
         raise ValueError("percent is 50 to 100")
+    with short_batches(docs.sparkSession):
+        return _classes(docs, doc_id, text, n, percent)
+
+
+def _classes(docs: DataFrame, doc_id: str, text: str, n: int, percent: int) -> DataFrame:
     body = F.coalesce(F.col(text), F.lit(""))
     texts = docs.select(F.col(doc_id).alias("doc_id"), body.alias("text"), F.xxhash64(body).alias("hash"))
     described = staged(describe(texts, n), "jaccard-sets")
@@ -353,9 +360,9 @@ def classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", n: i
         named.alias("named"), F.min("n_shingles").alias("size"), F.min("cells").alias("cells")), "jaccard-nodes")
 
     regions = pivots(texts, n, percent, common).repartition("pivot").dropDuplicates(["pivot", "node"])
-    shared = regions.withColumn("all", F.count("*").over(Window.partitionBy("pivot"))).where(F.col("all") > 1)
-    shared = shared.select(F.col("pivot").alias("region"), "node", "all", F.lit(0).alias("load"))
-    members = staged(shared.join(nodes.select("node", "size", "cells"), "node"), "jaccard-regions")
+    here = Window.partitionBy("region")
+    shared = regions.select(F.col("pivot").alias("region"), "node").withColumn("all", F.count("*").over(here)).where(F.col("all") > 1)
+    shared = staged(shared, "jaccard-regions")
 
     def loosely(held: list) -> list[tuple[int, int]]:
         if len(held) == 2 and held[0][3] is None:
@@ -365,8 +372,19 @@ def classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", n: i
         vectors = [np.frombuffer(p, dtype=np.uint8) for p in packed]
         return [tuple(sorted(p)) for p in Region(np.array(ids), sizes, _by_cells(vectors, sizes, percent), percent).forest(_halves(flags))]
 
-    loose = _compared(blocks(members, percent), ["node", "size", "cells", "half"], lambda row: row, loosely)
-    loose = staged(loose.distinct(), "jaccard-loose")
+    def compared(some: DataFrame) -> DataFrame:
+        members = some.withColumn("load", F.lit(0)).join(nodes.select("node", "size", "cells"), "node")
+        return _compared(blocks(members, percent), ["node", "size", "cells", "half"], lambda row: row, loosely).distinct()
+
+    # A share of the regions shows what hangs together; of the others only those are compared
+    # whose documents do not hang together yet.
+    early = F.pmod(F.col("region"), F.lit(EARLY)) == 0
+    first = staged(compared(shared.where(early)), "jaccard-early")
+    known_groups = staged(connected_components(first).select("node", "component"), "jaccard-early-groups")
+    rest = shared.where(~early).join(known_groups, "node", "left").withColumn("group", F.coalesce("component", "node"))
+    rest = rest.withColumns({"low": F.min("group").over(here), "high": F.max("group").over(here)}).where("low <> high")
+    second = compared(rest.select("region", "node", "all"))
+    loose = staged(first.union(second).distinct(), "jaccard-loose")
     groups = connected_components(loose).select(F.col("component").alias("region"), "node").join(nodes.select("node", "named", "size"), "node")
     groups = staged(groups, "jaccard-groups")
     counts = groups.groupBy("region").agg(F.count("*").alias("all"), F.sum("size").alias("load"))

@@ -16,15 +16,17 @@ from itertools import product
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plenum.llm.common import byte_chunks, hash_share
+from plenum.llm.common import byte_chunks, hash_share, text_lists
 
 UNDETERMINED = "und"
+PREDICTION = [("lang_pred", pa.string()), ("score", pa.float64()), ("ambiguous", pa.bool_())]
 DIM = 1 << 15
 #: Characters that are turned into numbers at once.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 _MULTIPLIERS = np.array([961748927, 32452843, 49979687], dtype=np.uint32)
 #: ASCII bytes other than letters count as blanks; bytes of longer characters stay.
 _LETTERS = np.array([b if b >= 128 or chr(b).isalpha() else 32 for b in range(256)], dtype=np.uint32)
@@ -144,9 +146,10 @@ def identify(coder: Coder | None, text: Column) -> Column:
     if coder is None:
         return undetermined
 
-    @F.pandas_udf("lang_pred string, score double, ambiguous boolean")
-    def decide(texts: pd.Series) -> pd.DataFrame:
-        return coder.decide([t or "" for t in texts])
+    @F.arrow_udf("lang_pred string, score double, ambiguous boolean")
+    def decide(texts: pa.Array) -> pa.Array:
+        found = pd.concat([coder.decide(part) for part in text_lists(texts)] or [coder.decide([])])
+        return pa.StructArray.from_arrays([pa.array(found[c].to_numpy(), type=t) for c, t in PREDICTION], names=[c for c, _ in PREDICTION])
 
     return F.when(text.rlike(r"\p{L}"), decide(text)).otherwise(undetermined)
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plenum.llm import decontaminate, html_text, jaccard, language, mixing, secrets, sharding, syncmers, toxicity, warc
+from plenum.llm.common import use_short_batches
 from plenum.session import ensure_checkpoint_dir
 
 
@@ -67,11 +68,13 @@ def op7_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op8_main_text(spark: SparkSession, folder: str) -> DataFrame:
+    use_short_batches(spark)
     found = html_text.extract_pages(table(spark, folder, "pages"))
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
 def op9_language(spark: SparkSession, folder: str) -> DataFrame:
+    use_short_batches(spark)
     docs = table(spark, folder, "documents")
     held_out = fold_of(F.col("doc_id"), 4) == 2
     coder = language.fit_languages(docs.where(~held_out))
@@ -80,6 +83,7 @@ def op9_language(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    use_short_batches(spark)
     docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
     lexicon = toxicity.fit_toxicity(docs, labels.where(fold_of(F.col("doc_id"), 3) != 1))
     rows = docs.select("doc_id", (fold_of(F.col("doc_id"), 3) == 1).alias("held_out"), toxicity.toxicity(lexicon, F.col("text")).alias("score"))
