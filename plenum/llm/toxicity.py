@@ -19,11 +19,11 @@ from dataclasses import dataclass, field
 
 import ahocorasick
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plenum.llm.common import hash_share
+from plenum.llm.common import hash_share, text_lists
 
 # Characters that look like Latin letters, and digits and signs written for letters.
 HOMOGLYPHS = {
@@ -114,7 +114,7 @@ def _curve(x: np.ndarray, y: np.ndarray, rounds: int = 40, ridge: float = 0.05)
     return float(w[0]), float(max(w[1], 0)), float(max(w[2], 0))
 
 
-def learn_lexicon(texts: list[str], toxic: list[int], *, shortest: int = 4, longest: int = 12, support: int = 3, odds: float = 2.0,
+def learn_lexicon(texts: list[str], toxic: list[int], *, shortest: int = 4, longest: int = 8, support: int = 3, odds: float = 2.0,
                   exceptions: list[str] = EXCEPTIONS) -> Lexicon:
     """Stems that cover the toxic texts and are rare in the others.
 
@@ -123,27 +123,26 @@ def learn_lexicon(texts: list[str], toxic: list[int], *, shortest: int = 4, long
     uncovered toxic texts is taken (of equals the longest), until none covers ``support`` more.
     """
     unique = {fold(t): int(y) for t, y in zip(texts, toxic, strict=True)}
-    bad = [set(t.split()) for t, y in unique.items() if y]
-    good = [set(t.split()) for t, y in unique.items() if not y]
-    plain = Counter(w for words in good for w in words)
-    starts: Counter = Counter()
-    for w, n in plain.items():
-        starts[f" {w} "] += n
-        for k in range(shortest, min(len(w), longest) + 1):
-            starts[f" {w[:k]}"] += n
+    bad, n_good = [t for t, y in unique.items() if y], max(sum(1 for y in unique.values() if not y), 1)
+    n_bad = max(len(bad), 1)
+
+    def terms(text: str) -> set[str]:
+        words = set(text.split())
+        return {f" {w} " for w in words} | {f" {w[:k]}" for w in words for k in range(shortest, min(len(w), longest) + 1)}
+
+    found = Counter(t for text in bad for t in terms(text))
+    found = Counter({t: n for t, n in found.items() if n >= support})
+    elsewhere: Counter = Counter()
+    for text, y in unique.items():
+        if not y:
+            elsewhere.update(t for t in terms(text) if t in found)
+    weight = {t: math.log((n + 0.5) / (n_bad + 1)) - math.log((elsewhere[t] + 0.5) / (n_good + 1)) for t, n in found.items()}
+    weight = {t: w for t, w in weight.items() if w >= odds}
     seen: dict[str, set[int]] = defaultdict(set)
-    for i, words in enumerate(bad):
-        for w in words:
-            seen[f" {w} "].add(i)
-            for k in range(shortest, min(len(w), longest) + 1):
-                seen[f" {w[:k]}"].add(i)
-    n_bad, n_good = max(len(bad), 1), max(len(good), 1)
-    weight = {}
-    for term, own in seen.items():
-        if len(own) >= support:
-            value = math.log((len(own) + 0.5) / (n_bad + 1)) - math.log((starts[term] + 0.5) / (n_good + 1))
-            if value >= odds:
-                weight[term] = value
+    for i, text in enumerate(bad):
+        for t in terms(text):
+            if t in weight:
+                seen[t].add(i)
     left, chosen = set(range(len(bad))), {}
     queue = [(-len(seen[t]), -len(t), t) for t in weight]
     heapq.heapify(queue)
@@ -169,7 +168,7 @@ def learn_lexicon(texts: list[str], toxic: list[int], *, shortest: int = 4, long
     return lexicon
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", toxic: str = "toxic", sample_rows: int = 12000) -> Lexicon:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", toxic: str = "toxic", sample_rows: int = 6000) -> Lexicon:
     """Learn from at most about ``sample_rows`` labelled rows, a third of them toxic if there are as many.
 
     Labels may be repeated; rows without a label, a text or an id are not used. Without any
@@ -182,16 +181,18 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", tex
     wanted = F.lit(False)
     for y, s in share.items():
         wanted = wanted | ((F.col("_y") == y) & ((F.lit(s) >= 1) | (hash_share(F.col("_id"), 13) < s)))
-    picked = docs.where(F.col(text).isNotNull()).join(marked.where(wanted), docs[key] == F.col("_id"))
-    rows = sorted(picked.select("_id", text, "_y").limit(2 * sample_rows).collect())
+    texts = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).where("_text is not null")
+    # the sample rule leaves about ``sample_rows`` ids, so this side is small at any size
+    picked = texts.join(F.broadcast(marked.where(wanted)), F.col("_key") == F.col("_id"))
+    rows = sorted(picked.select("_id", "_text", "_y").limit(2 * sample_rows).collect())
     return learn_lexicon([r[1] for r in rows], [r[2] for r in rows])
 
 
 def toxicity(lexicon: Lexicon, text: Column) -> Column:
     """The score of a text in [0, 1]; null and empty texts score as texts without a hit."""
 
-    @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
-        return pd.Series(lexicon.scores(texts))
+    @F.arrow_udf("double")
+    def score(texts: pa.Array) -> pa.Array:
+        return pa.array(np.concatenate([np.zeros(0)] + [lexicon.scores(part) for part in text_lists(texts)]))
 
     return score(F.coalesce(text, F.lit("")))
