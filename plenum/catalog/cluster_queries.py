@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plenum.catalog import views as v
 from plenum.functions.vectors import best_vector, dot
@@ -180,11 +181,12 @@ def _kmeans(spark, d):
 
 
 def _choose_k(spark, d):
-    """All k from 8 to 12, scored; the range is the caller's choice."""
+    """The chosen k of the adaptive range and its alternatives, best first; a k of the fallback stands alone."""
     reduced = cut_lineage(cl.reduce_pca(v.table(spark, d, "embeddings"), dims=16)[0])
-    n = reduced.count()
-    span = cl.k_range(n, min_k=8, max_k=12)
-    return cl.score_k(cl.k_metrics(reduced, list(range(span.min_k, span.max_k + 1))), n)
+    k, alternatives = cl.choose_k(reduced)
+    chosen = cl.score_k(cl.k_metrics(reduced, [k]), reduced.count())
+    ranked = [(rank, *row) for rank, row in enumerate([*chosen.collect(), *alternatives], 1)]
+    return spark.createDataFrame(ranked, T.StructType([T.StructField("rank", T.IntegerType()), *chosen.schema]))
 
 
 def _best_vector(spark, d):

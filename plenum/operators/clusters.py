@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import inheritable_thread_target
 from pyspark.ml.clustering import BisectingKMeans, KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -214,13 +215,21 @@ def k_range(n: int, min_k: int = 5, max_k: int = 50, max_cv: float = 1.0) -> KRa
     return KRange(min_k, max_k, max_cv, 0.3, 0.5, fallback)
 
 
+#: Fits that run at the same time: each is a chain of short jobs that leaves most cores idle.
+FITS_AT_ONCE = 8
+
+
 def k_metrics(df: DataFrame, ks: list[int], vector: str = "reduced", seed: int = 42) -> DataFrame:
     """One row of metrics per k; the vectors are written once and read by every fit."""
-    rows = cut_lineage(df.where(F.col(vector).isNotNull()).select(F.col(vector).alias("v")))
-    rows_per_k = [
-        grouping_metrics(cluster_k(rows, k, "v", seed=seed), vector="v").withColumn("k", F.lit(k)) for k in ks
-    ]
-    return reduce(DataFrame.unionByName, rows_per_k)
+    spark, rows = df.sparkSession, cut_lineage(df.where(F.col(vector).isNotNull()).select(F.col(vector).alias("v")))
+
+    def measured(k: int) -> tuple[Row, T.StructType]:
+        one = grouping_metrics(cluster_k(rows, k, "v", seed=seed), vector="v").withColumn("k", F.lit(k))
+        return one.first(), one.schema
+
+    with ThreadPoolExecutor(FITS_AT_ONCE) as pool:
+        found = list(pool.map(inheritable_thread_target(spark)(measured), ks))
+    return spark.createDataFrame([row for row, _ in found], found[0][1])
 
 
 def _ladder(value: Column, steps: list[tuple[float, int]], floor: int, falling: bool = False) -> Column:

@@ -149,6 +149,35 @@ def test_best_k_and_ties(spark):
     assert [(r.k, r.score) for r in out] == [(5, 82), (6, 82), (7, 13)]
 
 
+@pytest.mark.parametrize("good", [range(28, 41), ()])
+def test_choose_k_tries_the_whole_range(spark, monkeypatch, tmp_path, good):
+    """The query takes the best k wherever it lies, with five alternatives; without a k in the limits, the fallback alone."""
+    from plenum.catalog.cluster_queries import QUERIES
+
+    rng = np.random.default_rng(3)
+    rows = [(i, i % 4, [float(x) for x in rng.normal(size=20)]) for i in range(60)]
+    spark.createDataFrame(rows, "vec_id bigint, label int, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    tried = []
+
+    def metrics(df, ks, vector="reduced", seed=42):
+        tried.append(list(ks))
+        return spark.createDataFrame([(k, 60.0 - k, 0.5 if k in good else 0.1, 0.4, 10) for k in ks], "k int, between_within_ratio double, silhouette double, cv double, max_size int")
+
+    monkeypatch.setattr(cl, "k_metrics", metrics)
+    out = [(r["rank"], r["k"]) for r in QUERIES["choose_k"][0](spark, str(tmp_path)).collect()]
+    assert tried[0] == list(range(5, 51))
+    assert out == ([(i + 1, 28 + i) for i in range(6)] if good else [(1, 6)])
+
+
+def test_k_metrics_has_one_row_per_k(spark):
+    rng = np.random.default_rng(4)
+    df = points(spark, [(i, 0, [float(x) for x in rng.normal(size=6) + 5 * np.eye(6)[i % 4]]) for i in range(40)])
+    found = {r["k"]: r for r in cl.k_metrics(df, [2, 4, 5], "embedding").collect()}
+    for k in (2, 4, 5):
+        alone = cl.grouping_metrics(cl.cluster_k(df.select("embedding"), k, "embedding")).first()
+        assert found[k]["n_clusters"] == k and found[k]["silhouette"] == pytest.approx(alone["silhouette"])
+
+
 def test_discovery_labels_every_message_once(spark):
     from plenum.plans.theme_discovery import discover
 
