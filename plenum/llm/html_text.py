@@ -41,6 +41,8 @@ _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)([^>\"']*(?:(?:\"[^\"]*\"|'[^']*')[^>\"']*)*)>", re.DOTALL)
 _ATTRIBUTE = re.compile(r"""([a-zA-Z_:][-\w:.]*)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _PART = re.compile(r"[^a-z]+")
+#: Where an element ends that is not read; searched in the page itself, since lower-casing may change its length.
+_END = {name: re.compile(f"</{name}", re.IGNORECASE | re.ASCII) for name in RAW}
 
 
 @dataclass
@@ -90,7 +92,7 @@ def parse(source: str) -> Page:
     """Containers and text pieces of a page; broken markup is read as far as it goes."""
     page = Page()
     stack = [("", _open(page, -1, "html", ""))]
-    place, links, low = 0, 0, None
+    place, links = 0, 0
 
     def add(text: str) -> None:
         node = stack[-1][1]
@@ -129,11 +131,10 @@ def parse(source: str) -> Page:
         if name not in INLINE:
             end_block()
         if not closing and name in RAW:
-            low = source.lower() if low is None or len(low) != len(source) else low
-            end = low.find(f"</{name}", place)
-            if end < 0:
+            end = _END[name].search(source, place)
+            if end is None:
                 return page
-            place = source.find(">", end) + 1 or len(source)
+            place = source.find(">", end.end()) + 1 or len(source)
         elif name in NESTED:
             if closing:
                 for i in range(len(stack) - 1, 0, -1):

@@ -41,6 +41,15 @@ def test_broken_markup():
     assert html_text.extract(None, None) == "" and html_text.vote("") == (None, 0.0)
 
 
+def test_letters_that_grow_in_lower_case():
+    """U+0130 is two characters in lower case; what stands before a script must not shift its end."""
+    story = "\u0130stanbul " * 60
+    body = f"<article><p>{story}</p><SCRIPT>var a = 1;</Script><p>after the script</p><style>p{{}}</style>tail</article>"
+    assert main_text(page(body)) == f"{story}after the script tail"
+    leak = f"<article><p>{story}</p><script>one()</script>x<script>{'two(); ' * 30}</script><p>end</p></article>"
+    assert main_text(page(leak)) == f"{story}x end"
+
+
 def test_a_page_without_the_winning_path_uses_its_own():
     assert html_text.extract(page("<article><p>own text</p></article>"), "html/body/div.story") == "own text"
 
