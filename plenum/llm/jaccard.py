@@ -18,12 +18,15 @@ inequality that put a document into each region in which a partner within ``r``
    of bounded size again, and compared exactly in the same way.
 
 Only forests leave a block, never all its pairs; connected components over them are the
-classes. Documents with equal sets are one node throughout.
+classes. Documents with equal sets are one node throughout. Where the number of links is asked
+for, every two documents of a block of step 4 are compared: each pair is in one block only, so
+the sums of what each block counts lose no link and need no rows of pairs.
 """
 
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -139,6 +142,27 @@ class Region:
                 out += [(int(self.nodes[pivot]), int(self.nodes[i])) for i in hit]
         return out
 
+    def counted(self, copies: np.ndarray, left: np.ndarray | None = None) -> tuple[list[tuple[int, int]], np.ndarray]:
+        """Edges of a spanning forest, and for every document the copies of all its partners; every pair is compared once."""
+        out, links = [], np.zeros(len(self.sizes), dtype=np.int64)
+        order, label = np.argsort(self.sizes, kind="stable"), np.arange(len(self.sizes))
+        ends = np.searchsorted(self.percent * self.sizes[order], 100 * self.sizes[order], side="right")
+        for at, pivot in enumerate(order):
+            rest = order[at + 1 : ends[at]]
+            if left is not None:
+                rest = rest[left[rest] != left[pivot]]
+            if not len(rest):
+                continue
+            hit = rest[self.near(pivot, rest)]
+            links[pivot] += copies[hit].sum()
+            links[hit] += copies[pivot]
+            others = hit[label[hit] != label[pivot]]
+            if len(others):
+                joined, first = np.unique(label[others], return_index=True)
+                out += [(int(self.nodes[pivot]), int(self.nodes[i])) for i in others[first]]
+                label[np.isin(label, joined)] = label[pivot]
+        return out, links
+
 
 def _by_cells(vectors: list[np.ndarray], sizes: np.ndarray, percent: int):
     """Can the distance be at most r? True where the counts by cell do not rule it out."""
@@ -298,15 +322,20 @@ def blocks(members: DataFrame, percent: int) -> DataFrame:
     return one.union(dealt.select(*keys, tile, F.when(~alone, F.col("half")).alias("half")))
 
 
-def _compared(members: DataFrame, columns: list[str], keep: Callable[[tuple], tuple | None], compare: Callable[[list], list[tuple[int, int]]]) -> DataFrame:
+def _compared(members: DataFrame, columns: list[str], keep: Callable[[tuple], tuple | None], compare: Callable[[list], Iterable[tuple[int, int]]], summed: bool = False) -> DataFrame:
     """Edges (a, b) of ``compare`` over every (region, tile); many small ones share a task.
 
-    ``keep`` turns a row into what is held in memory until its tile is complete.
+    ``keep`` turns a row into what is held in memory until its tile is complete. With ``summed``
+    ``compare`` gives numbers by (a, b), where b may be null, and rows are (a, b, n) with sums by task.
     """
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), *([("n", pa.int64())] if summed else [])])
+
+    def rows_of(done: set | Counter) -> list[tuple]:
+        return [(*pair, n) for pair, n in done.items()] if summed else sorted(done)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, held, done = None, [], set()
+        kind = Counter if summed else set
+        at, held, done = None, [], kind()
         for batch in slices(batches):
             data = [batch[i].to_pylist() for i in range(batch.num_columns)]
             for row in zip(*data, strict=True):
@@ -317,21 +346,21 @@ def _compared(members: DataFrame, columns: list[str], keep: Callable[[tuple], tu
                 if (kept := keep(row[2:])) is not None:
                     held.append(kept)
             if len(done) >= 100_000:
-                yield _batches(sorted(done), schema)
-                done = set()
+                yield _batches(rows_of(done), schema)
+                done = kind()
         if len(held) > 1:
             done.update(compare(held))
-        yield _batches(sorted(done), schema)
+        yield _batches(rows_of(done), schema)
 
     dealt = members.select("region", "tile", *columns).repartition("region", "tile").sortWithinPartitions("region", "tile")
-    return dealt.mapInArrow(run, "a long, b long")
+    return dealt.mapInArrow(run, "a long, b long, n long" if summed else "a long, b long")
 
 
 def _halves(flags: list) -> np.ndarray | None:
     return None if flags[0] is None else np.array(flags, dtype=bool)
 
 
-def classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", n: int = 4, percent: int = 85) -> DataFrame:
+def classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", n: int = 4, percent: int = 85, links: bool = False) -> DataFrame:
     """(doc_id, text_hash, n_shingles, node, class, component_id) of every row of ``docs``.
 
     Documents link when ``100 * intersection >= percent * union`` of their sets of word
@@ -339,14 +368,16 @@ def classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", n: i
     and null texts have no shingles and link with nothing. Equal sets share ``node``, linked ones ``class``. Repeated
     rows are rows of their own; null ids are never the smallest unless all are. Other columns
     are ignored. Sets and shingles are told apart by 63-bit hashes. ``percent`` is 50 or more.
+
+    With ``links`` there is also ``n_links``: how many other rows a row links with, those with an equal set included.
     """
     if not 50 <= percent <= 100:
         raise ValueError("percent is 50 to 100")
     with short_batches(docs.sparkSession):
-        return _classes(docs, doc_id, text, n, percent)
+        return _classes(docs, doc_id, text, n, percent, links)
 
 
-def _classes(docs: DataFrame, doc_id: str, text: str, n: int, percent: int) -> DataFrame:
+def _classes(docs: DataFrame, doc_id: str, text: str, n: int, percent: int, counting: bool) -> DataFrame:
     body = F.coalesce(F.col(text), F.lit(""))
     texts = docs.select(F.col(doc_id).alias("doc_id"), body.alias("text"), F.xxhash64(body).alias("hash"))
     described = staged(describe(texts, n), "jaccard-sets")
@@ -357,7 +388,7 @@ def _classes(docs: DataFrame, doc_id: str, text: str, n: int, percent: int) -> D
     common = np.array([r["bucket"] for r in uses.where(F.col("uses") > limit).select("bucket").collect()], dtype=np.int64)
     named = F.min(F.struct("doc_id", "hash"))
     nodes = staged(described.where("n_shingles > 0").groupBy("node").agg(
-        named.alias("named"), F.min("n_shingles").alias("size"), F.min("cells").alias("cells")), "jaccard-nodes")
+        named.alias("named"), F.min("n_shingles").alias("size"), F.min("cells").alias("cells"), F.count("*").alias("copies")), "jaccard-nodes")
 
     regions = pivots(texts, n, percent, common).repartition("pivot").dropDuplicates(["pivot", "node"])
     here = Window.partitionBy("region")
@@ -385,31 +416,42 @@ def _classes(docs: DataFrame, doc_id: str, text: str, n: int, percent: int) -> D
     rest = rest.withColumns({"low": F.min("group").over(here), "high": F.max("group").over(here)}).where("low <> high")
     second = compared(rest.select("region", "node", "all"))
     loose = staged(first.union(second).distinct(), "jaccard-loose")
-    groups = connected_components(loose).select(F.col("component").alias("region"), "node").join(nodes.select("node", "named", "size"), "node")
+    groups = connected_components(loose).select(F.col("component").alias("region"), "node").join(nodes.select("node", "named", "size", "copies"), "node")
     groups = staged(groups, "jaccard-groups")
     counts = groups.groupBy("region").agg(F.count("*").alias("all"), F.sum("size").alias("load"))
     cut = staged(blocks(groups.join(counts, "region"), percent), "jaccard-blocks")
     c = if_small(cut).alias("c")
     joined = texts.alias("d").join(c, F.col("d.doc_id").eqNullSafe(F.col("c.named.doc_id")) & (F.col("d.hash") == F.col("c.named.hash")))
-    whole = joined.select("c.region", "c.tile", "c.node", "d.text", "c.half")
+    whole = joined.select("c.region", "c.tile", "c.node", "d.text", "c.half", "c.copies")
     known = _Words()
 
     def as_set(row: tuple) -> tuple | None:
         s = shingles(row[1], n, known)
-        return (row[0], s, row[2]) if set_id(s) == row[0] else None
+        return (row[0], s, row[2], row[3]) if set_id(s) == row[0] else None
 
-    def exactly(held: list) -> list[tuple[int, int]]:
-        ids, sets, flags = zip(*{row[0]: row for row in held}.values(), strict=True)  # rows may be repeated
+    def exactly(held: list) -> Iterable[tuple[int, int]]:
+        ids, sets, flags, copies = zip(*{row[0]: row for row in held}.values(), strict=True)  # rows may be repeated
         if len(ids) < 2:
             return []
         region = Region(np.array(ids), np.array([len(s) for s in sets]), _by_sets(list(sets), percent), percent)
-        return [tuple(sorted(p)) for p in region.forest(_halves(flags))]
-
-    links = staged(_compared(whole, ["node", "text", "half"], as_set, exactly).distinct(), "jaccard-links")
+        if not counting:
+            return [tuple(sorted(p)) for p in region.forest(_halves(flags))]
+        edges, counts = region.counted(np.array(copies), _halves(flags))
+        return {tuple(sorted(p)): 1 for p in edges} | {(i, None): int(c) for i, c in zip(ids, counts, strict=True) if c}
+
+    found = _compared(whole, ["node", "text", "half", "copies"], as_set, exactly, counting)
+    found = staged(found if counting else found.distinct(), "jaccard-links")
+    links = found.where("b is not null").select("a", "b")
     classed = light.join(connected_components(links), "node", "left").withColumn("class", F.coalesce("component", "node"))
     smallest = classed.where("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("smallest"))
     own = F.when(F.col("n_shingles") > 0, F.col("smallest")).otherwise(F.col("doc_id"))
-    return classed.join(smallest, "class", "left").select("doc_id", F.col("hash").alias("text_hash"), "n_shingles", "node", "class", own.alias("component_id"))
+    out = classed.join(smallest, "class", "left").select("doc_id", F.col("hash").alias("text_hash"), "n_shingles", "node", "class", own.alias("component_id"))
+    if not counting:
+        return out
+    partners = found.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("partners"))
+    linked = nodes.select("node", "copies").join(partners, "node", "left")
+    linked = linked.select("node", (F.coalesce("partners", F.lit(0)) + F.col("copies") - 1).alias("n_links")).where("n_links > 0")
+    return out.join(linked, "node", "left").select(*out.columns, F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def without_copies(docs: DataFrame, **how) -> DataFrame:

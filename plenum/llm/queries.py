@@ -67,6 +67,11 @@ def op7_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.classes(table(spark, folder, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def op7_jaccard_links(spark: SparkSession, folder: str) -> DataFrame:
+    """The rows of ``op7_jaccard_join`` with the number of links of every document."""
+    return jaccard.classes(table(spark, folder, "documents"), links=True).select("doc_id", "n_shingles", "component_id", "n_links")
+
+
 def op8_main_text(spark: SparkSession, folder: str) -> DataFrame:
     use_short_batches(spark)
     found = html_text.extract_pages(table(spark, folder, "pages"))
@@ -219,6 +224,9 @@ SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles,
   CASE WHEN len(s.s) = 0 THEN s.doc_id ELSE (SELECT min(t.doc_id) FROM reach r JOIN sets t ON t.row = r.y WHERE r.x = s.row) END AS component_id
 FROM sets s"""
 
+OP7_LINKS_SQL = OP7_SQL.replace("AS component_id\nFROM sets s", """AS component_id, coalesce(l.n, 0) AS n_links
+FROM sets s LEFT JOIN (SELECT x, count(*) AS n FROM edges GROUP BY x) l ON l.x = s.row""")
+
 QUERIES = {
     "op1_secrets": (op1_secrets, OP1_SQL),
     "op5_decontaminate": (op5_decontaminate, OP5_SQL),
@@ -231,3 +239,5 @@ QUERIES = {
     "op9_language": (op9_language, None),
     "op10_toxicity": (op10_toxicity, None),
 }
+#: Further queries of an operator, after the one of each number.
+MORE_QUERIES = {"op7_jaccard_links": (op7_jaccard_links, OP7_LINKS_SQL)}

@@ -61,6 +61,19 @@ def test_against_all_pairs_in_small_blocks(documents, monkeypatch):
     assert classes(documents(*docs)) == brute(docs, 4, 85)
 
 
+@pytest.mark.parametrize("block", [None, 4])
+def test_every_link_is_counted(documents, monkeypatch, block):
+    """The links of groups of near and equal copies, whole or cut into tiles, against all pairs."""
+    if block:
+        monkeypatch.setattr(jaccard, "BLOCK", block)
+    docs = corpus(random.Random(9), 30)
+    sets = [grams(t, 4) for _, t in docs]
+    want = {d: sum(j != i and bool(sets[i]) and 100 * len(sets[i] & s) >= 85 * len(sets[i] | s) for j, s in enumerate(sets)) for i, (d, _) in enumerate(docs)}
+    found = jaccard.classes(documents(*docs), links=True).collect()
+    assert {r["doc_id"]: r["n_links"] for r in found} == want and max(want.values()) > 2
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in found} == brute(docs, 4, 85)
+
+
 def test_cells_never_enlarge_a_difference():
     rng = np.random.default_rng(1)
     for _ in range(200):

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entrypoint
 import corpus_pipeline
 from plenum.llm import decontaminate, jaccard
-from plenum.llm.queries import QUERIES
+from plenum.llm.queries import MORE_QUERIES, QUERIES
 from tools.check_queries import database, run
 
 FOLDER = "/root/testdata/sf0.001"
@@ -28,6 +28,13 @@ def test_query(spark, name):
     assert rows > 0 or name == "op5_decontaminate"
 
 
+@pytest.mark.parametrize("name", sorted(MORE_QUERIES))
+def test_further_query(spark, name):
+    assert name in entrypoint.queries()
+    state, problem, _, rows = run(spark, database(FOLDER), FOLDER, name, MORE_QUERIES[name])
+    assert state == "same" and rows > 0, problem
+
+
 def test_held_out_folds_and_accuracy(spark):
     docs = {r["doc_id"]: r["lang"] for r in spark.read.parquet(f"{FOLDER}/documents.parquet").collect()}
     out = QUERIES["op9_language"][0](spark, FOLDER).collect()
