@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plenum.llm import decontaminate, html_text, jaccard, language, mixing, secrets, sharding, syncmers, toxicity, warc
+from plenum.llm import collisions, decontaminate, html_text, jaccard, language, mixing, multi_index, phrases, secrets, sharding, syncmers, toxicity, warc
 from plenum.llm.common import use_short_batches
 from plenum.session import ensure_checkpoint_dir
 
@@ -95,6 +95,18 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("*", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op11_nearest(spark: SparkSession, folder: str) -> DataFrame:
+    return collisions.nearest(table(spark, folder, "embeddings"))
+
+
+def op12_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    return multi_index.hard_negatives(table(spark, folder, "embeddings"))
+
+
+def op13_phrases(spark: SparkSession, folder: str) -> DataFrame:
+    return phrases.collocations(table(spark, folder, "documents"))
+
+
 OP2_SQL = r"""
 WITH light AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
@@ -227,6 +239,60 @@ FROM sets s"""
 OP7_LINKS_SQL = OP7_SQL.replace("AS component_id\nFROM sets s", """AS component_id, coalesce(l.n, 0) AS n_links
 FROM sets s LEFT JOIN (SELECT x, count(*) AS n FROM edges GROUP BY x) l ON l.x = s.row""")
 
+OP11_SQL = """
+WITH v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+pairs AS (
+  SELECT q.vec_id AS query_id, c.vec_id, sqrt(list_reduce(list_transform(list_zip(q.e, c.e), lambda z: (z[1] - z[2]) * (z[1] - z[2])), lambda a, b: a + b)) AS score
+  FROM v q JOIN v c ON c.vec_id IS DISTINCT FROM q.vec_id AND len(c.e) = len(q.e) WHERE q.vec_id % 100 = 0)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id NULLS LAST) AS INTEGER) AS rank, vec_id, score
+FROM pairs QUALIFY rank <= 10"""
+
+OP12_SQL = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(CAST(embedding AS DOUBLE[]), lambda x: floor(256 * x)) AS e
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+pairs AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS same, CAST(list_inner_product(a.e, b.e) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id IS DISTINCT FROM b.vec_id AND len(a.e) = len(b.e) WHERE a.vec_id % 50 = 0),
+positives AS (
+  SELECT anchor_id, other AS positive_id, score AS positive_score FROM pairs WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other NULLS LAST) <= 5)
+SELECT p.anchor_id, p.positive_id,
+  CAST(row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY n.score DESC, n.other NULLS LAST) AS INTEGER) AS rank,
+  n.other AS negative_id, p.positive_score, n.score AS negative_score
+FROM positives p JOIN pairs n ON n.anchor_id = p.anchor_id AND NOT n.same AND 50 * p.positive_score <= 100 * n.score AND 100 * n.score <= 95 * p.positive_score
+QUALIFY rank <= 3"""
+
+OP13_SQL = r"""
+WITH pieces AS (
+  SELECT lang, unnest(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM (SELECT coalesce(lang, 'und') AS lang, coalesce(text, '') AS text FROM documents)),
+words AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+totals AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM words GROUP BY lang),
+grams AS (
+  SELECT lang, m, array_to_string(w[i:i + m - 1], ' ') AS phrase, count(*) AS f
+  FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM words, (VALUES (1), (2), (3), (4)) AS v(m)) GROUP BY ALL),
+found AS (SELECT lang, m, phrase, string_split(phrase, ' ') AS w, f AS a FROM grams WHERE m > 1 AND f >= 30),
+cuts AS (
+  SELECT lang, phrase, a, k, array_to_string(w[1:k], ' ') AS one, array_to_string(w[k + 1:m], ' ') AS two
+  FROM (SELECT *, unnest(range(1, m)) AS k FROM found)),
+scored AS (
+  SELECT c.lang, c.phrase, c.a, c.k, x.f AS l, y.f AS r, 2000000::HUGEINT * c.a // (x.f + y.f) AS score
+  FROM cuts c JOIN grams x ON x.lang = c.lang AND x.phrase = c.one JOIN grams y ON y.lang = c.lang AND y.phrase = c.two),
+worst AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+longer AS (
+  SELECT lang, array_to_string(w[i:i + s - 1], ' ') AS phrase, max(a) AS f
+  FROM (SELECT lang, w, a, s, unnest(range(1, m - s + 2)) AS i FROM (SELECT *, unnest(range(2, m)) AS s FROM found)) GROUP BY ALL),
+kept AS (
+  SELECT w.* FROM worst w LEFT JOIN longer o ON o.lang = w.lang AND o.phrase = w.phrase
+  WHERE o.f IS NULL OR 100::HUGEINT * o.f < 80::HUGEINT * w.a)
+SELECT k.lang, row_number() OVER (PARTITION BY k.lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score
+FROM kept k JOIN totals t ON t.lang = k.lang QUALIFY rank <= 2000"""
+
 QUERIES = {
     "op1_secrets": (op1_secrets, OP1_SQL),
     "op5_decontaminate": (op5_decontaminate, OP5_SQL),
@@ -238,6 +304,9 @@ QUERIES = {
     "op8_main_text": (op8_main_text, None),
     "op9_language": (op9_language, None),
     "op10_toxicity": (op10_toxicity, None),
+    "op11_nearest": (op11_nearest, OP11_SQL),
+    "op12_hard_negatives": (op12_hard_negatives, OP12_SQL),
+    "op13_phrases": (op13_phrases, OP13_SQL),
 }
 #: Further queries of an operator, after the one of each number.
 MORE_QUERIES = {"op7_jaccard_links": (op7_jaccard_links, OP7_LINKS_SQL)}

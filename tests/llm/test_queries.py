@@ -18,7 +18,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="shared tables
 
 def test_all_are_registered():
     assert set(QUERIES) | {"pipeline"} <= set(entrypoint.queries())
-    assert sorted(int(q[2:].split("_")[0]) for q in QUERIES) == list(range(1, 11))
+    assert sorted(int(q[2:].split("_")[0]) for q in QUERIES) == list(range(1, 14))
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
