@@ -7,11 +7,11 @@ they stand. The distinct chunks with their parse frequencies are the dictionary;
 counted inside it, each occurrence times the frequency of its chunk. A phrase is counted where
 it starts, and a chunk owns the starts before its closing window, so overlaps count once.
 
-Counting takes two passes over the written dictionary, as a phrase is no more frequent than its
-parts. First words and pairs are counted in hashed buckets, and buckets that reach ``least``
-set bits of a table of fixed size. Buckets only ever hold too much, so no phrase is lost. Then
-words with their bit, and phrases all of whose pairs have theirs, are counted by their words
-themselves.
+Counting takes three passes over the written dictionary, as a phrase is no more frequent than
+its parts. First words and pairs are counted in hashed buckets, and buckets that reach
+``least`` set bits of a table of fixed size; then, in the same way, longer phrases all of whose
+pairs have their bit. Buckets only ever hold too much, so no phrase is lost. Words and phrases
+with their bit are at last counted by their words themselves.
 
 Cases: null texts are empty, null languages ``und``; documents without words add nothing; an
 empty table gives no rows; repeated rows count each; other columns are not read. Scores tie by
@@ -225,8 +225,8 @@ class _Adder:
         self.parts, self.held = {}, 0
 
 
-def _frequent(chunks: DataFrame, least: int, groups: int, size: int) -> dict[int, np.ndarray]:
-    """For words and for pairs the table of bits of the buckets that reach ``least``.
+def _frequent(chunks: DataFrame, use: Callable[[Grams, int], np.ndarray], levels: list[int], least: int, groups: int, size: int) -> dict[int, np.ndarray]:
+    """Per length the table of bits of the buckets that reach ``least``, over the phrases that ``use`` marks.
 
     What comes to the driver is at most one row per 64 bits of the tables.
     """
@@ -234,10 +234,10 @@ def _frequent(chunks: DataFrame, least: int, groups: int, size: int) -> dict[int
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         adder = _Adder(groups, least)
         for texts, batch in _texts(batches):
-            g = Grams(texts, batch, 2)
-            for n in (1, 2):
-                use = g.owned & g.whole[n - 1]
-                adder.add(n, g.hash[n - 1][use], g.weight[use])
+            g = Grams(texts, batch, max(levels))
+            for n in levels:
+                marked = g.owned & use(g, n)
+                adder.add(n, g.hash[n - 1][marked], g.weight[marked])
             if adder.held >= FLUSH:
                 yield from adder.rows()
         yield from adder.rows()
@@ -254,7 +254,7 @@ def _frequent(chunks: DataFrame, least: int, groups: int, size: int) -> dict[int
     cell = F.shiftrightunsigned("bit", 6).cast("int")
     cells = bits.groupBy("level", cell.alias("cell")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 AS INT))")).alias("bits")).toArrow()
     level, cell, value = (cells[c].to_numpy() for c in ("level", "cell", "bits"))
-    tables = {n: np.zeros(1 << (size - 6), _U) for n in (1, 2)}
+    tables = {n: np.zeros(1 << (size - 6), _U) for n in levels}
     for n, table in tables.items():
         table[cell[level == n]] = value[level == n].astype(np.int64).view(_U)
     return tables
@@ -299,15 +299,19 @@ def phrase_counts(chunks: DataFrame, longest: int = 4, least: int = 30, size: in
     words = chunks.agg(F.coalesce(F.sum(F.col("owned").cast("long")), F.lit(0)).alias("n")).first()["n"]
     groups = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(words / GROUP_WORDS))
     rows = chunks.select("chunk", "lang", "owned", "frequency")
-    bits = spark.sparkContext.broadcast(_frequent(rows, least, groups, size))
+    share = spark.sparkContext.broadcast
+    parts = share(_frequent(rows, lambda g, n: g.whole[n - 1], [1, 2], least, groups, size))
+    levels = list(range(3, longest + 1))
+    longer = _frequent(rows, lambda g, n: g.passing(n, parts.value[2]), levels, least, groups, size) if levels else {}
+    bits = share(parts.value | longer)
 
     def spelled(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         speller = _Speller()
         for texts, batch in _texts(batches):
             g, langs = Grams(texts, batch, longest), batch.column("lang").to_pylist()
-            speller.add(g, langs, 1, np.flatnonzero(g.owned & has_bit(bits.value[1], g.hash[0])))
-            for n in range(2, longest + 1):
-                speller.add(g, langs, n, np.flatnonzero(g.owned & g.passing(n, bits.value[2])))
+            for n in range(1, longest + 1):
+                marked = g.owned & has_bit(bits.value[n], g.hash[n - 1])
+                speller.add(g, langs, n, np.flatnonzero(marked & g.passing(n, bits.value[2]) if n > 1 else marked))
             if speller.held >= HELD:
                 yield from speller.rows()
         yield from speller.rows()
