@@ -23,7 +23,7 @@ HEADLINES = [
     "block_topk_direct", "block_topk_by_label", "runoff_range_topk", "district_topk_city_boost", "race_matching",
     "clean_candidate_fields", "expand_elections", "temporal_match", "clean_documents", "cleaning_verdicts", "exact_duplicates",
     "near_duplicates", "filter_messages", "split_messages", "classify_messages", "validate_messages", "issue_insights", "compound_patterns",
-    "poll_completion", "theme_rollup", "silhouette", "within_cluster_distance", "density_clusters", "pii_scan", "sanitize_html",
+    "poll_completion", "theme_rollup", "silhouette", "within_cluster_distance", "density_clusters", "density_tree", "choose_k", "pii_scan", "sanitize_html",
     "verify_quotes", "table_profile", "usage_by_model", "campaign_json", "message_insights",
 ]
 

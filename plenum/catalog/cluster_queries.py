@@ -176,7 +176,7 @@ DENSITY = """WITH RECURSIVE e AS (SELECT vec_id, vec_id % 3 AS category, embeddi
 def _kmeans(spark, d):
     """Bisecting k-means on centred components; sizes and metrics of the result."""
     reduced, _ = cl.reduce_pca(v.table(spark, d, "embeddings"), dims=16)
-    out = cl.cluster_k(reduced, 10, "reduced")
+    out = cl.cluster_k(reduced, 10, "reduced", method="bisecting")
     return cl.attach_row(cl.cluster_sizes(out), cl.between_within_ratio(out, vector="reduced"))
 
 

@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import inheritable_thread_target
 from pyspark.ml.clustering import BisectingKMeans, KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,11 +20,10 @@ from plenum.functions.text import let
 from plenum.functions.vectors import dot, l2_normalise
 from plenum.operators.graph import connected_components
 from plenum.operators.matching import _matrix, _unit
+from plenum.operators.merge_tree import NOISE, build_tree, complete_clusters, cut, metrics_by_k
 from plenum.operators.ranking import attach_row
 from plenum.session import cut_lineage
 
-NOISE = -1
-
 
 def attach_vectors(df: DataFrame, text: str, embedder=None, vectors: DataFrame | None = None, output: str = "embedding") -> DataFrame:
     """Give every row the vector of its text; each distinct text is embedded once.
@@ -58,8 +55,10 @@ def reduce_pca(df: DataFrame, vector: str = "embedding", dims: int = 50, output:
     return out, float(sum(model.explainedVariance))
 
 
-def cluster_k(df: DataFrame, k: int, vector: str = "reduced", method: str = "bisecting", seed: int = 42, output: str = "cluster_id") -> DataFrame:
-    """Cosine clusters by bisecting (or plain) k-means; rows without a vector get -1."""
+def cluster_k(df: DataFrame, k: int, vector: str = "reduced", method: str = "complete", seed: int = 42, output: str = "cluster_id") -> DataFrame:
+    """Cosine clusters by complete linkage, or by ``bisecting`` or plain ``kmeans``; rows without a vector get -1."""
+    if method == "complete":
+        return complete_clusters(df, k, vector, output, seed=seed)
     rows = df.where(F.col(vector).isNotNull()).withColumn("_v", array_to_vector(vector))
     maker = BisectingKMeans if method == "bisecting" else KMeans
     model = maker(k=k, seed=seed, distanceMeasure="cosine", featuresCol="_v", predictionCol=output).fit(rows)
@@ -215,21 +214,10 @@ def k_range(n: int, min_k: int = 5, max_k: int = 50, max_cv: float = 1.0) -> KRa
     return KRange(min_k, max_k, max_cv, 0.3, 0.5, fallback)
 
 
-#: Fits that run at the same time: each is a chain of short jobs that leaves most cores idle.
-FITS_AT_ONCE = 8
-
-
 def k_metrics(df: DataFrame, ks: list[int], vector: str = "reduced", seed: int = 42) -> DataFrame:
-    """One row of metrics per k; the vectors are written once and read by every fit."""
-    spark, rows = df.sparkSession, cut_lineage(df.where(F.col(vector).isNotNull()).select(F.col(vector).alias("v")))
-
-    def measured(k: int) -> tuple[Row, T.StructType]:
-        one = grouping_metrics(cluster_k(rows, k, "v", seed=seed), vector="v").withColumn("k", F.lit(k))
-        return one.first(), one.schema
-
-    with ThreadPoolExecutor(FITS_AT_ONCE) as pool:
-        found = list(pool.map(inheritable_thread_target(spark)(measured), ks))
-    return spark.createDataFrame([row for row, _ in found], found[0][1])
+    """One row of metrics per k, all from one merge tree."""
+    tree, placed = build_tree(df.select(vector), vector, seed=seed)
+    return metrics_by_k(placed, tree, ks, vector)
 
 
 def _ladder(value: Column, steps: list[tuple[float, int]], floor: int, falling: bool = False) -> Column:
@@ -270,6 +258,25 @@ def choose_k(df: DataFrame, vector: str = "reduced", seed: int = 42, **limits) -
     return (best[0]["k"], best[1:]) if best else (span.fallback, [])
 
 
+def choose_clusters(df: DataFrame, vector: str = "reduced", k: int | None = None, seed: int = 42, output: str = "cluster_id", **limits) -> tuple[DataFrame, int, list]:
+    """Rows in the best number of clusters (or ``k``), that number and its alternatives; one tree serves choice and labels.
+
+    Rows without a vector get -1.
+    """
+    tree, placed = build_tree(df, vector, seed=seed)
+    alternatives = []
+    if k is None:
+        n = placed.count()
+        span = k_range(n, **limits)
+        k = span.settled
+        if k is None:
+            ks = [x for x in range(span.min_k, span.max_k + 1) if x < n]
+            best = score_k(metrics_by_k(placed, tree, ks, vector), n, span).limit(6).collect()
+            k, alternatives = (best[0]["k"], best[1:]) if best else (span.fallback, [])
+    rest = df.where(F.col(vector).isNull()).withColumn(output, F.lit(NOISE))
+    return cut(placed, tree, k, output).unionByName(rest), k, alternatives
+
+
 def similar_pairs(centres: DataFrame, threshold: float = 0.92, cluster: str = "cluster_id") -> DataFrame:
     """Pairs of clusters whose unit centroids are at least ``threshold`` alike.
 

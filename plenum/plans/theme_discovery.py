@@ -24,8 +24,7 @@ def discover(atoms: DataFrame, vector: str = "embedding", dims: int = 50, k: int
     usable = atoms.where(~F.col("is_opt_out") & F.col(vector).isNotNull())
     reduced, _ = cl.reduce_pca(usable, vector, dims)
     reduced = cut_lineage(reduced)
-    k = k or cl.choose_k(reduced, "reduced", seed)[0]
-    labelled = cut_lineage(cl.cluster_k(reduced, k, "reduced", seed=seed))
+    labelled = cut_lineage(cl.choose_clusters(reduced, "reduced", k, seed)[0])
     centres = cl.centroids(labelled, vector=vector)
     mapping = cl.merge_map(cl.similar_forest(centres, merge_at), centres)
     merged = cl.apply_merges(labelled, mapping)

@@ -174,7 +174,7 @@ def test_k_metrics_has_one_row_per_k(spark):
     df = points(spark, [(i, 0, [float(x) for x in rng.normal(size=6) + 5 * np.eye(6)[i % 4]]) for i in range(40)])
     found = {r["k"]: r for r in cl.k_metrics(df, [2, 4, 5], "embedding").collect()}
     for k in (2, 4, 5):
-        alone = cl.grouping_metrics(cl.cluster_k(df.select("embedding"), k, "embedding")).first()
+        alone = cl.grouping_metrics(cl.cluster_k(df.select("embedding"), k, "embedding"), vector="embedding").first()
         assert found[k]["n_clusters"] == k and found[k]["silhouette"] == pytest.approx(alone["silhouette"])
 
 
