@@ -8,8 +8,10 @@ best one.
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -21,11 +23,10 @@ from plenum.llm.common import staged, text_lists
 # Kinds of HTML elements.
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong "
              "sub sup time tt u var wbr".split())
-VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style noscript textarea title template iframe noframes xmp svg".split())
 CONTAINERS = set("body main article section div td".split())
 NESTED = CONTAINERS | set("html head table nav aside header footer form menu dialog fieldset figure ul ol dl details button select video audio object".split())
-DROPPED = set("head nav aside footer form menu dialog button select video audio object".split())
+DROPPED = set("head nav aside footer menu dialog button select video audio object".split())
 DROPPED_ROLES = set("navigation banner contentinfo complementary search alert alertdialog dialog form menu menubar toolbar".split())
 DROPPED_WORDS = set(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar menu nav navbar navigation navi "
@@ -33,34 +34,52 @@ DROPPED_WORDS = set(
     "subscription signup social share sharing related recommended recommendations comment comments reply replies discussion disqus respond widget "
     "pagination pager login toolbar hidden copyright disclaimer commentlist adbox adslot adsbygoogle sidenav topnav toc".split())
 HEADER_WORDS = {"header", "topbar", "head"}
+#: Hints at what others write or sell, which may be most of a page: of these an article inside is asked for.
+FOREIGN_WORDS = set(
+    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion cookie cookies consent gdpr popup modal overlay newsletter "
+    "subscribe subscription signup social share sharing related recommended recommendations comment comments reply replies discussion disqus respond "
+    "commentlist adbox adslot adsbygoogle".split())
 #: A class that begins like this tells of other parts of the page ("has-sidebar").
 ABOUT = set("has with without no not is".split())
 GOOD_WORDS = set("content article post entry story main text body".split())
 
-_TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)([^>\"']*(?:(?:\"[^\"]*\"|'[^']*')[^>\"']*)*)>", re.DOTALL)
+_OPEN = re.compile(r"<(?:!--|!\[CDATA\[|[!?]|(/?)([A-Za-z][^\s/>]*))")
+_EDGE = re.compile("[>\"']")
 _ATTRIBUTE = re.compile(r"""([a-zA-Z_:][-\w:.]*)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _PART = re.compile(r"[^a-z]+")
 #: Where an element ends that is not read; searched in the page itself, since lower-casing may change its length.
 _END = {name: re.compile(f"</{name}", re.IGNORECASE | re.ASCII) for name in RAW}
 
 
+#: A wrapper with a hint against it needs this share of the text of the page to be read.
+MOST = 0.5
+#: Without an article inside, so much beside it is next to nothing.
+LITTLE = 0.1
+#: A longer path goes on from a digest of itself, so deep pages stay small.
+PATH = 500
+
+
 @dataclass
 class Node:
     path: str
     parent: int
-    dropped: bool
+    dropped: bool  # for certain, or in the end
+    hint: bool  # against it
+    foreign: bool
     inside: bool  # of an article or main element
     candidate: bool
+    good: bool  # an article, or named like one
     bonus: float
-    text: int = 0  # characters of its own blocks
+    holder: int  # the next candidate from here upwards
+    own: int = 0  # characters outside links
+    text: int = 0  # of a candidate: characters of its own blocks
     links: int = 0
 
 
 @dataclass
 class Page:
     nodes: list[Node] = field(default_factory=list)
-    pieces: list[tuple[int, str, bool]] = field(default_factory=list)  # node, text, "a block ends after it"
+    pieces: list[tuple[int, str, bool, bool]] = field(default_factory=list)  # node, text, inside a link, "a block ends after it"
 
 
 def _attributes(raw: str) -> dict[str, str]:
@@ -74,25 +93,66 @@ def _open(page: Page, parent: int, tag: str, raw: str) -> int:
     words = {w for n in names if (parts := _PART.split(n)) and parts[0] not in ABOUT for w in parts}
     inside = tag in ("article", "main") or (up is not None and up.inside)
     dropped = up is not None and up.dropped
-    if not dropped and tag not in ("html", "body", "article", "main"):
+    named = tag not in ("html", "body", "article", "main")
+    hint = named and bool(words & DROPPED_WORDS or tag == "form")
+    if not dropped and named:
         header = tag == "header" or bool(words & HEADER_WORDS)
-        dropped = (tag in DROPPED or (header and not inside) or bool(words & DROPPED_WORDS) or attributes.get("role", "").lower() in DROPPED_ROLES
+        dropped = (tag in DROPPED or (header and not inside) or attributes.get("role", "").lower() in DROPPED_ROLES
                    or "hidden" in attributes or attributes.get("aria-hidden") == "true"
                    or "display:none" in attributes.get("style", "").replace(" ", "").lower())
     if not dropped and tag == "article" and words & {"comment", "comments", "reply"}:
         dropped = True
     classes = sorted(_PART.split(attributes.get("class", "").lower())) if "class" in attributes else []
     step = ".".join([tag, *[c for c in classes if c]])
+    above = up.path if up else ""
+    if len(above) > PATH:
+        above = hashlib.md5(above.encode()).hexdigest()
+    good = tag in ("article", "main") or (tag in CONTAINERS and tag != "body" and not hint and bool(words & GOOD_WORDS))
     bonus = {"article": 1.5, "main": 1.3}.get(tag, 1.0) * (1.25 if words & GOOD_WORDS and tag != "body" else 1.0)
-    page.nodes.append(Node(f"{up.path}/{step}" if up else step, parent, dropped, inside, tag in CONTAINERS, bonus))
-    return len(page.nodes) - 1
+    at, candidate = len(page.nodes), tag in CONTAINERS
+    page.nodes.append(Node(f"{above}/{step}" if up else step, parent, dropped, hint, bool(words & FOREIGN_WORDS), inside, candidate, good, bonus,
+                           at if candidate or up is None else up.holder))
+    return at
+
+
+def _settle(page: Page) -> None:
+    """Decide on the wrappers with a hint against them, keep the pieces that are left and add them up."""
+    nodes = page.nodes
+    under, good = [n.own for n in nodes], [n.good and not n.dropped for n in nodes]
+    for i in range(len(nodes) - 1, 0, -1):  # children come after their parents
+        under[nodes[i].parent] += under[i]
+        good[nodes[i].parent] |= good[i]
+    # what stays if every hint is followed
+    kept = [n.own for n in nodes]
+    for i in range(len(nodes) - 1, 0, -1):
+        if not nodes[i].hint:
+            kept[nodes[i].parent] += kept[i]
+    inner = [False] * len(nodes)  # an article below the node itself
+    for i in range(1, len(nodes)):
+        inner[nodes[i].parent] |= good[i]
+    for i, n in enumerate(nodes):
+        if i and nodes[n.parent].dropped:
+            n.dropped = True
+        elif n.hint and not n.dropped:
+            most = under[i] > 0 and under[i] >= MOST * under[0]
+            n.dropped = not (most and (inner[i] or (not n.foreign and kept[0] <= LITTLE * under[i])))
+    page.pieces = [p for p in page.pieces if not nodes[p[0]].dropped]
+    for node, text, linked, _ in page.pieces:
+        size = len(text.strip())
+        holder = nodes[nodes[node].holder]
+        holder.text += size
+        holder.links += size if linked else 0
 
 
 def parse(source: str) -> Page:
-    """Containers and text pieces of a page; broken markup is read as far as it goes."""
+    """Containers and text pieces of a page; broken markup is read as far as it goes.
+
+    The page is read forwards once. A quote that never ends makes all quotes after it plain
+    characters of their tags; a ``<`` without any ``>`` behind it is text.
+    """
     page = Page()
-    stack = [("", _open(page, -1, "html", ""))]
-    place, links = 0, 0
+    stack, open_names = [("", _open(page, -1, "html", ""))], Counter()
+    place, links, quotes = 0, False, True
 
     def add(text: str) -> None:
         node = stack[-1][1]
@@ -100,51 +160,80 @@ def parse(source: str) -> Page:
             return
         if "&" in text:
             text = html.unescape(text)
-        page.pieces.append((node, text, False))
-        if size := len(text.strip()):
-            while not page.nodes[node].candidate and page.nodes[node].parent >= 0:
-                node = page.nodes[node].parent
-            page.nodes[node].text += size
-            page.nodes[node].links += size if links else 0
+        page.pieces.append((node, text, links, False))
+        if not links:
+            page.nodes[node].own += len(text.strip())
 
     def end_block() -> None:
-        if page.pieces and not page.pieces[-1][2]:
-            node, text, _ = page.pieces[-1]
-            page.pieces[-1] = (node, text, True)
+        if page.pieces and not page.pieces[-1][3]:
+            page.pieces[-1] = (*page.pieces[-1][:3], True)
+
+    def leave(depth: int) -> None:
+        open_names.subtract(name for name, _ in stack[depth:])
+        del stack[depth:]
+
+    def tag_end(at: int) -> int:
+        """The place of the ``>`` that ends a tag, -1 without one."""
+        nonlocal quotes
+        while quotes:
+            edge = _EDGE.search(source, at)
+            if edge is None or edge[0] == ">":
+                return edge.start() if edge else -1
+            at = source.find(edge[0], edge.end()) + 1
+            if not at:
+                quotes = False
+                return source.find(">", edge.end())
+        return source.find(">", at)
 
     while True:
-        tag = _TAG.search(source, place)
+        tag = _OPEN.search(source, place)
         if tag is None:
             add(source[place:])
-            return page
+            break
+        if tag[0] == "<!--" or tag[0] == "<![CDATA[":
+            add(source[place:tag.start()])
+            mark = "-->" if tag[0] == "<!--" else "]]>"
+            end = source.find(mark, tag.end())
+            if mark == "]]>":
+                add(source[tag.end(): end if end >= 0 else len(source)].replace("&", "&amp;"))
+            if end < 0:
+                break
+            place = end + 3
+            continue
+        end = source.find(">", tag.end()) if tag[2] is None else tag_end(tag.end())
+        if end < 0:
+            quotes = False
+            if (end := source.find(">", tag.end())) < 0:  # no tag any more, but perhaps a comment
+                rest = source.find("<!--", tag.end())
+                add(source[place: rest if rest >= 0 else len(source)])
+                break
         add(source[place:tag.start()])
-        place = tag.end()
-        name = tag[2]
-        if name is None:
-            if tag[0].startswith("<![CDATA["):
-                add(tag[0][9:].removesuffix("]]>").replace("&", "&amp;"))
+        place = end + 1
+        if tag[2] is None:
             continue
-        name = name.lower()
-        closing = tag[1] == "/"
+        name, closing, raw = tag[2].lower(), tag[1] == "/", source[tag.end():end]
         if name == "a":
-            links = 0 if closing else 1
+            links = not closing
         if name not in INLINE:
             end_block()
         if not closing and name in RAW:
-            end = _END[name].search(source, place)
-            if end is None:
-                return page
-            place = source.find(">", end.end()) + 1 or len(source)
+            stop = _END[name].search(source, place)
+            if stop is None:
+                break
+            place = source.find(">", stop.end()) + 1 or len(source)
         elif name in NESTED:
             if closing:
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i][0] == name:
-                        del stack[i:]
-                        break
+                if open_names[name]:
+                    leave(next(i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == name))
             elif name != "html":
                 if name == "body":
-                    del stack[1:]
-                stack.append((name, _open(page, stack[-1][1], name, tag[3])))
+                    leave(1)
+                stack.append((name, _open(page, stack[-1][1], name, raw)))
+                open_names[name] += 1
+        elif name == "h1" and not closing:
+            page.nodes[stack[-1][1]].good = True
+    _settle(page)
+    return page
 
 
 def best_container(page: Page) -> tuple[int, float]:
@@ -157,13 +246,13 @@ def best_container(page: Page) -> tuple[int, float]:
     for i, n in enumerate(page.nodes):
         worth, up = max(n.text - 2 * n.links, 0) + 0.0, i
         while worth >= 1 and up >= 0:
-            if page.nodes[up].candidate:
-                scores[up] += worth
-                worth /= 2
+            up = page.nodes[up].holder
+            scores[up] += worth
+            worth /= 2
             up = page.nodes[up].parent
     best = max(range(len(scores)), key=lambda i: (scores[i] * page.nodes[i].bonus, -i), default=-1)
     if best < 0 or scores[best] <= 0:
-        texts = [n for n, t, _ in page.pieces if t.strip()]
+        texts = [p for p in page.pieces if p[1].strip()]
         return (0, 0.0) if texts else (-1, 0.0)
     return best, scores[best] * page.nodes[best].bonus
 
@@ -174,7 +263,7 @@ def text_of(page: Page, roots: set[int]) -> str:
     for i, n in enumerate(page.nodes):
         inside.append(i in roots or (n.parent >= 0 and inside[n.parent]))
     blocks, run = [], []
-    for node, text, ends in page.pieces:
+    for node, text, _, ends in page.pieces:
         if inside[node]:
             run.append(text)
         if ends and run:

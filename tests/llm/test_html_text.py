@@ -1,3 +1,7 @@
+import time
+
+import pytest
+
 from plenum.llm import html_text
 
 CHROME = ('<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a="</p>";</script></head><body>'
@@ -69,3 +73,61 @@ def test_hosts_vote(spark):
 def test_very_long_page():
     body = "<article>" + "<p>word &lt; &#233;</p>" * 50_000 + "</article>"
     assert main_text(page(body)) == " ".join(["word < é"] * 50_000)
+
+
+STORY = " ".join(f"Sentence number {i} of a story that goes on." for i in range(30))
+
+
+@pytest.mark.parametrize("wrapper", ['form id="aspnetForm"', 'div class="layout sidebar-right"', 'div class="page footer-visible"', 'div class="toc-layout"', 'div id="public-notices"',
+                                     'div class="post comments-open"', 'div class="widget"'])
+@pytest.mark.parametrize("inner", ["<article><p>%s</p></article>", '<div class="story"><h1>Story</h1><p>%s</p></div>', "<h1>Story</h1><p>%s</p>"])
+def test_a_wrapper_with_a_hint_does_not_take_the_article_with_it(wrapper, inner):
+    name = wrapper.split()[0]
+    sides = '<div class="sidebar"><p>See also this and that page.</p></div><div class="comments"><p>I was first!</p></div><form>Search <input></form>'
+    if "comments-open" in wrapper and "div" not in inner and "article" not in inner:
+        inner = "<article>%s</article>" % inner
+    got = main_text(page(f"<{wrapper}>{inner % STORY}{sides}</{name}>"))
+    assert got.removeprefix("Story ") == STORY
+
+
+def test_hints_are_followed_where_an_article_is_left():
+    for word in ("comments", "sidebar", "related", "notice", "newsletter"):
+        long = f'<div class="{word}"><p>{STORY}</p></div>'
+        assert main_text(page(f"<article><p>{STORY[:400]}</p></article>{long}")) == STORY[:400].strip(), word
+    cards = "".join(f"<article><p>{STORY[:150]}</p></article>" for _ in range(3))
+    assert main_text(page(f'<div class="story"><p>{STORY}</p></div><div class="related">{cards}</div>')) == STORY
+
+
+def test_wrappers_inside_each_other():
+    assert main_text(page(f'<form><div class="layout sidebar-left"><div class="toc"><p>one two</p></div><div class="notices"><p>{STORY}</p></div></div></form>')) == STORY
+
+
+@pytest.mark.parametrize("piece", ['<p "x', "<p 'x", '<p "x\'', "<a", "<a<", "</ul><div>", "<div>", "<ul>x", "<!-", "<![CDATA[", '<p a="', "<script", "&amp", "<table><tr><td>", "</div>x"])
+def test_time_grows_with_the_page(piece):
+    """A page of one construct repeated, 1 MB of it: no scan starts again from every place."""
+    source = "<article><p>story</p></article>" + piece * (1_000_000 // len(piece))
+    start = time.process_time()
+    html_text.extract(source, html_text.vote(source)[0])
+    assert time.process_time() - start < 60
+    small = "<article><p>story</p></article>" + piece * (100_000 // len(piece))
+    start = time.process_time()
+    html_text.extract(small, None)
+    fast = time.process_time() - start
+    start = time.process_time()
+    html_text.extract(source, None)
+    assert time.process_time() - start < 40 * fast + 0.5
+
+
+def test_unbalanced_quotes_lose_no_text():
+    assert main_text('<article><p title="x>one</p><p>two</p></article>') == "one two"
+    assert main_text("<article><p title='x>one</p><p class=\"a>b\">two</p></article>") == 'one b">two'
+    assert main_text("<article>one <p") == "one <p"
+
+
+def test_awkward_rows(spark, awkward):
+    from pyspark.sql import functions as F
+
+    pages = awkward.select(F.col("doc_id").alias("page_id"), F.lit("http://h/x").alias("url"), F.col("text").alias("html"), *[c for c in awkward.columns if c not in ("url", "html")])
+    rows = {(r["page_id"], r["text"]) for r in html_text.extract_pages(pages).collect()}
+    want = {(r["page_id"], " ".join((r["html"] or "").split())) for r in pages.collect()}
+    assert rows == want
