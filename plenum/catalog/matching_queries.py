@@ -9,10 +9,12 @@ from plenum.catalog import sqltext as q
 from plenum.catalog import views as v
 from plenum.functions import fixed
 from plenum.functions import vectors as vec
+from plenum.functions.text import nullif_blank
 from plenum.operators import districts as ds
 from plenum.operators import matching as mt
 from plenum.operators import quotes as qt
 from plenum.operators.ranking import attach_row
+from plenum.operators.vector_index import pruned_topk
 from plenum.plans import district_matching as dm
 from plenum.plans import race_matching as rm
 from plenum.session import cut_lineage
@@ -39,6 +41,13 @@ def _direct(spark, d):
 DIRECT = _topk_sql("a.election_date = b.election_date AND a.state = b.state AND a.election_type = b.election_type AND a.election_type <> 'runoff'", 10)
 
 
+def _pruned(spark, d):
+    """The direct search by parts around pivots; the result is the same."""
+    r = v.vector_records(spark, d)
+    direct = r.where(nullif_blank("state").isNotNull() & (F.col("election_type") != "runoff"))
+    return _rounded(pruned_topk(direct, r, mt.RACE_BLOCK, 10, **IDS, tile=64)[0])
+
+
 def _by_label(spark, d):
     """The nearest other records of the same label."""
     r = v.vector_records(spark, d)
@@ -370,6 +379,7 @@ SOURCE_CONFIDENCE = """WITH s AS (SELECT o_orderkey % 4000 AS atom_id, o_orderst
 
 QUERIES = {
     "block_topk_direct": (_direct, DIRECT),
+    "block_topk_pruned": (_pruned, DIRECT),
     "block_topk_by_label": (_by_label, _topk_sql("a.label = b.label AND a.vec_id <> b.vec_id", 10)),
     "block_topk_stateless": (_stateless, STATELESS),
     "runoff_range_topk": (_runoff, RUNOFF),

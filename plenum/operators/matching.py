@@ -73,10 +73,10 @@ def block_topk(
     """
     # fresh names on both sides: queries and candidates may be the same table
     q = queries.select(
-        *[F.col(c).alias(c) for c in on], F.col(query_id).alias("query_id"), F.col(query_vector).alias("vector"), *pair.query_columns
+        *[F.col(c).alias(c) for c in on], F.col(query_id).alias("query_id"), F.col(query_vector).alias("vector"), *[F.col(c).alias(c) for c in pair.query_columns]
     ).where(F.col("vector").isNotNull())
     c = candidates.select(
-        *[F.col(c).alias(c) for c in on], F.col(candidate_id).alias("candidate_id"), F.col(candidate_vector).alias("vector"), *pair.candidate_columns
+        *[F.col(c).alias(c) for c in on], F.col(candidate_id).alias("candidate_id"), F.col(candidate_vector).alias("vector"), *[F.col(c).alias(c) for c in pair.candidate_columns]
     ).where(F.col("vector").isNotNull())
 
     if query_tile is None or candidate_tile is None:
