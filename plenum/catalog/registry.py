@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ["text_queries", "record_queries", "rule_queries", "matching_queries", "insight_queries", "cluster_queries", "tree_queries", "report_queries"]
+MODULES = ["text_queries", "record_queries", "rule_queries", "matching_queries", "linkage_queries", "insight_queries", "cluster_queries", "tree_queries", "report_queries"]
 
 
 def entries() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]:
