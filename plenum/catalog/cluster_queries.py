@@ -9,6 +9,7 @@ from plenum.catalog import views as v
 from plenum.functions.vectors import best_vector, dot
 from plenum.operators import clusters as cl
 from plenum.operators import polls as pl
+from plenum.operators.text_vectors import text_vectors
 from plenum.plans import theme_discovery as td
 from plenum.session import cut_lineage
 
@@ -204,6 +205,37 @@ def _attach(spark, d):
     return cl.attach_vectors(docs, "text", vectors=vectors).select("doc_id", F.round(F.get("embedding", F.lit(0)).cast("double"), 6).alias("first"))
 
 
+def _text_vectors(spark, d):
+    """The first components of the vectors of all conversation texts, and how long they are."""
+    texts = v.table(spark, d, "conversations").withColumn("text", F.when(F.col("turn") % 7 != 0, F.col("text")).otherwise(F.lower("text")))
+    rows = text_vectors(texts)
+    at = lambda i: F.round(F.get("vector", F.lit(i)).cast("double"), 4).alias(f"v{i}")
+    return rows.select(F.md5("text").alias("text_md5"), *[at(i) for i in (0, 5, 37, 63)], F.round(dot("vector", "vector"), 4).alias("length"))
+
+
+TEXT_VECTORS = r"""WITH t AS (SELECT DISTINCT CASE WHEN turn % 7 <> 0 THEN text ELSE lower(text) END AS text FROM conversations WHERE text IS NOT NULL),
+  w AS (SELECT text, list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM t),
+  f AS (SELECT text, unnest(list_transform(w, lambda x: 'w:' || x)) AS feature FROM w
+    UNION ALL SELECT text, unnest(list_transform(range(1, len(w)), lambda i: 'p:' || w[i] || ' ' || w[i + 1])) FROM w
+    UNION ALL SELECT text, unnest(flatten(list_transform(w, lambda x: list_transform(range(1, greatest(length(x) - 2, 1) + 1), lambda i: 'c:' || substr(x, i, 3))))) FROM w),
+  c AS (SELECT text, feature, count(*) AS times, md5('42/0/' || feature) AS h FROM f GROUP BY ALL),
+  n AS (SELECT count(*) AS n FROM w WHERE len(w) > 0), b AS (SELECT substr(h, 1, 5) AS bucket, count(DISTINCT text) AS held FROM c GROUP BY 1),
+  weighed AS (SELECT text, h, times * (ln((n + 1)::DOUBLE / (held + 1)) + 1) AS x FROM c JOIN b ON bucket = substr(h, 1, 5), n),
+  s AS (SELECT text, i, sum(CASE WHEN (CAST('0x' || substr(h, CAST(6 + 8 * (i // 32) AS BIGINT), 8) AS BIGINT) >> (i % 32)) & 1 = 1 THEN x ELSE -x END) AS v FROM weighed, range(64) AS r(i) GROUP BY ALL),
+  z AS (SELECT text, sqrt(sum(v * v)) AS z FROM s GROUP BY 1)
+  SELECT md5(text) AS text_md5, round(any_value(v / z) FILTER (i = 0)::FLOAT::DOUBLE, 4) AS v0, round(any_value(v / z) FILTER (i = 5)::FLOAT::DOUBLE, 4) AS v5, round(any_value(v / z) FILTER (i = 37)::FLOAT::DOUBLE, 4) AS v37,
+    round(any_value(v / z) FILTER (i = 63)::FLOAT::DOUBLE, 4) AS v63, 1.0::DOUBLE AS length FROM s JOIN z USING (text) GROUP BY text"""
+
+
+def _text_themes(spark, d):
+    """Messages clustered from their texts alone: equal texts share a cluster, every message has one."""
+    m = v.messages(spark, d).where(F.trim("message_text") != "")
+    atoms = m.select(F.col("message_id").alias("atomic_id"), "message_text", F.lit(False).alias("is_opt_out"))
+    out = td.discover_texts(atoms, dims=16, k=12, merge_at=0.95)
+    per_text = out.groupBy("message_text").agg(F.countDistinct("cluster_id").alias("clusters"), F.count("*").alias("messages"))
+    return per_text.select("message_text", "clusters", "messages")
+
+
 def discovered(spark, d):
     """Vector records as atomic messages, clustered and merged; every 13th is an opt-out."""
     e = v.table(spark, d, "embeddings")
@@ -239,6 +271,8 @@ QUERIES = {
     "merge_themes": (_merge_themes, MERGE_THEMES),
     "score_groupings": (_score_k, _score_sql()),
     "density_clusters": (_density, DENSITY),
+    "text_vectors": (_text_vectors, TEXT_VECTORS),
+    "text_themes": (_text_themes, f"WITH {v.messages_sql()} SELECT message_text, 1::BIGINT AS clusters, count(*) AS messages FROM messages WHERE trim(message_text) <> '' GROUP BY 1"),
     "best_vector": (_best_vector, "SELECT vec_id, (CASE vec_id % 3 WHEN 0 THEN 15 WHEN 1 THEN 50 ELSE 64 END)::INTEGER AS dims FROM embeddings"),
     "attach_vectors": (_attach, "SELECT doc_id, round(embedding[1]::DOUBLE, 6) AS first FROM documents LEFT JOIN embeddings ON vec_id = length(text) * 7 % (SELECT count(*) FROM embeddings)"),
     "bisecting_clusters": (_kmeans, None),

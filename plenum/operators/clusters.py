@@ -22,18 +22,22 @@ from plenum.operators.graph import connected_components
 from plenum.operators.matching import _matrix, _unit
 from plenum.operators.merge_tree import NOISE, build_tree, complete_clusters, cut, metrics_by_k
 from plenum.operators.ranking import attach_row
+from plenum.operators.text_vectors import text_vectors
 from plenum.session import cut_lineage
 
 
 def attach_vectors(df: DataFrame, text: str, embedder=None, vectors: DataFrame | None = None, output: str = "embedding") -> DataFrame:
     """Give every row the vector of its text; each distinct text is embedded once.
 
-    ``embedder`` is a ``mapInPandas`` function from (text) batches to (text, vector) batches;
-    otherwise ``vectors`` has (text, vector). Blank texts carry null.
+    ``embedder`` is a ``mapInPandas`` function from (text) batches to (text, vector) batches, or
+    ``vectors`` has (text, vector); without both, the vectors are those of ``text_vectors``.
+    Blank texts carry null.
     """
     texts = df.select(F.col(text).alias("text")).where(F.trim("text") != "").distinct()
     if embedder is not None:
         vectors = texts.mapInPandas(embedder, "text string, vector array<float>")
+    elif vectors is None:
+        vectors = text_vectors(texts)
     known = vectors.select(F.col("text").alias(text), F.col("vector").alias(output))
     return df.join(known, text, "left")
 

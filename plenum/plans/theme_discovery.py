@@ -32,6 +32,11 @@ def discover(atoms: DataFrame, vector: str = "embedding", dims: int = 50, k: int
     return merged.unionByName(rest, allowMissingColumns=True)
 
 
+def discover_texts(atoms: DataFrame, text: str = "message_text", embedder=None, **options) -> DataFrame:
+    """Themes from texts alone: every distinct text gets its vector, then the messages are clustered."""
+    return discover(cut_lineage(cl.attach_vectors(atoms, text, embedder)), **options)
+
+
 def poll_issues(clustered: DataFrame, polls: DataFrame, configuration: str, minimum: int = 1, n: int = 3) -> DataFrame:
     """Ranked issues per poll from clustered atomic messages with a theme."""
     described = clustered.withColumn("configuration", F.lit(configuration))
