@@ -21,9 +21,29 @@ def top_n(df: DataFrame, keys: list[str], order: list[Column], n: int, rank: str
     return df.withColumn(rank, number).where(F.col(rank) <= n)
 
 
+#: Hexadecimal digits of the hash by which a sample is counted: at most 65,536 counts reach the driver.
+SAMPLE_DIGITS = 4
+
+
 def reproducible_sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
-    """``n`` rows chosen by a hash of their key: the same rows under any partitioning."""
-    return df.orderBy(F.md5(F.concat_ws("-", F.col(key), F.lit(seed))), F.col(key)).limit(n)
+    """The ``n`` rows whose keys hash lowest: the same rows under any partitioning.
+
+    The first digits of the hash are counted, which tells up to which of them all rows are in;
+    only the rows of the one that is cut are ordered, so the sample itself goes through no
+    single task. Of repeated keys any row may be the one.
+    """
+    hashed = F.md5(F.concat_ws("-", F.col(key), F.lit(seed)))
+    digits = F.substring(hashed, 1, SAMPLE_DIGITS)
+    room, last = n, None
+    for row in sorted(df.groupBy(digits.alias("digits")).agg(F.count("*").alias("n")).collect()):
+        if room < row["n"]:
+            last = row["digits"]
+            break
+        room -= row["n"]
+    if last is None:
+        return df
+    cut = df.where(digits == last).orderBy(hashed, F.col(key)).limit(room)
+    return df.where(digits < last).unionByName(cut)
 
 
 def attach_row(df: DataFrame, row: DataFrame) -> DataFrame:

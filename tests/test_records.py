@@ -73,3 +73,18 @@ def test_merge_runoffs_coerces_bad_dates(spark):
     b = spark.createDataFrame([(2, "2024-12-03", True, 5)], "candidacy_id bigint, election_date string, is_synthetic_runoff boolean, discovered_from_candidate_id bigint")
     rows = {r.candidacy_id: r for r in rc.merge_runoffs(a, b).collect()}
     assert rows[1].election_date is None and not rows[1].is_synthetic_runoff and rows[2].is_synthetic_runoff
+
+
+def test_sample_is_that_of_the_whole_order(spark):
+    from pyspark.sql import functions as F
+
+    from plenum.operators import ranking
+
+    df = spark.range(0, 5_000).select(F.col("id").alias("k"), (F.col("id") % 7).alias("x")).repartition(9)
+    whole = [r["k"] for r in df.orderBy(F.md5(F.concat_ws("-", "k", F.lit(42))), "k").collect()]
+    for n in (0, 1, 37, 4_999, 5_000, 9_000):
+        got = {r["k"] for r in ranking.reproducible_sample(df, "k", n).collect()}
+        assert got == set(whole[:n])
+    assert ranking.reproducible_sample(df.limit(0), "k", 3).count() == 0
+    same = spark.range(0, 300).select(F.lit(1).alias("k"), "id")
+    assert ranking.reproducible_sample(same, "k", 10).count() == 10
