@@ -17,7 +17,8 @@ from plenum.llm.common import if_small, staged
 #: 1 reads a word, 0 ignores it. Any three replacements in a window of twelve leave a hit under
 #: one of the two (see the tests), so nothing that the window accepts goes unseen.
 MASKS = ("11101", "100111")
-SPAN = max(len(m) for m in MASKS)
+#: Items of these numbers of words, compared whole, need more masks for that (see the tests).
+SHORT_LENGTHS, SHORT_MASKS = (5, 8), ("1111", "10111", "11011")
 #: Hashes of up to so many benchmark places (about 40 bytes each) are broadcast; beyond, both sides are shuffled.
 BROADCAST_SEEDS = 500_000
 
@@ -59,8 +60,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id", text
     tests = staged(benchmark.select(F.col(item_id).alias("item_id"), word_hashes(F.col(item_text)).alias("hashes")).where(F.size("hashes") >= 5).withColumn(
         "item", F.xxhash64("hashes")), "benchmark-words")
     items = tests.dropDuplicates(["item"]).select("item", "hashes")
-    short = [r["n"] for r in items.select(F.size("hashes").alias("n")).where(F.col("n") < SPAN).distinct().collect()]
-    masks = MASKS + tuple("1" * n for n in sorted(short))
+    short = not items.where(F.size("hashes").isin(*SHORT_LENGTHS)).isEmpty()
+    masks = MASKS + SHORT_MASKS if short else MASKS
     seeds = staged(_exploded(items, masks).select("seed", "item", F.col("place").alias("item_place")).distinct(), "benchmark-seeds")
     few = seeds.count() <= BROADCAST_SEEDS
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("text_hash"), F.col(text).alias("text"))

@@ -36,6 +36,28 @@ def test_masks_see_every_three_replacements_in_a_window(lost):
         assert any(all(p + j not in gone for j, c in enumerate(m) if c == "1") for m in decontaminate.MASKS for p in range(12 - len(m) + 1))
 
 
+@pytest.mark.parametrize("n", range(5, 12))
+def test_masks_see_all_that_a_short_item_accepts(n):
+    masks = decontaminate.MASKS + (decontaminate.SHORT_MASKS if n in decontaminate.SHORT_LENGTHS else ())
+    for lost in range(n - math.ceil(0.75 * n) + 1):
+        for gone in combinations(range(n), lost):
+            assert any(all(p + j not in gone for j, c in enumerate(m) if c == "1") for m in masks for p in range(n - len(m) + 1)), gone
+
+
+@pytest.mark.parametrize("n", [5, 6, 8, 11])
+def test_short_items_with_replaced_words(spark, documents, n):
+    item = [f"word{i}" for i in range(n)]
+    docs = []
+    for lost in range(4):
+        for gone in combinations(range(n), lost):
+            text = ["x" if i in gone else w for i, w in enumerate(item)]
+            docs.append((len(docs), "before it " + " ".join(text) + " behind it"))
+    benchmark = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    found = {(r["doc_id"], r["item_id"], r["end"] - r["item_words"], r["matched"]) for r in decontaminate.leaks(documents(*docs), benchmark).collect()}
+    want = brute(docs, [(1, " ".join(item))])
+    assert found == want and want
+
+
 def test_against_all_alignments(spark, documents):
     rng = random.Random(7)
     vocabulary = [f"w{i}" for i in range(40)]
