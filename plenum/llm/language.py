@@ -29,7 +29,7 @@ DIM = 1 << 15
 CHUNK = 1 << 18
 _MULTIPLIERS = np.array([961748927, 32452843, 49979687], dtype=np.uint32)
 #: ASCII bytes other than letters count as blanks; bytes of longer characters stay.
-_LETTERS = np.array([b if b >= 128 or chr(b).isalpha() else 32 for b in range(256)], dtype=np.uint32)
+has_letterS = np.array([b if b >= 128 or chr(b).isalpha() else 32 for b in range(256)], dtype=np.uint32)
 
 
 def codewords(n: int, seed: int = 7) -> np.ndarray:
@@ -56,7 +56,7 @@ def _grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Hashed trigrams of all texts in a row, and where each text starts."""
     parts = [b"  " + t.lower().encode("utf-8", "replace") for t in texts]
     starts = np.concatenate(([0], np.cumsum([len(p) for p in parts])[:-1])).astype(np.int64)
-    data = _LETTERS[np.frombuffer(b"".join(parts) + b"  ", dtype=np.uint8)]
+    data = has_letterS[np.frombuffer(b"".join(parts) + b"  ", dtype=np.uint8)]
     hashed = data[:-2] * _MULTIPLIERS[0] + data[1:-1] * _MULTIPLIERS[1] + data[2:] * _MULTIPLIERS[2]
     hashed ^= hashed >> np.uint32(15)
     blank = (data[:-2] == 32) & (data[1:-1] == 32)
@@ -136,6 +136,10 @@ def fit_languages(rows: DataFrame, *, key: str = "doc_id", text: str = "text", l
     return fit_coder([r["t"] for r in found], [r["l"] for r in found])
 
 
+def has_letter(text: Column) -> Column:
+    return text.rlike(r"\p{L}")
+
+
 def identify(coder: Coder | None, text: Column) -> Column:
     """struct(lang_pred, score, ambiguous) of a text.
 
@@ -151,11 +155,16 @@ def identify(coder: Coder | None, text: Column) -> Column:
         found = pd.concat([coder.decide(part) for part in text_lists(texts)] or [coder.decide([])])
         return pa.StructArray.from_arrays([pa.array(found[c].to_numpy(), type=t) for c, t in PREDICTION], names=[c for c, _ in PREDICTION])
 
-    return F.when(text.rlike(r"\p{L}"), decide(text)).otherwise(undetermined)
+    return F.when(has_letter(text), decide(text)).otherwise(undetermined)
 
 
 def with_language(docs: DataFrame, coder: Coder | None, *, text: str = "text", lang: str = "lang") -> DataFrame:
-    """The rows of ``docs`` whose language can be told, with that language in ``lang``."""
-    judged = docs.select(F.struct("*").alias("doc"), identify(coder, F.col(text)).alias("found"))
-    kept = judged.where(F.col("found.lang_pred") != UNDETERMINED)
-    return kept.select(*[F.col("found.lang_pred").alias(c) if c == lang else F.col(f"doc.`{c}`") for c in docs.columns])
+    """The rows of ``docs`` whose language can be told, with that language in ``lang``.
+
+    These are the texts with a letter, once there is a model; so rows go before the model runs,
+    and it runs once per row that stays.
+    """
+    if coder is None:
+        return docs.limit(0)
+    told = docs.where(has_letter(F.col(text)))
+    return told.select(*[identify(coder, F.col(text))["lang_pred"].alias(c) if c == lang else F.col(f"`{c}`") for c in docs.columns])
