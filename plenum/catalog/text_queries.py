@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plenum.catalog import sqltext as q
 from plenum.catalog import views as v
 from plenum.functions import fixed
 from plenum.functions import privacy as pv
 from plenum.functions import text as tx
+from plenum.functions.broken_json import parse_broken_json
 from plenum.operators import guards
 from plenum.operators import messages as ms
 
@@ -287,7 +289,6 @@ def _parse_model_json(spark, d):
         .otherwise(F.concat(F.lit("no json "), body))
     )
     schema = "struct<best_match:int,confidence:double,reasoning:string>"
-    from pyspark.sql import types as T
     parsed = e.select(k.alias("answer_id"), tx.parse_json(answer, T.StructType.fromDDL(schema[7:-1])).alias("p"))
     return parsed.select("answer_id", tx.valid_choice(F.col("p.best_match"), F.lit(10)).alias("best_match"), "p.confidence", "p.reasoning")
 
@@ -330,7 +331,28 @@ METADATA_FIELDS = """SELECT 'conv_id' AS field, count(conv_id) AS filled FROM co
 
 INBOUND = f"WITH {M} SELECT message_id FROM messages WHERE upper(send_direction) = 'INBOUND'"
 
+def _broken_json(spark, d):
+    """Model answers with inner quotes, an early end, control characters or a fence, and what is read from them."""
+    e = v.table(spark, d, "events")
+    k, kind, n = F.col("event_id").cast("string"), F.col("event_id") % 5, (F.col("user_id") % 100).cast("string")
+    tail = F.concat(F.lit('", "confidence": '), n)
+    text = (
+        F.when(kind == 0, F.concat(F.lit('{"reasoning": "ward "'), k, F.lit('" north'), tail, F.lit("}")))
+        .when(kind == 1, F.concat(F.lit('{"reasoning": "cut off at '), k))
+        .when(kind == 2, F.concat(F.lit('{"reasoning": "bell \x07 '), k, tail, F.lit(",}")))
+        .when(kind == 3, F.concat(F.lit('{"reasoning": "plain '), k, tail, F.lit("}")))
+        .otherwise(F.concat(F.lit('```json\n{"reasoning": "said "yes", then '), k, tail, F.lit("}\n```")))
+    )
+    schema = T.StructType([T.StructField("reasoning", T.StringType()), T.StructField("confidence", T.LongType())])
+    return e.select("event_id", parse_broken_json(text, schema).alias("p")).select("event_id", "p.reasoning", "p.confidence")
+
+
+BROKEN_JSON = """SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'ward ''' || event_id || ''' north' WHEN 1 THEN 'cut off at ' || event_id WHEN 2 THEN 'bell   ' || event_id WHEN 3 THEN 'plain ' || event_id
+  ELSE 'said ''yes'', then ' || event_id END AS reasoning, CASE WHEN event_id % 5 <> 1 THEN (user_id % 100)::BIGINT END AS confidence FROM events"""
+
+
 QUERIES = {
+    "parse_broken_json": (_broken_json, BROKEN_JSON),
     "clean_text_light": (_clean_text, f"WITH {M} SELECT message_id, {q.clean_text('message_text')} AS cleaned FROM messages"),
     "clean_text_heavy": (_clean_text_heavy, f"WITH {M} SELECT message_id, {q.clean_text_heavy('message_text')} AS cleaned FROM messages"),
     "clean_documents": (_clean_documents, f"SELECT doc_id, md5({q.clean_text('text')}) AS light_md5, md5({q.clean_text_heavy('text')}) AS heavy_md5 FROM documents"),
