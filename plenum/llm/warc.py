@@ -4,10 +4,13 @@ Writing goes through Spark's text writer, so files are committed as any Spark ou
 land wherever Hadoop can write. Between two records stands an empty gzip member, which takes
 the place of the line separator; the file is a plain multi-member gzip file.
 
-Reading goes through Spark's text reader with the gzip magic as the line separator. A task
-scans its byte range for the magic and owns every piece that starts inside. A piece opens a
-record only if it decodes to a WARC header; magic bytes within compressed data are stitched
-to the piece before, also where that piece lies in the range of another task.
+Reading goes through Spark's text reader with the gzip magic as the line separator, on the
+bytes as they lie in the file: a codec that never applies hides the one of ``.gz`` names, so
+those files are split as well. A task scans its byte range for the magic and owns every piece
+that starts inside. A piece opens a record only if it decodes to a WARC header and no member
+is open; else it continues the open member, which is decompressed piece by piece. A range that
+ends within a member (magic bytes inside compressed or stored data, a cut file) tells so, and
+the pieces of such a file are read again in order, by one task per file.
 """
 
 from __future__ import annotations
@@ -23,13 +26,23 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from plenum.llm.common import staged
+
 MAGIC = b"\x1f\x8b\x08"
 #: A gzip member that holds nothing.
 EMPTY = bytes.fromhex("1f8b08000000000000ff" "0300" "0000000000000000")
 LATIN = "ISO-8859-1"
 RECORD = ("record_id string, record_type string, url string, payload_digest string, payload_bytes long, refers_to string, "
           "intact boolean, payload binary")
-PIECE = f"{RECORD}, path string, start long, seq long, piece binary, opens boolean"
+FOUND = f"{RECORD}, path string, unended boolean"
+#: A codec list and a suffix for the text reader. A file name is looked up among the suffixes, read
+#: backwards, by the last one in order before it. This one stands between ".gz" and every ".gz" name and ends no
+#: name, so no codec is found and the reader splits the file as it is. Hadoop's shaded client has its own name of the key.
+RAW_BYTES = {
+    "io.compression.codecs": "org.apache.hadoop.io.compress.PassthroughCodec",
+    "io.compress.passthrough.extension": ".raw!.gz",
+    "org.apache.hadoop.shaded.io.compress.passthrough.extension": ".raw!.gz",
+}
 
 
 def digest32(text: Column) -> Column:
@@ -91,40 +104,46 @@ def write_archives(records: DataFrame, folder: str) -> None:
     packed.write.option("lineSep", EMPTY.decode(LATIN)).option("encoding", LATIN).text(folder)
 
 
-def _decode(member: bytes) -> tuple[bytes, bool] | None:
-    """The content of a member and whether it ends; None when it is no gzip data."""
-    reader = zlib.decompressobj(31)
-    try:
-        return reader.decompress(member), reader.eof
-    except zlib.error:
-        return None
-
-
 def _opens(member: bytes) -> bool:
-    """Does a record, or an empty member, start here?"""
+    """May a record, or an empty member, start here? Yes too where the piece is too short to tell."""
     reader = zlib.decompressobj(31)
     try:
         start = reader.decompress(member, 16)
     except zlib.error:
         return False
-    return start.startswith(b"WARC/") or (reader.eof and not start)
+    return b"WARC/".startswith(start[:5])
+
+
+def _whole(text: str) -> int | None:
+    return int(text) if text.isascii() and text.isdigit() else None
 
 
 def parse_record(data: bytes) -> dict:
-    """Headers and payload of an uncompressed record; ``intact`` says that digest and length agree."""
+    """Headers and payload of an uncompressed record.
+
+    The payload is the body of an HTTP message, the whole block of other content. ``intact``
+    says that the block has its stated length and the payload its stated SHA-1, as far as they
+    are stated. The digest and the size of a response or resource are those of the payload
+    found; of other kinds, those in the headers.
+    """
     head, _, rest = data.partition(b"\r\n\r\n")
     fields = {}
     for line in head.decode("utf-8", "replace").split("\r\n")[1:]:
         name, _, value = line.partition(":")
         fields[name.strip().lower()] = value.strip()
-    block = rest[: int(fields.get("content-length", 0))]
-    http, _, payload = block.partition(b"\r\n\r\n")
-    length = re.search(rb"(?im)^content-length:\s*(\d+)", http)
-    kind, digest = fields.get("warc-type"), fields.get("warc-payload-digest", "").removeprefix("sha1:")
-    size, intact = int(length[1]) if length else len(payload), True
-    if kind == "response":
+    stated = _whole(fields.get("content-length", ""))
+    block = rest[:stated]
+    http, payload = b"", block
+    if fields.get("content-type", "application/http").lower().startswith("application/http"):
+        http, _, payload = block.partition(b"\r\n\r\n")
+    kind, named = fields.get("warc-type"), fields.get("warc-payload-digest", "")
+    algorithm, _, digest = named.rpartition(":")
+    length = re.search(rb"(?im)^content-length:[ \t]*(\d+)", http)
+    size, intact = int(length[1]) if length else len(payload), stated == len(block)
+    if kind in ("response", "resource"):
         own = base64.b32encode(hashlib.sha1(payload).digest()).decode()
-        intact, size, digest = own == digest and size == len(payload), len(payload), own
+        intact = intact and (algorithm.lower() != "sha1" or len(digest) != len(own) or digest.upper() == own)
+        size, digest = len(payload), own
     return {
         "record_id": fields.get("warc-record-id"), "record_type": kind, "url": fields.get("warc-target-uri"), "payload_digest": digest,
         "payload_bytes": size, "refers_to": fields.get("warc-refers-to"), "intact": intact, "payload": payload,
@@ -132,99 +151,117 @@ def parse_record(data: bytes) -> dict:
 
 
 class _Stitcher:
-    """Turns the pieces of one byte range, in order, into records and loose ends."""
+    """Turns the pieces between two magics, in order, into records.
 
-    def __init__(self, keep_payload: bool):
-        self.keep, self.open, self.loose, self.records = keep_payload, None, [], []
+    Every piece is decompressed once, but for those that a damaged member took: they are read
+    again without it, so no record behind it is lost.
+    """
 
-    def add(self, piece: bytes) -> None:
-        member = MAGIC + piece
-        if _opens(member):
-            self.open = None  # what was open before never ended: a damaged member
-            self._take(member)
-        elif self.open is not None:
-            self._take(self.open + member)
-        else:
-            self.loose.append((member, False))
-
-    def _take(self, member: bytes) -> None:
-        found = _decode(member)
-        if found is None:
-            self.open = None
-        elif not found[1]:
-            self.open = member
-        else:
-            self.open = None
-            if found[0]:
-                record = parse_record(found[0])
-                if not self.keep:
-                    record["payload"] = None
-                self.records.append(record)
-
-    def end(self) -> None:
-        if self.open is not None:
-            self.loose.append((self.open, True))
-            self.open = None
-
-
-def _rows(records: list[dict], loose: list[tuple] = ()) -> pa.RecordBatch:
-    names = [c.split()[0] for c in PIECE.split(", ")]
-    rows = [r | dict.fromkeys(names[8:]) for r in records]
-    rows += [dict.fromkeys(names[:8]) | dict(zip(names[8:], x, strict=True)) for x in loose]
-    kinds = {"string": pa.string(), "long": pa.int64(), "boolean": pa.bool_(), "binary": pa.binary()}
-    schema = pa.schema([(c.split()[0], kinds[c.split()[1]]) for c in PIECE.split(", ")])
-    return pa.RecordBatch.from_pylist(rows, schema=schema)
+    def __init__(self, keep_payload: bool):
+        self.keep, self.records = keep_payload, []
+        self._reset()
 
+    def _reset(self) -> None:
+        self.reader, self.pieces, self.content = None, [], []
 
-def read_archives(spark: SparkSession, folder: str, keep_payload: bool = True) -> DataFrame:
-    """One row per record of the archives in ``folder``: see ``RECORD``.
+    @property
+    def open(self) -> bool:
+        return self.reader is not None
 
-    Empty members are skipped, as are members that never end (a cut file) and bytes that
-    belong to no record.
-    """
-    pieces = spark.read.option("lineSep", MAGIC.decode(LATIN)).option("encoding", LATIN).text(folder).select(
-        F.col("value").cast("binary").alias("piece"), "_metadata.file_path", "_metadata.file_block_start")
+    def add(self, piece: bytes) -> None:
+        waiting = [MAGIC + piece]
+        while waiting:
+            member = waiting.pop()
+            if not self.open:
+                if not _opens(member):
+                    continue
+                self.reader = zlib.decompressobj(31)
+            self.pieces.append(member)
+            try:
+                self.content.append(self.reader.decompress(member))
+            except zlib.error:
+                waiting += reversed(self.pieces[1:])
+                self._reset()
+                continue
+            if self.reader.eof:
+                data = b"".join(self.content)
+                self._reset()
+                if data.startswith(b"WARC/"):
+                    record = parse_record(data)
+                    self.records.append(record if self.keep else record | {"payload": None})
+
+    def end_of_file(self) -> None:
+        """What is still open never ends; the pieces behind its first one may hold records."""
+        while self.open:
+            behind = self.pieces[1:]
+            self._reset()
+            for member in behind:
+                self.add(member[len(MAGIC):])
+
+    def take(self) -> list[dict]:
+        taken, self.records = self.records, []
+        return taken
+
+
+_ARROW = {"string": pa.string(), "long": pa.int64(), "boolean": pa.bool_(), "binary": pa.binary()}
+_SCHEMA = pa.schema([(name, _ARROW[kind]) for name, kind in (c.split() for c in FOUND.split(", "))])
+
+
+def _scan(keep_payload: bool, in_order: bool):
+    """A function over (piece, path, start): records of ranges, or of whole files whose pieces come in order."""
 
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, work = None, _Stitcher(keep_payload)
 
-        def close() -> list[tuple]:
-            work.end()
-            ends = [(*at, i, *x) for i, x in enumerate(work.loose)] if at else []
-            work.loose = []
-            return ends
+        def rows(last: bool) -> pa.RecordBatch:
+            ends = []
+            if last and in_order:
+                work.end_of_file()
+            elif last and work.open:
+                ends = [{"path": at[0], "unended": True}]
+                work._reset()
+            return pa.RecordBatch.from_pylist([r | {"path": at[0], "unended": False} for r in work.take()] + ends, schema=_SCHEMA)
 
         for batch in batches:
-            for row in range(batch.num_rows):
-                here = (batch[1][row].as_py(), batch[2][row].as_py())
+            for piece, path, start in zip(*(batch.column(i) for i in range(3)), strict=True):
+                here = (path.as_py(), 0 if in_order else start.as_py())
                 if here != at:
-                    if ends := close():
-                        yield _rows([], ends)
+                    if at:
+                        yield rows(last=True)
                     at = here
                     if here[1] == 0:  # what stands before the first magic of a file is no member
                         continue
-                work.add(batch[0][row].as_py())
-            yield _rows(work.records)
-            work.records = []
-        if ends := close():
-            yield _rows([], ends)
+                work.add(piece.as_py())
+            if at:
+                yield rows(last=False)
+        if at:
+            yield rows(last=True)
 
-    found = pieces.mapInArrow(scan, PIECE)
-    names = [c.split()[0] for c in RECORD.split(", ")]
+    return scan
 
-    def stitch(rows: pd.DataFrame) -> pd.DataFrame:
-        work = _Stitcher(keep_payload)
-        for member, opens in rows.sort_values(["start", "seq"])[["piece", "opens"]].itertuples(index=False):
-            if opens:
-                work.open = member
-            elif work.open is not None:
-                work.add(member[len(MAGIC):])
-        return pd.DataFrame(work.records, columns=names)
-
-    # Loose ends appear where magic bytes come up by chance beside the border of two ranges:
-    # about one in 16 million such borders.
-    whole = found.where("path is null").select(*names)
-    return whole.union(found.where("path is not null").groupBy("path").applyInPandas(stitch, RECORD))
+
+def read_archives(spark: SparkSession, folder: str, keep_payload: bool = True) -> DataFrame:
+    """One row per record of the archives in ``folder``, whatever their names: see ``RECORD``.
+
+    Empty members are skipped, as are members that never end (a cut file), members of other
+    content and bytes that belong to no member. What the ranges hold is written once. The paths
+    of files with an unended range come to the driver, a part of the listing that it holds for
+    any scan; only those files are read again.
+    """
+    pieces = spark.read.options(**RAW_BYTES).option("lineSep", MAGIC.decode(LATIN)).option("encoding", LATIN).text(folder).select(
+        F.col("value").cast("binary").alias("piece"), F.col("_metadata.file_path").alias("path"),
+        F.col("_metadata.file_block_start").alias("start"))
+    names = [c.split()[0] for c in RECORD.split(", ")]
+    found = staged(pieces.mapInArrow(_scan(keep_payload, in_order=False), FOUND), "warc-records")
+    again = [row["path"] for row in found.where("unended").select("path").distinct().collect()]
+    if not again:
+        return found.select(*names)
+    ordered = (
+        pieces.where(F.col("path").isin(again)).withColumn("position", F.monotonically_increasing_id())
+        .repartition("path").sortWithinPartitions("path", "start", "position").select("piece", "path", "start")
+    )
+    whole = ordered.mapInArrow(_scan(keep_payload, in_order=True), FOUND)
+    return found.where(~F.col("path").isin(again)).union(whole).select(*names)
 
 
 def page_number(record_id: Column) -> Column:
