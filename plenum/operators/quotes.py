@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 from difflib import SequenceMatcher
+from functools import partial
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plenum.functions.text import _col, strip
+from plenum.operators.page_index import PageIndex
 from plenum.operators.ranking import keep_first
 
 MIN_RATIO = 0.6
@@ -106,11 +108,6 @@ def normalise_page(c: Column | str, aggressive: bool = True) -> Column:
     return strip(F.regexp_replace(text, r"[\s\x0B\x1C-\x1F\x{85}\p{Z}]+", " "))
 
 
-BLOCK = T.StructType(
-    [T.StructField("similarity", T.DoubleType()), T.StructField("closest_match", T.StringType())]
-)
-
-
 def common_block(body: str, quote: str) -> tuple[int, int]:
     """Length of the longest common block and its first place in the body.
 
@@ -128,35 +125,58 @@ def common_block(body: str, quote: str) -> tuple[int, int]:
     return low, min(places(low)) if low else 0
 
 
-@F.pandas_udf(BLOCK)
-def longest_block(body: pd.Series, quote: pd.Series) -> pd.DataFrame:
-    """Longest common block as a share of the quote, and the text around it."""
-    rows = []
-    for b, q in zip(body, quote):
-        size, at = common_block(b or "", q or "")
-        rows.append((size / len(q), b[max(0, at - 30): at + size + 30]) if size else (0.0, None))
-    return pd.DataFrame(rows, columns=["similarity", "closest_match"])
+#: Distinct quotes of a page that one task looks up; a page with more goes to several tasks.
+QUOTES_AT_ONCE = 4096
+#: From so many missed quotes on, a page is indexed.
+INDEX_FROM = 4
+ANSWERS = T.ArrayType(T.StructType([
+    T.StructField("_quote", T.StringType()), T.StructField("match", T.BooleanType()),
+    T.StructField("similarity", T.DoubleType()), T.StructField("closest_match", T.StringType()),
+]))
+
+
+def answer(body: str, quotes: list[str]) -> list[dict]:
+    """For each quote: is it in the page, else the longest common block as a share of it and the text around."""
+    missed = [q for q in quotes if q and q not in body]
+    longest = PageIndex(body).longest if len(missed) >= INDEX_FROM else partial(common_block, body)
+    found = {q: longest(q) for q in missed}
+    answers = []
+    for q in quotes:
+        size, at = found.get(q, (len(q), 0))
+        around = q if q not in found else body[max(0, at - 30) : at + size + 30]
+        answers.append({"_quote": q, "match": bool(q) and q not in found, "similarity": size / len(q) if q else 0.0, "closest_match": around if size else None})
+    return answers
+
+
+@F.pandas_udf(ANSWERS)
+def look_up(body: pd.Series, quotes: pd.Series) -> pd.Series:
+    return pd.Series([answer(b or "", list(q)) for b, q in zip(body, quotes, strict=True)])
 
 
 def verify_quotes(claims: DataFrame, pages: DataFrame, key: str = "url", aggressive: bool = True, explain_misses: bool = True) -> DataFrame:
     """Whether the page of each claim contains its quote.
 
-    Claims meet pages by url. Containment is a column test; only misses are compared in
-    Python, for the similarity and the closest passage. A claim whose page is missing is a miss.
+    Claims meet pages by url. With ``explain_misses`` the distinct quotes of a page go to it as
+    lists, so a page is sent and indexed once per list and not once per claim; a popular page has
+    several lists by the hash of the quote. Otherwise containment is a column test. A claim whose
+    page is missing or whose quote is empty or null is a miss.
     """
     bodies = pages.select(key, normalise_page("html", aggressive).alias("_body"))
-    asked = claims.withColumn("_quote", normalise_page("quote", aggressive))
-    joined = asked.join(bodies, key, "left")
-    quote, body = F.col("_quote"), F.coalesce("_body", F.lit(""))
-    match = (F.coalesce(quote, F.lit("")) != "") & F.contains(body, quote)
-    joined = joined.withColumn("match", F.coalesce(match, F.lit(False)))
+    asked = claims.withColumn("_quote", F.coalesce(normalise_page("quote", aggressive), F.lit("")))
     if not explain_misses:
-        return joined.drop("_quote", "_body")
-    # the miss branch is a union arm, so hits never pass through the Python stage
-    hit = joined.where("match").withColumn("similarity", F.lit(1.0)).withColumn("closest_match", quote)
-    miss = joined.where(~F.col("match")).withColumn("_b", longest_block(body, F.coalesce(quote, F.lit(""))))
-    miss = miss.withColumn("similarity", F.col("_b.similarity")).withColumn("closest_match", F.col("_b.closest_match")).drop("_b")
-    return hit.unionByName(miss).drop("_quote", "_body")
+        match = (F.col("_quote") != "") & F.contains(F.coalesce("_body", F.lit("")), F.col("_quote"))
+        return asked.join(bodies, key, "left").withColumn("match", match).drop("_quote", "_body")
+    distinct = asked.select(key, "_quote").distinct()
+    parts = distinct.groupBy(key).agg(F.ceil(F.count("*") / QUOTES_AT_ONCE).cast("int").alias("_parts"))
+    lists = distinct.join(parts, key).withColumn("_part", F.pmod(F.xxhash64("_quote"), F.col("_parts")).cast("int"))
+    lists = lists.groupBy(key, "_part").agg(F.collect_list("_quote").alias("_quotes"))
+    copies = bodies.join(parts, key).select(key, "_body", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_part"))
+    answers = lists.join(copies, [key, "_part"]).select(key, F.inline(look_up("_body", "_quotes")))
+    return (
+        asked.join(answers, [key, "_quote"], "left").drop("_quote")
+        .withColumns({"match": F.coalesce("match", F.lit(False)), "similarity": F.coalesce("similarity", F.lit(0.0))})
+        .select(*claims.columns, "match", "similarity", "closest_match")
+    )
 
 
 def source_confidence(sources: DataFrame, key: str = "atom_id", disagreements: str = "n_disagreements") -> DataFrame:

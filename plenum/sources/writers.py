@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plenum.session import ensure_checkpoint_dir
 
 
 def write_snapshot(df: DataFrame, folder: str, name: str, stamp: datetime) -> tuple[str, str]:
@@ -70,10 +72,11 @@ def resume(
 ) -> DataFrame:
     """Compute only what is missing and append it; a rerun continues where the last one ended.
 
-    ``compute`` maps a DataFrame to the same rows with ``result``. The rows go in ``slices`` by
-    the hash of their key and every slice is a commit of its own, so a lost run costs one
-    slice. Before each slice the keys in the folder are left out, also those that a run left
-    there without finishing, so no key is written twice.
+    ``compute`` maps a DataFrame to the same rows with ``result``. The input is read once: its
+    missing rows are written to a work table in the shared checkpoint folder, a folder per slice
+    by the hash of the key. Each of the ``slices`` reads its own folder and is a commit of its
+    own, so a lost run costs one slice. Keys that are in the folder are left out, also those
+    that a run left there without finishing; slices share no key, so none is written twice.
     """
     spark = df.sparkSession
     if index is not None:
@@ -82,12 +85,14 @@ def resume(
         if stop is not None:
             df = df.where(F.col(index) < stop)
     files = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/*.parquet")
-    system = files.getFileSystem(spark._jsc.hadoopConfiguration())
+    if files.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(files):
+        df = unfinished(df, spark.read.parquet(folder), key, result)
+    work = f"{ensure_checkpoint_dir(spark)}/resume-{uuid.uuid4().hex}"
+    todo = df.withColumn("_slice", F.pmod(F.xxhash64(key), F.lit(slices)).cast("int"))
+    todo.write.partitionBy("_slice").parquet(work)
+    sliced = spark.read.schema(todo.schema).parquet(work)
     for number in range(slices):
-        part = df.where(F.pmod(F.xxhash64(key), F.lit(slices)) == number)
-        if system.globStatus(files):
-            part = unfinished(part, spark.read.parquet(folder), key, result)
-        compute(part).write.mode("append").parquet(folder)
+        compute(sliced.where(F.col("_slice") == number).drop("_slice")).write.mode("append").parquet(folder)
     return spark.read.parquet(folder)
 
 

@@ -157,3 +157,23 @@ def test_catalog_helpers(spark):
     assert "numbers" in rd.list_tables(spark) and rd.describe(df).first().data_type == "bigint"
     assert rd.table_count(df) == 3 and rd.table_sample(df, 2).count() == 2
     assert [r.id for r in rd.extract_table(spark, "numbers", "id").collect()] == [2, 1, 0]
+
+
+def test_resume_reads_its_input_once(spark, tmp_path):
+    """Rows pass a counting column once, whatever the number of slices; null and repeated keys stay."""
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("long")
+    def counted(x):
+        read.add(1)
+        return x
+
+    rows = [(i,) for i in range(50)] + [(7,), (None,)]
+    df = spark.createDataFrame(rows, "id long").select("id", counted("id").alias("seen"))
+    out = wr.resume(df, str(tmp_path / "once"), "id", "result", lambda part: part.withColumn("result", F.lit("done")))
+    assert read.value == len(rows) and sorted(r.id for r in out.where("id is not null").collect()) == sorted([*range(50), 7])
+    assert out.columns == ["id", "seen", "result"] and out.count() == len(rows)
+    again = wr.resume(df.where("id is not null"), str(tmp_path / "once"), "id", "result", lambda part: part.withColumn("result", F.lit("again")))
+    assert again.where("result = 'again'").count() == 0 and again.count() == len(rows)
+    empty = wr.resume(df.limit(0), str(tmp_path / "none"), "id", "result", lambda part: part.withColumn("result", F.lit("x")))
+    assert empty.count() == 0
