@@ -1,5 +1,7 @@
 """Streaming forms give what the batch forms give."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from plenum.operators import messages as ms
@@ -63,7 +65,24 @@ def test_a_poll_in_two_batches_ends_complete(spark, tmp_path):
     for part in (rows[:4], rows[4:]):
         spark.createDataFrame(part, POLL_SCHEMA).coalesce(1).write.mode("append").parquet(source)
         stream = spark.readStream.schema(whole.schema).parquet(source)
-        st.complete_polls(stream, polls, lambda df, _: out.append({r.poll_id: r for r in df.collect()}), str(tmp_path / "ck3"), str(tmp_path / "store")).awaitTermination(120)
+        st.complete_polls(stream, polls, lambda df, _: out.append({r.poll_id: r for r in df.collect()}), str(tmp_path / "ck3")).awaitTermination(120)
     want = {r.poll_id: r for r in poll_completion(polls, whole, 1, 3).collect()}
     assert [sorted(batch) for batch in out] == [["p", "q"], ["p"]]
     assert out[1]["p"] == want["p"] and out[0]["q"] == want["q"] and out[0]["p"] != want["p"]
+
+
+def test_poll_state_equals_the_batch_over_all_records(spark, tmp_path):
+    """Two batches in any order: other configurations, noise, opt-outs, repeated and missing phones, records without clusters."""
+    rng, rows = random.Random(8), []
+    for i in rng.sample(range(1000), 80):
+        phone = rng.choice(["a", "b", "c", "d", None])
+        data = {k: (rng.choice([-1, 1, 2, 3, 4]), f"theme {i}{k}", None, "a", [("q", phone)]) for k in rng.sample(["x", "y"], rng.choice([0, 1, 2]))}
+        rows.append((i, rng.choice("pqr"), phone, rng.choice([True, False, False, None]), rng.choice([None, data, data, data])))
+    polls, source, out = spark.createDataFrame([("p",), ("q",), ("silent",)], "poll_id string"), str(tmp_path / "in"), {}
+    for part in range(2):
+        spark.createDataFrame(rows[part * 40 : part * 40 + 40], POLL_SCHEMA).coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(POLL_SCHEMA).parquet(source)
+        st.complete_polls(stream, polls, lambda df, _: out.update({r.poll_id: r for r in df.collect()}), str(tmp_path / "ck4")).awaitTermination(120)
+        so_far = poll_completion(polls, spark.read.parquet(source), 1, 3).where("poll_id <> 'silent'").collect()
+        assert {r.poll_id: r for r in so_far} == out
+    assert sorted(out) == ["p", "q"] and all(len(r.issues) == 3 for r in out.values())
