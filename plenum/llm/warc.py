@@ -150,6 +150,19 @@ def parse_record(data: bytes) -> dict:
     }
 
 
+def parse_records(data: bytes) -> Iterator[dict]:
+    """The records of one member: one, as the format has it, or all where a whole archive is one member."""
+    start = 0
+    while data.startswith(b"WARC/", start):
+        head = data.find(b"\r\n\r\n", start)
+        stated = re.search(rb"(?im)^content-length:[ \t]*(\d+)[ \t]*\r?$", data[start:head] if head >= 0 else b"")
+        end = head + 4 + int(stated[1]) if stated else len(data)
+        yield parse_record(data[start:end])
+        start = end
+        while data.startswith(b"\r\n", start):
+            start += 2
+
+
 class _Stitcher:
     """Turns the pieces between two magics, in order, into records.
 
@@ -186,9 +199,7 @@ class _Stitcher:
             if self.reader.eof:
                 data = b"".join(self.content)
                 self._reset()
-                if data.startswith(b"WARC/"):
-                    record = parse_record(data)
-                    self.records.append(record if self.keep else record | {"payload": None})
+                self.records += [r if self.keep else r | {"payload": None} for r in parse_records(data)]
 
     def end_of_file(self) -> None:
         """What is still open never ends; the pieces behind its first one may hold records."""
@@ -244,7 +255,7 @@ def read_archives(spark: SparkSession, folder: str, keep_payload: bool = True) -
     """One row per record of the archives in ``folder``, whatever their names: see ``RECORD``.
 
     Empty members are skipped, as are members that never end (a cut file), members of other
-    content and bytes that belong to no member. What the ranges hold is written once. The paths
+    content and bytes that belong to no member. A member is held whole in memory. What the ranges hold is written once. The paths
     of files with an unended range come to the driver, a part of the listing that it holds for
     any scan; only those files are read again.
     """

@@ -123,6 +123,13 @@ def test_damaged_and_cut_members(spark, tmp_path):
     assert numbers(spark, put(tmp_path, b_warc_gz=stored)) == [1, 2]
 
 
+def test_an_archive_in_one_member(spark, tmp_path):
+    whole = b"".join(gzip.decompress(member(i, b"text\r\n\r\n%d" % i)) for i in range(7))
+    assert numbers(spark, put(tmp_path, a_warc_gz=gzip.compress(whole) + member(9, b"alone")), (100, 10_000_000)) == [*range(7), 9]
+    assert [r["payload"] for r in warc.parse_records(b"WARC/1.0\r\nWARC-Type: response\r\n\r\nHTTP/1.1 200\r\n\r\nab")] == [b"ab"]
+    assert [r["record_id"] for r in warc.parse_records(b"WARC/1.0\r\nContent-Length: 5")] == [None]
+
+
 def test_many_inner_magics_take_linear_time():
     import time
 
