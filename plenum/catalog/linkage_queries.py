@@ -15,8 +15,11 @@ PRIOR = 0.05
 WEIGHTS = lk.Weights({n: dict(enumerate(m)) for n, (m, _) in GIVEN.items()}, {n: dict(enumerate(u)) for n, (_, u) in GIVEN.items()}, PRIOR)
 
 
-def pairs(spark, d):
-    """Parts of one type and size, the left ones with a letter dropped, a brand missing or a price off."""
+def pairs(spark, d, shared=False):
+    """Parts of one type and size, the left ones with a letter dropped, a brand missing or a price off.
+
+    ``shared`` adds the share of the left name among all parts.
+    """
     p = v.table(spark, d, "part")
     key = F.col("p_partkey")
     price = F.round("p_retailprice", 1)
@@ -24,7 +27,9 @@ def pairs(spark, d):
     left = p.select(*block, key.alias("l_key"), F.when(key % 3 == 0, F.concat(F.substring("p_name", 1, 2), F.expr("substr(p_name, 4)"))).otherwise(F.col("p_name")).alias("l_name"),
                     F.when(key % 11 != 0, F.col("p_brand")).alias("l_brand"), F.when(key % 4 == 0, price + 1).otherwise(price).cast("decimal(12,1)").cast("string").alias("l_price"))
     right = p.select(*block, key.alias("r_key"), F.col("p_name").alias("r_name"), F.col("p_brand").alias("r_brand"), price.cast("decimal(12,1)").cast("string").alias("r_price"))
-    return left.join(right, ["type", "size"])
+    if shared:
+        left = lk.with_share(left, "l_name", lk.value_shares(p, "p_name"), "name_share")
+    return lk.block_pairs(lk.cleaned(left, FIELDS, "left"), lk.cleaned(right, FIELDS, "right"), ["type", "size"], "l_key")
 
 
 PAIRS = """p AS (SELECT p_partkey AS k, p_type AS type, p_size AS size, p_name, p_brand, round(p_retailprice, 1) AS price FROM part),
@@ -36,13 +41,12 @@ PAIRS = """p AS (SELECT p_partkey AS k, p_type AS type, p_size AS size, p_name,
     CASE WHEN a_price = b_price THEN 2 ELSE 0 END AS level_price FROM l JOIN r USING (type, size))"""
 
 
-def _levels(spark, d):
-    return lk.with_levels(pairs(spark, d), FIELDS)
+def _levels(spark, d, shared=False):
+    return lk.with_levels(pairs(spark, d, shared), FIELDS)
 
 
 def _scores(spark, d):
-    shares = lk.value_shares(v.table(spark, d, "part"), "p_name")
-    scored = lk.score(_levels(spark, d), FIELDS, WEIGHTS, {"name": shares})
+    scored = lk.score(_levels(spark, d, shared=True), FIELDS, WEIGHTS, {"name": "name_share"})
     return scored.select("l_key", "r_key", F.round("match_weight", 6).alias("match_weight"), F.round("match_probability", 6).alias("match_probability"))
 
 
@@ -58,8 +62,8 @@ SCORES = f"""WITH {PAIRS}, shares AS (SELECT lower(p_name) AS value, count(*) /
 
 def _selected(spark, d):
     """Weights fitted on the pairs; the best record of each, and how many are right."""
-    levels = _levels(spark, d)
-    scored = lk.score(levels, FIELDS, lk.fit(levels, FIELDS), {"name": lk.value_shares(v.table(spark, d, "part"), "p_name")})
+    levels = _levels(spark, d, shared=True)
+    scored = lk.score(levels, FIELDS, lk.fit(levels, FIELDS), {"name": "name_share"})
     chosen = select_candidate(scored.withColumn("rank", F.col("r_key")), F.col("match_weight"), ["l_key"], ["r_key"])
     return chosen.agg(F.count("*").alias("records"), (F.avg((F.col("l_key") == F.col("r_key")).cast("int")) >= 0.8).alias("mostly_right"))
 

@@ -18,7 +18,7 @@ from operator import add
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plenum.functions.text import let, nullif_blank
+from plenum.functions.text import nullif_blank
 
 MISSING, DIFFERENT, CLOSE, EQUAL = -1, 0, 1, 2
 LEVELS = (DIFFERENT, CLOSE, EQUAL)
@@ -37,25 +37,61 @@ class Field:
     counted: bool = False
 
 
-def agreement(field: Field) -> Column:
-    """The level of a pair; texts are compared trimmed and in lower case."""
-    clean = lambda c: F.lower(F.trim(nullif_blank(c)))
+#: Left rows of a block that meet its right rows in one group.
+SLICE = 256
 
-    def level(pair: Column) -> Column:
-        a, b = pair["a"], pair["b"]
-        out = F.when(a.isNull() | b.isNull(), MISSING).when(a == b, EQUAL)
-        if field.close is not None:
-            # a distance is only computed as far as it can still be close
-            most = F.greatest(F.length(a), F.length(b))
-            out = out.when(1 - F.levenshtein(a, b) / most >= field.close, CLOSE)
-        return out.otherwise(DIFFERENT)
 
-    return let(F.struct(clean(field.left).alias("a"), clean(field.right).alias("b")), level)
+def block_pairs(left: DataFrame, right: DataFrame, on: list[str], key: str) -> DataFrame:
+    """Every left row beside every right row of its block.
+
+    Pairs are many more than rows, so neither the size of the files nor that of a block says
+    how many tasks they take: the left rows of a block are dealt by ``key`` into slices, the right rows
+    come beside every slice, and slices are spread over a number of tasks that does not follow the bytes.
+    """
+    spark = left.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    slices = left.groupBy(*on).agg(F.ceil(F.count("*") / SLICE).cast("long").alias("_slices"))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_slices") - 1))
+    one = left.join(slices, on).withColumn("_slice", F.pmod(F.xxhash64(key), "_slices")).drop("_slices")
+    two = right.join(slices, on).withColumn("_slice", every).drop("_slices")
+    cell = [*on, "_slice"]
+    return one.repartition(tasks, *cell).join(two.repartition(tasks, *cell), cell).drop("_slice")
+
+
+def agreement(field: Field, a: Column, b: Column) -> Column:
+    """The level of a pair of cleaned texts."""
+    out = F.when(a.isNull() | b.isNull(), MISSING).when(a == b, EQUAL)
+    if field.close is not None:
+        # the distance is at least the gap between the lengths: only texts that can be close are compared
+        most, least = F.greatest(F.length(a), F.length(b)), F.least(F.length(a), F.length(b))
+        out = out.when(1 - (most - least) / most < field.close, DIFFERENT)
+        # counted no further than one above what is still close; -1 beyond that
+        limit = F.floor(most * (1 - field.close)).cast("int") + 1
+        distance = F.call_function("levenshtein", a, b, limit)
+        out = out.when((distance >= 0) & (1 - distance / most >= field.close), CLOSE)
+    return out.otherwise(DIFFERENT)
+
+
+def cleaned(records: DataFrame, fields: list[Field], side: str) -> DataFrame:
+    """Records of the ``left`` or ``right`` side with their fields as they are compared: trimmed and in lower case.
+
+    Done before pairing, a text is cleaned once and not once per pair.
+    """
+    return records.withColumns({f"_{side}_{f.name}": F.lower(F.trim(nullif_blank(getattr(f, side)))) for f in fields})
 
 
 def with_levels(pairs: DataFrame, fields: list[Field]) -> DataFrame:
-    """``pairs`` with a column ``level_<name>`` per field."""
-    return pairs.select("*", *[agreement(f).alias(f"level_{f.name}") for f in fields])
+    """``pairs`` with a column ``level_<name>`` per field; texts are compared trimmed and in lower case.
+
+    Columns of ``cleaned`` are taken where the pairs have them.
+    """
+    ready = pairs
+    for side in ("left", "right"):
+        ready = cleaned(ready, [f for f in fields if f"_{side}_{f.name}" not in pairs.columns], side)
+    used = {f"_{side}_{f.name}" for side in ("left", "right") for f in fields}
+    # plain columns, not a lambda: so the comparison stays compiled
+    levels = [agreement(f, F.col(f"_left_{f.name}"), F.col(f"_right_{f.name}")).alias(f"level_{f.name}") for f in fields]
+    return ready.select(*[c for c in pairs.columns if c not in used], *levels)
 
 
 def pattern_counts(levels: DataFrame, fields: list[Field]) -> DataFrame:
@@ -127,10 +163,19 @@ def value_shares(records: DataFrame, column: str) -> DataFrame:
     return counts.select("value", (F.col("n") / total.scalar()).alias("share"))
 
 
-def score(levels: DataFrame, fields: list[Field], weights: Weights, shares: dict[str, DataFrame] | None = None) -> DataFrame:
+def with_share(rows: DataFrame, column: str, shares: DataFrame, output: str, where: Column | None = None) -> DataFrame:
+    """Rows with the share of their value in ``shares``; null where it is not in there, or ``where`` does not hold."""
+    known = shares.select(F.col("value").alias("_value"), F.col("share").alias(output))
+    key = F.lower(F.trim(nullif_blank(column)))
+    keyed = rows.withColumn("_key", key if where is None else F.when(where, key))
+    return keyed.join(known, F.col("_key") == F.col("_value"), "left").drop("_key", "_value")
+
+
+def score(levels: DataFrame, fields: list[Field], weights: Weights, shares: dict[str, DataFrame | str] | None = None) -> DataFrame:
     """Pairs with ``match_weight`` (binary logarithm) and ``match_probability``.
 
-    ``shares`` has (value, share) per counted field; a value that is not in there, or more common
+    ``shares`` has (value, share) per counted field, or names a column of ``levels`` with the share of the left
+    value, looked up once per record by ``with_share`` and not once per pair; a value that is not in there, or more common
     than the share of equal pairs among others, is worth the plain weight. Shares are joined: whether a
     side is broadcast is Spark's size check, and skewed values are split by adaptive execution.
     """
@@ -141,14 +186,14 @@ def score(levels: DataFrame, fields: list[Field], weights: Weights, shares: dict
         for level in LEVELS:
             plain = F.when(at == level, F.lit(weights.weight(f.name, level))).otherwise(plain)
         if f.counted and shares and f.name in shares:
-            name = f"_share_{f.name}"
-            known = shares[f.name].select(F.col("value").alias(f"_value_{f.name}"), F.col("share").alias(name))
-            # only equal pairs look up their value; the others have none to join
-            key = F.when(at == EQUAL, F.lower(F.trim(nullif_blank(f.left))))
-            levels = levels.withColumn(f"_key_{f.name}", key).join(known, F.col(f"_key_{f.name}") == F.col(f"_value_{f.name}"), "left")
+            name = shares[f.name]
+            joined = not isinstance(name, str)
+            if joined:
+                # only equal pairs look up their value; the others have none to join
+                levels = with_share(levels, f.left, shares[f.name], name := f"_share_{f.name}", at == EQUAL)
             rare = F.log2(F.lit(weights.matches[f.name][EQUAL]) / F.col(name))
             plain = F.when(at == EQUAL, F.greatest(plain, F.coalesce(rare, plain))).otherwise(plain)
-            levels = levels.withColumn(f"_worth_{f.name}", plain).drop(f"_key_{f.name}", f"_value_{f.name}", name)
+            levels = levels.withColumn(f"_worth_{f.name}", plain).drop(*[name] * joined)
             parts.append(f"_worth_{f.name}")
         else:
             levels = levels.withColumn(f"_worth_{f.name}", plain)

@@ -86,3 +86,35 @@ def test_picks_more_right_records_than_edit_distance(spark):
     fitted = right(scored, F.col("match_weight"))
     lexical = right(pairs, lexical_score(F.col("l_name"), F.col("r_name"), F.col("l_town") == F.col("r_town")))
     assert fitted > 0.8 and fitted > lexical + 0.1, (fitted, lexical)
+
+
+def test_one_block_is_paired_in_many_tasks(spark):
+    """A block of a few kilobytes has many pairs: all of them come, and from several tasks."""
+    left = spark.range(1_000).select(F.lit("x").alias("block"), "id", F.when(F.col("id") % 7 != 0, F.concat(F.lit(" Ann "), F.col("id").cast("string"))).alias("l_name"))
+    left = left.union(spark.createDataFrame([(None, 1, "a"), ("alone", None, "b"), ("x", None, "c"), ("x", 5, "d")], "block string, id long, l_name string"))
+    right = spark.createDataFrame([("x", "ann 12"), ("x", "ann 12"), ("x", None), (None, "a")], "block string, r_name string")
+    got = lk.block_pairs(left, right, ["block"], "id")
+    assert sorted(map(str, got.collect())) == sorted(map(str, left.join(right, "block").collect()))
+    assert got.select(F.spark_partition_id()).distinct().count() > 1
+    # cleaned before pairing or by the pairs: the same levels
+    field = [lk.Field("name", "l_name", "r_name", close=0.8)]
+    early = lk.with_levels(lk.block_pairs(lk.cleaned(left, field, "left"), lk.cleaned(right, field, "right"), ["block"], "id"), field)
+    assert early.columns == lk.with_levels(got, field).columns
+    assert sorted(map(str, early.collect())) == sorted(map(str, lk.with_levels(got, field).collect()))
+
+
+def test_close_texts_at_the_limit(spark):
+    rows = [("abcd", "abcx"), ("abcd", "abxy"), ("abcdefgh", "abcdef"), ("abcdefgh", "abcde"), ("abcdefgh", "hgabcd"), ("a", "b")]
+    df = spark.createDataFrame(rows, "l_name string, r_name string")
+    got = [r["level_name"] for r in lk.with_levels(df, [lk.Field("name", "l_name", "r_name", close=0.75)]).collect()]
+    assert got == [1, 0, 1, 0, 0, 0]
+
+
+def test_shares_looked_up_per_record(spark):
+    df = spark.createDataFrame([("smith", "smith"), ("zyxwv", "zyxwv"), ("new", "new"), ("smith", "zyxwv"), (None, "smith")], "l_name string, r_name string")
+    field = [FIELDS[0]]
+    w = lk.Weights({"name": {0: 0.1, 1: 0.1, 2: 0.8}}, {"name": {0: 0.6, 1: 0.2, 2: 0.2}}, 0.5)
+    shares = spark.createDataFrame([("smith", 0.99), ("zyxwv", 0.01)], "value string, share double")
+    want = lk.score(lk.with_levels(df, field), field, w, {"name": shares})
+    got = lk.score(lk.with_levels(lk.with_share(df, "l_name", shares, "held"), field), field, w, {"name": "held"})
+    assert got.count() == 5 and sorted(map(str, got.drop("held").collect())) == sorted(map(str, want.collect()))
