@@ -1,6 +1,8 @@
 import datetime as dt
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -115,3 +117,36 @@ def test_long_vectors_in_several_tiles(spark, monkeypatch):
     for q, rank, c in got[64 << 20]:
         others = np.delete(scores[q], q)
         assert abs(scores[q, c] - np.sort(others)[-rank]) < 1e-5
+
+
+@pytest.mark.parametrize("metric", ["cosine", "l2"])
+def test_a_long_tile_is_searched_in_little_memory(metric):
+    """Many candidates, copies among them and rules on the pairs: as by a full table, in chunks of it."""
+    rng = np.random.default_rng(8)
+    n, m, dims, k = 300, 30_000, 8, 5
+    left, right = rng.normal(size=(n, dims)), rng.normal(size=(m, dims))
+    right[1_000::500] = right[7]
+    right[2_000:2_050] = left[:50]
+    right[40], left[3] = 0.0, np.nan
+    arrays = lambda v: pa.array(list(v), pa.list_(pa.float64()))
+    first, day, mask, bit = rng.integers(0, 9, n), rng.integers(0, 9, m), rng.integers(1, 8, n), 1 << rng.integers(0, 3, m)
+    mask[5], first[6] = 0, 99
+    q = pa.table({"query_id": np.arange(n), "vector": arrays(left), "first": first, "mask": mask})
+    c = pa.table({"candidate_id": np.arange(m), "vector": arrays(right), "day": day, "bit": bit}).take(pa.array(rng.permutation(m)))
+    rule = mt.Pair(same_id=False, not_before=("first", "day"), allowed=("mask", "bit"))
+    schema = pa.schema([("query_id", pa.int64()), ("candidate_id", pa.int64()), ("score", pa.float64())])
+    search = mt._tile_search(k, metric, rule, schema)
+    tracemalloc.start()
+    found = search(q, c)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 64e6, peak
+    unit = lambda v: v / np.maximum(np.sqrt((v * v).sum(axis=1, keepdims=True)), 1e-300)
+    costs = np.round(-unit(left) @ unit(right).T if metric == "cosine" else np.maximum((left**2).sum(axis=1)[:, None] + (right**2).sum(axis=1)[None, :] - 2 * left @ right.T, 0), 9)
+    good = np.isfinite(costs) & (day[None, :] >= first[:, None]) & ((bit[None, :] & mask[:, None]) != 0) & (np.arange(n)[:, None] != np.arange(m)[None, :])
+    if metric == "cosine":
+        good &= costs < 0
+    want = [(i, j, costs[i, j]) for i in range(n) for j in np.lexsort((np.arange(m), np.where(good[i], costs[i], np.inf)))[:k] if good[i, j]]
+    got = sorted((r["query_id"], r["score"] if metric == "l2" else -r["score"], r["candidate_id"]) for r in found.to_pylist())
+    assert [(i, j) for i, _, j in got] == [(i, j) for i, j, _ in want]
+    assert np.allclose([s for _, s, _ in got], [s for _, _, s in want])
