@@ -321,6 +321,14 @@ def _stars(rows: np.ndarray, columns: np.ndarray, linked: np.ndarray) -> tuple[l
     return a, b
 
 
+def _near(left: np.ndarray, right: np.ndarray, threshold: float, rows: int = 256) -> np.ndarray:
+    """Which unit rows are at least ``threshold`` alike; a byte per pair, the scores themselves only a few rows at a time."""
+    out = np.empty((len(left), len(right)), bool)
+    for start in range(0, len(left), rows):
+        out[start: start + rows] = np.round(left[start: start + rows] @ right.T, 9) >= threshold
+    return out
+
+
 def threshold_pairs(df: DataFrame, on: list[str], key: str, vector: str, threshold: float, tile: int = 4_096, forest: bool = False) -> DataFrame:
     """All pairs (a < b) of a block with cosine at least ``threshold``, or a forest that connects them.
 
@@ -345,15 +353,16 @@ def threshold_pairs(df: DataFrame, on: list[str], key: str, vector: str, thresho
         unit, tiles = _unit(_matrix(group["vector"])), group["_t"].to_numpy()
         i, j = group["_i"][0].as_py(), group["_j"][0].as_py()
         left, right = np.flatnonzero(tiles == i), np.flatnonzero(tiles == j)
-        alike = np.round(unit[left] @ unit[right].T, 9)
         if forest:
-            near = alike >= threshold
+            near = _near(unit[left], unit[right], threshold)
             if i == j:
                 np.fill_diagonal(near, False)
             others, firsts = (np.concatenate([np.zeros(0, np.int64), *part]).astype(np.int64) for part in _stars(left, right, near))
             columns = {c: group[c].take(pa.array(firsts)) for c in on}
             return pa.table({**columns, "a": group["id"].take(pa.array(firsts)), "b": group["id"].take(pa.array(others)),
                              "similarity": pa.nulls(len(firsts), pa.float64())})
+        alike = unit[left] @ unit[right].T
+        np.round(alike, 9, out=alike)
         x, y = np.nonzero(alike >= threshold)
         a, b = left[x], right[y]
         # the diagonal cell sees each pair twice, the others once in either order
@@ -441,7 +450,7 @@ def density_clusters(
         unit, tiles = _unit(_matrix(group["vector"])), group["_t"].to_numpy()
         i, j = group["_i"][0].as_py(), group["_j"][0].as_py()
         left, right = np.flatnonzero(tiles == i), np.flatnonzero(tiles == j)
-        near = np.round(unit[left] @ unit[right].T, 9) >= threshold
+        near = _near(unit[left], unit[right], threshold)
         if i == j:
             np.fill_diagonal(near, False)
         return left, right, near, np.array([i == j])

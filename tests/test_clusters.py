@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -187,3 +188,15 @@ def test_discovery_labels_every_message_once(spark):
     out = discover(df, dims=4, k=3, merge_at=0.999).collect()
     assert len(out) == 90 and all((r.cluster_id == -1) == r.is_opt_out for r in out)
     assert len({r.cluster_id for r in out} - {-1}) == 3
+
+
+def test_a_tile_of_neighbours_takes_a_byte_a_pair():
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(1_500, 8))
+    v /= np.sqrt((v * v).sum(axis=1, keepdims=True))
+    want = np.round(v @ v.T, 9) >= 0.5
+    tracemalloc.start()
+    got = cl._near(v, v, 0.5)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (got == want).all() and peak < 5 * got.size, peak
