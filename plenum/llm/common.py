@@ -4,13 +4,12 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterable, Iterator
-from contextlib import contextmanager
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plenum.session import ensure_checkpoint_dir
+from plenum.session import TEXT_ROWS, ensure_checkpoint_dir, short_batches, use_short_batches  # noqa: F401
 
 #: White space as the contracts of the operators define it.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -38,28 +37,6 @@ def hash_share(key: Column, salt: int) -> Column:
     return F.pmod(F.xxhash64(key, F.lit(salt)), F.lit(1 << 30)) / F.lit(float(1 << 30))
 
 
-#: Rows that go to a Python worker at a time where they hold whole texts.
-TEXT_ROWS = 500
-_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
-
-
-def use_short_batches(spark: SparkSession) -> str:
-    """Send few texts at a time to Python workers of this session; returns the setting before."""
-    before = spark.conf.get(_BATCH)
-    spark.conf.set(_BATCH, str(TEXT_ROWS))
-    return before
-
-
-@contextmanager
-def short_batches(spark: SparkSession) -> Iterator[None]:
-    """Short batches for what is written inside; the setting of the session comes back."""
-    before = use_short_batches(spark)
-    try:
-        yield
-    finally:
-        spark.conf.set(_BATCH, before)
-
-
 def slices(batches: Iterable[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
     """The same rows in small batches, so that few texts are Python strings at a time."""
     for batch in batches:

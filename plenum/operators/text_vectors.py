@@ -3,24 +3,34 @@
 A text is its words, its pairs of words and the three-letter pieces of its words. Each of them has a
 bucket, by a hash, and the rarer its bucket over all texts the more it weighs. A seeded hash
 gives every feature a sign per dimension; the sum of the signed weights is a random projection
-of the weighted counts, so the cosine of two vectors is near that of the counts. Everything is an
-expression or an aggregate; the table of weights has at most ``BUCKETS`` rows, whatever the input.
+of the weighted counts, so the cosine of two vectors is near that of the counts. Features are an
+expression; tasks hash the distinct ones of some texts with numpy, first to count in how many texts
+each bucket is, then to add them up. The table of weights has at most ``BUCKETS`` rows, whatever the input.
 """
 
 from __future__ import annotations
 
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
+import hashlib
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plenum.functions.text import let
-from plenum.functions.vectors import l2_normalise
+from plenum.session import cut_lineage, short_batches
 
 #: Five hexadecimal digits of a hash.
 BUCKETS = 16**5
 #: Dimensions per hash: 16 digits of four bits.
 SIGNS = 64
+#: Features of texts that a task hashes at a time; those of one text are together.
+FEATURES = 1 << 18
+#: Features that are rows of signed weights at a time: 16 MB.
+CHUNK = 1 << 15
 
 
 def words(text: Column) -> Column:
@@ -39,41 +49,97 @@ def features(text: Column | str) -> Column:
     return let(words(F.col(text) if isinstance(text, str) else text), of)
 
 
-def _digest(seed: int, block: int) -> Column:
-    return F.md5(F.concat(F.lit(f"{seed}/{block}/"), F.col("feature")))
+def _digests(texts: list[bytes], start: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The md5 of ``start`` and each text as two numbers of 64 bits."""
+    both = np.frombuffer(b"".join(hashlib.md5(start + t, usedforsecurity=False).digest() for t in texts), ">u8").astype(np.uint64).reshape(-1, 2)
+    return both[:, 0], both[:, 1]
+
+
+def _buckets(high: np.ndarray) -> np.ndarray:
+    """The first five hexadecimal digits."""
+    return (high >> np.uint64(44)).astype(np.int64)
+
+
+def _signs(high: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """64 bits of a digest: digits 6 to 13 for the lower half, 14 to 21 for the upper one."""
+    return ((high >> np.uint64(12)) & np.uint64(0xFFFFFFFF)) | (((high & np.uint64(0xFFF)) << np.uint64(20) | low >> np.uint64(44)) << np.uint64(32))
+
+
+def _spans(batches: Iterable[pa.RecordBatch], column: str) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, list[bytes]]]:
+    """Rows with the bounds of their features, the place of every feature among the distinct ones, and these; few features at a time."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.list_value_length(batch.column(column)), 0).to_numpy(), dtype=np.int64)
+        low = 0
+        while low < batch.num_rows:
+            before = ends[low - 1] if low else 0
+            high = max(low + 1, int(np.searchsorted(ends, before + FEATURES, "right")))
+            part = batch.slice(low, high - low)
+            found = part.column(column).flatten().cast(pa.binary()).dictionary_encode()
+            yield part, np.append(0, ends[low:high] - before), found.indices.to_numpy().astype(np.int64), found.dictionary.to_pylist()
+            low = high
 
 
-def _signs(digest: Column, weight: Column) -> Column:
-    """``weight`` with the sign of each of 64 bits of a digest."""
-    places = F.array(*[F.lit(1 << i).cast("long") for i in range(SIGNS // 2)])
+def _rarity(own: DataFrame, seed: int) -> np.ndarray:
+    """The weight of every bucket: what comes to the driver is at most one row per bucket, whatever the input."""
+    start = f"{seed}/0/".encode()
 
-    def half(start: int) -> Column:
-        # bound once: inside the element function the hash would be computed per dimension
-        bits = F.conv(F.substring(digest, start, 8), 16, 10).cast("long")
-        return let(bits, lambda b: F.transform(places, lambda p: F.when(b.bitwiseAND(p) > 0, weight).otherwise(-weight)))
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, texts = np.zeros(BUCKETS, np.int64), 0
+        for _, bounds, place, distinct in _spans(batches, "features"):
+            texts += int((np.diff(bounds) > 0).sum())
+            bucket = _buckets(_digests(distinct, start)[0])[place] if len(place) else place
+            row = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+            held += np.bincount(np.unique(row * BUCKETS + bucket) % BUCKETS, minlength=BUCKETS)
+        used = np.flatnonzero(held)
+        # one more bucket holds the texts with a word
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(used, BUCKETS).astype(np.int32)), pa.array(np.append(held[used], texts))], ["bucket", "in_texts"])
 
-    return F.concat(half(6), half(14))
+    counts = own.select(features("text").alias("features")).mapInArrow(count, "bucket int, in_texts long")
+    sums = counts.groupBy("bucket").agg(F.sum("in_texts").alias("in_texts")).toArrow()
+    held = np.zeros(BUCKETS + 1, np.int64)
+    held[sums["bucket"].to_numpy()] = sums["in_texts"].to_numpy()
+    return np.log((held[BUCKETS] + 1) / (held[:BUCKETS] + 1)) + 1
 
 
 def text_vectors(texts: DataFrame, text: str = "text", dims: int = 64, seed: int = 42) -> DataFrame:
-    """(text, vector): a unit vector of ``dims`` floats for every distinct text that has a word.
+    """(text, vector): a unit vector of ``dims`` floats for every distinct text that has a word, written once.
 
     Equal texts under the same seed and the same table have equal vectors. Null, blank and
-    wordless texts are left out, repeated ones count once. Long texts are many rows, added up
-    before and after the shuffle; no text is cut.
+    wordless texts are left out, repeated ones count once. Only the distinct texts are shuffled:
+    a text's features are hashed and added up where the text is, and no text is cut.
     """
-    own = texts.select(F.col(text).alias("text")).where("text IS NOT NULL").distinct()
-    keyed = own.select("text", F.xxhash64("text").alias("key"), F.md5("text").alias("check"))
-    # long texts stay out of the shuffles: their features carry 40 bytes of key
-    found = keyed.select("key", "check", F.explode(features("text")).alias("feature")).groupBy("key", "check", "feature").agg(F.count("*").alias("times"))
-    bucket = F.conv(F.substring(_digest(seed, 0), 1, 5), 16, 10).cast("int")
-    found = found.withColumn("bucket", bucket)
-    total = own.where(F.size(words(F.col("text"))) > 0).agg(F.count("*").alias("n"))
-    rarity = found.select("key", "check", "bucket").distinct().groupBy("bucket").agg(F.count("*").alias("in_texts"))
-    weights = rarity.select("bucket", (F.log((total.scalar() + 1) / (F.col("in_texts") + 1)) + 1).alias("weight"))
-    worth = F.col("times") * F.col("weight")
-    parts = [_signs(_digest(seed, b), worth) for b in range(-(-dims // SIGNS))]
-    signed = found.join(weights, "bucket").select("key", "check", F.slice(F.concat(*parts), 1, dims).alias("v"))
-    sums = signed.groupBy("key", "check").agg(vector_to_array(Summarizer.sum(array_to_vector("v"))).alias("v"))
-    unit = F.transform(l2_normalise("v"), lambda x: x.cast("float"))
-    return keyed.join(sums, ["key", "check"]).select("text", unit.alias("vector"))
+    spark = texts.sparkSession
+    own = cut_lineage(texts.select(F.col(text).alias("text")).where("text IS NOT NULL").distinct())
+    with short_batches(spark):
+        weights = spark.sparkContext.broadcast(_rarity(own, seed))
+
+        def project(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part, bounds, place, distinct in _spans(batches, "features"):
+                out = np.zeros((len(bounds) - 1, dims))
+                for block in range(-(-dims // SIGNS)):
+                    high, low = _digests(distinct, f"{seed}/{block}/".encode())
+                    if not block:
+                        weight = weights.value[_buckets(high)]
+                    signs, wide = _signs(high, low), min(SIGNS, dims - block * SIGNS)
+                    _add(out[:, block * SIGNS: block * SIGNS + wide], bounds, place, weight, signs)
+                some = np.flatnonzero(np.diff(bounds))
+                out = out[some]
+                size = np.sqrt((out * out).sum(axis=1, keepdims=True))
+                unit = (out / np.where(size > 0, size, 1.0)).astype(np.float32)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(some) * dims + 1, dims, dtype=np.int32)), pa.array(unit.ravel()))
+                yield pa.RecordBatch.from_arrays([part.column("text").take(pa.array(some)), lists], ["text", "vector"])
+
+        rows = own.select("text", features("text").alias("features")).mapInArrow(project, T.StructType([own.schema["text"], T.StructField("vector", T.ArrayType(T.FloatType()))]))
+        return cut_lineage(rows)
+
+
+def _add(out: np.ndarray, bounds: np.ndarray, place: np.ndarray, weight: np.ndarray, signs: np.ndarray) -> None:
+    """Add to every row of ``out`` the signed weights of its features, a bounded number of features at a time."""
+    bits = np.arange(out.shape[1], dtype=np.uint64)
+    for start in range(0, len(place), CHUNK):
+        at = place[start: start + CHUNK]
+        worth = weight[at][:, None]
+        signed = np.where((signs[at][:, None] >> bits) & np.uint64(1) == 1, worth, -worth)
+        first = np.maximum(bounds[:-1], start) - start
+        rows = np.flatnonzero(np.minimum(bounds[1:], start + len(at)) - start > first)
+        out[rows] += np.add.reduceat(signed, first[rows], axis=0)

@@ -1,3 +1,7 @@
+import hashlib
+import re
+from collections import Counter
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -51,6 +55,47 @@ def test_one_vector_per_distinct_text_and_themes(spark):
     assert len(pairs) == 3
 
 
+def by_hand(texts, dims, seed=42):
+    """Every feature for itself: md5, bucket, weight, signs."""
+    def found(t):
+        w = [x for x in re.split(r"[\W_]+", t.lower()) if x]
+        return [f"w:{x}" for x in w] + [f"p:{a} {b}" for a, b in zip(w, w[1:])] + [f"c:{x[i: i + 3]}" for x in w for i in range(max(len(x) - 2, 1))]
+
+    def digest(f, block=0):
+        return hashlib.md5(f"{seed}/{block}/{f}".encode()).hexdigest()
+
+    all_features = {t: found(t) for t in set(texts) if found(t)}
+    held = Counter(b for fs in all_features.values() for b in {digest(f)[:5] for f in fs})
+    out = {}
+    for t, fs in all_features.items():
+        v = np.zeros(dims)
+        for f in fs:
+            weight = np.log((len(all_features) + 1) / (held[digest(f)[:5]] + 1)) + 1
+            for i in range(dims):
+                h = digest(f, i // 64)
+                v[i] += weight if int(h[5 + 8 * (i % 64 // 32):][:8], 16) >> (i % 32) & 1 else -weight
+        out[t] = v / np.linalg.norm(v)
+    return out
+
+
+@pytest.mark.parametrize("dims", [64, 70])
+def test_against_features_one_by_one_in_small_parts(spark, monkeypatch, dims):
+    monkeypatch.setattr(tv, "FEATURES", 40)
+    monkeypatch.setattr(tv, "CHUNK", 7)
+    texts = sum(THEMES, []) + ["漢 字 Ünder", " ", "a " * 60, "", THEMES[0][0]]
+    got, want = vectors(spark, texts, dims=dims), by_hand(texts, dims)
+    assert got.keys() == want.keys() and all(np.abs(got[t] - want[t]).max() < 1e-6 for t in want)
+
+
+def test_features_are_not_shuffled(spark, monkeypatch):
+    """Only the distinct texts are: what is written last reads them and has no row per feature."""
+    plans = []
+    cut = tv.cut_lineage
+    monkeypatch.setattr(tv, "cut_lineage", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or cut(df))
+    assert len(vectors(spark, THEMES[0])) == 4
+    assert len(plans) == 2 and not any("Generate" in p for p in plans) and "Exchange" not in plans[1]
+
+
 def test_no_texts(spark):
     assert vectors(spark, []) == {}
     assert tv.text_vectors(spark.createDataFrame([], "text string, vector int").withColumn("key", F.lit(1))).count() == 0
