@@ -11,6 +11,7 @@ from plenum.functions import text as tx
 from plenum.operators import insights as ins
 from plenum.operators import messages as ms
 from plenum.operators import rules
+from plenum.session import cut_lineage
 
 M = v.messages_sql()
 T = "lower(message_text)"
@@ -167,6 +168,8 @@ TAXONOMY_VALUES = ", ".join(f"({v.quoted(f'{p}/{s}')}, {v.quoted(text)})" for p,
 
 def _selectors(spark, d):
     c = classified(spark, d).withColumn("is_substantive", F.col("message_quality") == "substantive")
+    # classified once: four selections read the few columns that are written here
+    c = cut_lineage(c.select("message_id", "overall_sentiment", "issues", "should_be_uncategorized", "is_substantive"))
     picks = {
         "sentiment": ms.by_sentiment(c, "frustrated_urgent"), "stance": ms.by_issue_stance(c, "Housing_And_Development", "negative"),
         "uncategorised": ms.uncategorised(c), "substantive": ms.substantive(c),
