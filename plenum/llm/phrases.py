@@ -11,7 +11,8 @@ Counting takes three passes over the written dictionary, as a phrase is no more
 its parts. First words and pairs are counted in hashed buckets, and buckets that reach
 ``least`` set bits of a table of fixed size; then, in the same way, longer phrases all of whose
 pairs have their bit. Buckets only ever hold too much, so no phrase is lost. Words and phrases
-with their bit are at last counted by their words themselves.
+with their bit are at last counted by their words themselves. What a task has counted is handed on
+in packed rows, one per group of buckets or phrases, so the rows between tasks do not grow with the phrases.
 
 Cases: null texts are empty, null languages ``und``; documents without words add nothing; an
 empty table gives no rows; repeated rows count each; other columns are not read. Scores tie by
@@ -26,6 +27,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -261,10 +263,11 @@ def _frequent(chunks: DataFrame, use: Callable[[Grams, int], np.ndarray], levels
 
 
 class _Speller:
-    """Counts of phrases by their words, added up in a task."""
+    """Counts of phrases by their words, added up in a task and handed on as packed rows per group of phrases."""
 
-    def __init__(self) -> None:
-        self.counts: dict[tuple[str, int], dict[bytes, int]] = {}
+    def __init__(self, groups: int) -> None:
+        self.groups = groups
+        self.counts: dict[tuple[str, int, int], dict[bytes, int]] = {}
         self.held = 0
 
     def add(self, g: Grams, langs: list[str], n: int, at: np.ndarray) -> None:
@@ -277,22 +280,45 @@ class _Speller:
         first, w = at[heads], g.words
         stop = w.begin[first + n - 1] + w.size[first + n - 1]
         total = np.add.reduceat(g.weight[at], heads)
-        for text, b, e, c in zip(w.text[first].tolist(), w.begin[first].tolist(), stop.tolist(), total.tolist(), strict=True):
-            into = self.counts.setdefault((langs[text], n), {})
+        # the hash is of the language and the words: a phrase is in the same group in every task
+        group = ((one[heads] >> _U(32)) % _U(self.groups)).tolist()
+        for text, x, b, e, c in zip(w.text[first].tolist(), group, w.begin[first].tolist(), stop.tolist(), total.tolist(), strict=True):
+            into = self.counts.setdefault((langs[text], n, x), {})
             phrase = w.bytes[b:e]
-            into[phrase] = into.get(phrase, 0) + c
-        self.held = sum(map(len, self.counts.values()))
+            before = into.get(phrase)
+            self.held += before is None
+            into[phrase] = c + (before or 0)
 
     def rows(self) -> Iterator[pa.RecordBatch]:
-        for (lang, n), counts in self.counts.items():
-            whole = pa.RecordBatch.from_arrays(
-                [pa.array([lang] * len(counts), pa.string()), pa.array(list(counts), pa.binary()), pa.array([n] * len(counts), pa.int32()), pa.array(list(counts.values()), pa.int64())],
-                ["lang", "phrase", "words", "f"],
+        keys = list(self.counts)
+        for start in range(0, len(keys), 1_000):
+            some = keys[start: start + 1_000]
+            lang, words, group = zip(*some, strict=True)
+            # no phrase has a line break
+            phrases = [b"\n".join(self.counts[k]) for k in some]
+            counts = [np.fromiter(self.counts[k].values(), np.int64, len(self.counts[k])).tobytes() for k in some]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(lang, pa.string()), pa.array(words, pa.int32()), pa.array(group, pa.int32()), pa.array(phrases, pa.binary()), pa.array(counts, pa.binary())],
+                ["lang", "words", "group", "phrases", "counts"],
             )
-            yield from slices([whole], 10_000)
         self.counts, self.held = {}, 0
 
 
+def _spelled_sums(least: int) -> Callable[[pa.Table], pa.Table]:
+    """From the packed rows of a group to (lang, phrase, words, f) of its phrases that reach ``least``."""
+
+    def total(group: pa.Table) -> pa.Table:
+        phrases = [p for packed in group["phrases"].to_pylist() for p in packed.split(b"\n")]
+        counts = np.concatenate([np.frombuffer(x, np.int64) for x in group["counts"].to_pylist()])
+        sums = pa.table({"phrase": pa.array(phrases, pa.binary()), "f": pa.array(counts)}).group_by("phrase").aggregate([("f", "sum")])
+        sums = sums.filter(pc.greater_equal(sums["f_sum"], least))
+        n = sums.num_rows
+        return pa.table({"lang": pa.array([group["lang"][0].as_py()] * n, pa.string()), "phrase": sums["phrase"],
+                         "words": pa.array(np.full(n, group["words"][0].as_py(), np.int32)), "f": sums["f_sum"]})
+
+    return total
+
+
 def phrase_counts(chunks: DataFrame, longest: int = 4, least: int = 30, size: int = BITS) -> DataFrame:
     """(lang, phrase, words, f) of all phrases with ``f >= least`` and of the words in them, written once."""
     spark = chunks.sparkSession
@@ -306,7 +332,7 @@ def phrase_counts(chunks: DataFrame, longest: int = 4, least: int = 30, size: in
     bits = share(parts.value | longer)
 
     def spelled(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        speller = _Speller()
+        speller = _Speller(groups)
         for texts, batch in _texts(batches):
             g, langs = Grams(texts, batch, longest), batch.column("lang").to_pylist()
             for n in range(1, longest + 1):
@@ -316,8 +342,8 @@ def phrase_counts(chunks: DataFrame, longest: int = 4, least: int = 30, size: in
                 yield from speller.rows()
         yield from speller.rows()
 
-    found = rows.mapInArrow(spelled, "lang string, phrase binary, words int, f long")
-    sums = found.groupBy("lang", "phrase", "words").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
+    found = rows.mapInArrow(spelled, "lang string, words int, group int, phrases binary, counts binary")
+    sums = found.groupBy("lang", "words", "group").applyInArrow(_spelled_sums(least), "lang string, phrase binary, words int, f long")
     return staged(sums.select("lang", F.col("phrase").cast("string").alias("phrase"), "words", "f"), "phrases-counts")
 
 

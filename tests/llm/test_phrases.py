@@ -89,6 +89,28 @@ def test_buckets_may_collide(spark, documents):
     assert few == many and len(few) > 50
 
 
+def test_spelled_rows_are_per_group_not_per_phrase(spark):
+    """Twice the phrases, as many rows between the tasks; the counts are those of the phrases."""
+    import pyarrow as pa
+
+    def packed(n):
+        chunks = [f"w{i} x{i} y{i}".encode() for i in range(n)] * 2
+        batch = pa.RecordBatch.from_arrays([pa.array(chunks, pa.binary()), pa.array(["en"] * (2 * n)), pa.array([3] * (2 * n), pa.int32()), pa.array([2] * (2 * n), pa.int64())],
+                                           ["chunk", "lang", "owned", "frequency"])
+        speller, g = phrases._Speller(8), phrases.Grams(chunks, batch, 3)
+        for k in (1, 2, 3):
+            speller.add(g, ["en"] * (2 * n), k, np.flatnonzero(g.whole[k - 1]))
+        assert speller.held == 6 * n
+        return list(speller.rows())
+
+    for n in (500, 1000):
+        rows = pa.Table.from_batches(packed(n))
+        assert rows.num_rows == 24
+        one = rows.filter(pa.compute.and_(pa.compute.equal(rows["words"], 3), pa.compute.equal(rows["group"], 0)))
+        got = phrases._spelled_sums(4)(pa.concat_tables([one, one]))
+        assert got.num_rows > n / 16 and set(got["f"].to_pylist()) == {8}
+
+
 def test_awkward_and_empty(spark, awkward):
     rows = [(r["text"], r["lang"]) for r in awkward.collect()]
     assert result(awkward, least=3) == brute(rows, least=3)
