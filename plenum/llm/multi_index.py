@@ -7,7 +7,8 @@ of the codeword, the largest distance of a vector here from it. A heap visits th
 shard in the order of that bound (multi-sequence): the first halves and the second halves are
 sorted by bound, and a cell is pushed when the one before it in its row was visited. A search
 stops when its window is certified: what it holds is better than the bound of the next cell,
-or that bound is under the window.
+or that bound is under the window. Cells are multiplied in bursts, each twice as large as the
+one before, so a search whose bounds skip little takes few steps.
 
 Two searches use the same index. The first finds the positives of every anchor, the best rows
 of its label; the second the best rows of other labels in the window that each positive sets.
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 from plenum.llm.common import staged
 from plenum.operators.ranking import top_n
 
-#: Rows that a search multiplies at a time, at least.
+#: Rows that a search multiplies at first, at least.
 BURST = 256
 _NO_ID = (1 << 63) - 1
 
@@ -80,12 +81,14 @@ def fit_codebooks(rows: DataFrame, words: int = 8, sample_rows: int = 4_096) ->
 class Index:
     """The cells of a shard: codes, radii and rows by cell."""
 
-    def __init__(self, vectors: np.ndarray, books: dict[int, tuple[np.ndarray, np.ndarray]]) -> None:
+    def __init__(self, vectors: np.ndarray, books: dict[int, tuple[np.ndarray, np.ndarray]], most: int = 0) -> None:
+        """``most`` is the largest component of the anchors, if larger than those here."""
         size = vectors.shape[1]
         self.half = size // 2
-        # doubles hold the integer products exactly while they are small; else Python integers do
-        most = int(np.abs(vectors).max(initial=0))
-        self.exact = vectors.astype(float) if most * most * max(size, 1) < 1 << 52 else vectors.astype(object)
+        # floats hold the integer products exactly while they are small, then doubles; else Python integers do
+        most = max(int(np.abs(vectors).max(initial=0)), most)
+        kind = next((kind for kind, bits in ((np.float32, 24), (float, 52)) if most * most * max(size, 1) < 1 << bits), object)
+        self.exact = vectors.astype(kind)
         reals = vectors.astype(float)
         halves = reals[:, : self.half], reals[:, self.half:]
         self.books = books.get(size) or tuple(np.zeros((1, h.shape[1])) for h in halves)
@@ -111,7 +114,7 @@ class Index:
             bounds.append((bound[order] + 1e-9 * (1 + np.abs(bound[order]))).tolist())
             orders.append(order.tolist())
         (one, two), (first, second) = bounds, orders
-        width, heap, held, parts = len(self.books[1]), [(-one[0] - two[0], 0, 0)], 0, []
+        width, heap, held, parts, burst = len(self.books[1]), [(-one[0] - two[0], 0, 0)], 0, [], BURST
         while heap:
             _, i, j = heapq.heappop(heap)
             if j + 1 < len(two):
@@ -123,9 +126,9 @@ class Index:
             if high > low:
                 parts.append(self.rows[low:high])
                 held += high - low
-            if parts and (held >= BURST or not heap):
+            if parts and (held >= burst or not heap):
                 yield np.concatenate(parts), -heap[0][0] if heap else -np.inf
-                held, parts = 0, []
+                held, parts, burst = 0, [], 2 * burst
 
     def scores(self, rows: np.ndarray, anchor: np.ndarray) -> np.ndarray:
         return (self.exact[rows] @ anchor.astype(self.exact.dtype)).astype(np.int64)
@@ -161,6 +164,8 @@ def _negatives(
     for rows, bound in index.visits(anchor) if windows else ():
         rows = rows[labels[rows] != label]
         scores = index.scores(rows, anchor)
+        near = np.flatnonzero(scores >= min(windows[turn][0] for turn in open_))
+        rows, scores = rows[near], scores[near]
         for turn in list(open_):
             floor, top = windows[turn]
             use = (scores >= floor) & (scores <= top)
@@ -219,7 +224,8 @@ def hard_negatives(
             who, turns, found, scores = [], [], [], []
             if q.num_rows and c.num_rows:
                 ids, own_labels = c["vec_id"].to_numpy(), c["label"].to_numpy()
-                index, wanted = Index(_matrix(c["vector"]), books.value), _matrix(q["vector"])
+                wanted = _matrix(q["vector"])
+                index = Index(_matrix(c["vector"]), books.value, int(np.abs(wanted).max(initial=0)))
                 extra = q["scores"].to_pylist() if "scores" in q.column_names else [None] * q.num_rows
                 for i, (own_id, own_label) in enumerate(zip(q["vec_id"].to_pylist(), q["label"].to_pylist(), strict=True)):
                     for turn, at, score in search(index, ids, own_labels, wanted[i], own_id, own_label, extra[i]):

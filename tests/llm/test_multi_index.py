@@ -93,3 +93,21 @@ def test_other_columns(spark):
     names = ["vector", "dims", "row", "anchor", "_tile", "_shard", "score", "turn", "found", "rank", "place", "scores"]
     df = spark.createDataFrame(rows, SCHEMA).select("*", *[F.lit("x").alias(n) for n in names])
     assert sorted((tuple(r) for r in multi_index.hard_negatives(df).collect()), key=str) == brute(rows)
+
+
+def test_a_search_that_skips_nothing_takes_few_steps():
+    pick = np.random.default_rng(3)
+    vectors = pick.integers(-60, 60, (8_000, 16))
+    books = {16: tuple(multi_index.fit_codebook(half.astype(float), 8) for half in (vectors[:2_000, :8], vectors[:2_000, 8:]))}
+    index = multi_index.Index(vectors, books)
+    steps = [rows for rows, _ in index.visits(vectors[0])]
+    assert sorted(np.concatenate(steps)) == list(range(8_000)) and len(steps) <= 6
+
+
+def test_scores_are_whole_where_only_the_anchor_is_large():
+    vectors = np.array([[3, 5], [-7, 1]])
+    anchor = np.array([(1 << 30) + 1, (1 << 31) + 3])
+    index = multi_index.Index(vectors, {}, int(np.abs(anchor).max()))
+    assert index.scores(np.arange(2), anchor).tolist() == [int(v @ anchor) for v in vectors]
+    small = multi_index.Index(vectors, {})
+    assert small.scores(np.arange(2), vectors[0]).tolist() == [34, -16]
