@@ -189,7 +189,8 @@ def clean_messages(
 def cleaning_verdict(
     df: DataFrame, text: str, duplicate: Column, min_length: int = 10, strict_boundary: bool = False
 ) -> DataFrame:
-    df = computed(df, _clean=tx.clean_text(F.coalesce(F.col(text), F.lit(""))))
+    # a duplicate is one whatever its text says, so its text is not worked on
+    df = computed(df, _clean=F.when(duplicate, F.lit(None)).otherwise(tx.clean_text(F.coalesce(F.col(text), F.lit("")))))
     stop = tx.is_stop_message(F.col("_clean"))
     df = computed(df, _stop=stop, _feedback=F.when(stop, tx.feedback_from_stop(F.col("_clean"))))
     df = df.withColumn("_kept", F.coalesce("_feedback", "_clean"))
