@@ -29,7 +29,7 @@ def pairs(spark, d, shared=False):
     right = p.select(*block, key.alias("r_key"), F.col("p_name").alias("r_name"), F.col("p_brand").alias("r_brand"), price.cast("decimal(12,1)").cast("string").alias("r_price"))
     if shared:
         left = lk.with_share(left, "l_name", lk.value_shares(p, "p_name"), "name_share")
-    return lk.block_pairs(lk.cleaned(left, FIELDS, "left"), lk.cleaned(right, FIELDS, "right"), ["type", "size"], "l_key")
+    return lk.block_pairs(lk.cleaned(left, FIELDS, "left"), lk.cleaned(right, FIELDS, "right"), ["type", "size"], "l_key", carry=["l_key", "r_key"])
 
 
 PAIRS = """p AS (SELECT p_partkey AS k, p_type AS type, p_size AS size, p_name, p_brand, round(p_retailprice, 1) AS price FROM part),
@@ -46,8 +46,7 @@ def _levels(spark, d, shared=False):
 
 
 def _scores(spark, d):
-    scored = lk.score(_levels(spark, d, shared=True), FIELDS, WEIGHTS, {"name": "name_share"})
-    return scored.select("l_key", "r_key", F.round("match_weight", 6).alias("match_weight"), F.round("match_probability", 6).alias("match_probability"))
+    return lk.score(_levels(spark, d, shared=True), FIELDS, WEIGHTS, {"name": "name_share"}, digits=6)
 
 
 def _case(name: str) -> str:
@@ -63,6 +62,7 @@ SCORES = f"""WITH {PAIRS}, shares AS (SELECT lower(p_name) AS value, count(*) /
 def _selected(spark, d):
     """Weights fitted on the pairs; the best record of each, and how many are right."""
     levels = _levels(spark, d, shared=True)
+    # the best record and three others are selected, so four are enough of each tile
     scored = lk.score(levels, FIELDS, lk.fit(levels, FIELDS), {"name": "name_share"})
     chosen = select_candidate(scored.withColumn("rank", F.col("r_key")), F.col("match_weight"), ["l_key"], ["r_key"])
     return chosen.agg(F.count("*").alias("records"), (F.avg((F.col("l_key") == F.col("r_key")).cast("int")) >= 0.8).alias("mostly_right"))
