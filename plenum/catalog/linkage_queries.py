@@ -63,7 +63,7 @@ def _selected(spark, d):
     """Weights fitted on the pairs; the best record of each, and how many are right."""
     levels = _levels(spark, d, shared=True)
     # the best record and three others are selected, so four are enough of each tile
-    scored = lk.score(levels, FIELDS, lk.fit(levels, FIELDS), {"name": "name_share"})
+    scored = lk.score(levels, FIELDS, lk.fit(levels, FIELDS), {"name": "name_share"}, best=4, order="r_key")
     chosen = select_candidate(scored.withColumn("rank", F.col("r_key")), F.col("match_weight"), ["l_key"], ["r_key"])
     return chosen.agg(F.count("*").alias("records"), (F.avg((F.col("l_key") == F.col("r_key")).cast("int")) >= 0.8).alias("mostly_right"))
 
