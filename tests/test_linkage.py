@@ -4,10 +4,12 @@ import math
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from plenum.operators import linkage as lk
+from plenum.operators import pair_tiles as pt
 from plenum.operators.matching import lexical_score, select_candidate
 
 FIELDS = [lk.Field("name", "l_name", "r_name", close=0.8, counted=True), lk.Field("town", "l_town", "r_town"), lk.Field("year", "l_year", "r_year", close=0.7)]
@@ -118,3 +120,80 @@ def test_shares_looked_up_per_record(spark):
     want = lk.score(lk.with_levels(df, field), field, w, {"name": shares})
     got = lk.score(lk.with_levels(lk.with_share(df, "l_name", shares, "held"), field), field, w, {"name": "held"})
     assert got.count() == 5 and sorted(map(str, got.drop("held").collect())) == sorted(map(str, want.collect()))
+
+
+def _tile_sides(spark, rows=150):
+    """Records with close, equal, missing and repeated texts in blocks, some of them without a block or a partner."""
+    pick = random.Random(9)
+    word = lambda: "".join(pick.choice("abé中") for _ in range(pick.randrange(1, 9)))
+
+    def record(i):
+        return (pick.choice(["x", "x", "x", "y", "z", None]), i // 2, pick.choice([None, " ", word(), word() + " " + word(), "LONG " * 15 + word()]), pick.choice(["york", "Yorck", "bath", None]), str(pick.randrange(4)))
+
+    left = spark.createDataFrame([record(i) for i in range(rows)], "block string, l_id long, l_name string, l_town string, l_year string")
+    right = spark.createDataFrame([record(i) for i in range(rows)], "block string, r_id long, r_name string, r_town string, r_year string").where("block <> 'z'")
+    return left.union(left.limit(9)), right.union(right.limit(7))
+
+
+def test_tiles_count_the_patterns_of_all_pairs(spark, monkeypatch):
+    left, right = _tile_sides(spark)
+    fields = [lk.Field("name", "l_name", "r_name", close=0.6, counted=True), lk.Field("town", "l_town", "r_town", close=0.75), lk.Field("year", "l_year", "r_year")]
+    rows = lk.with_levels(lk.block_pairs(left, right, ["block"], "l_id"), fields)
+    want = lk.pattern_counts(rows, fields)
+    monkeypatch.setattr(lk, "COUNTED", (16, 32))
+    got = lk.pattern_counts(lk.with_levels(lk.block_pairs(left, right, ["block"], "l_id", carry=["l_id", "r_id"]), fields), fields)
+    assert got.dtypes == want.dtypes
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    # the pairs are rows in no plan: a tile is a group, and what comes out of it is a row per pattern
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "levenshtein" not in plan
+
+
+def test_tiles_score_like_rows(spark, monkeypatch):
+    left, right = _tile_sides(spark, 90)
+    fields = [lk.Field("name", "l_name", "r_name", close=0.6, counted=True), lk.Field("town", "l_town", "r_town", close=0.75), lk.Field("year", "l_year", "r_year")]
+    shares = lk.value_shares(left, "l_name")
+    left = lk.with_share(left, "l_name", shares, "name_share")
+    rows = lk.with_levels(lk.block_pairs(left, right, ["block"], "l_id"), fields)
+    w = lk.fit(rows, fields)
+    want = lk.score(rows, fields, w, {"name": "name_share"})
+    monkeypatch.setattr(lk, "LISTED", (16, 32))
+    monkeypatch.setattr(lk, "PICKED", (16, 32))
+    tiles = lk.with_levels(lk.block_pairs(left, right, ["block"], "l_id", carry=["l_id", "r_id"]), fields)
+    assert lk.fit(tiles, fields).prior == pytest.approx(w.prior)
+    got = lk.score(tiles, fields, w, {"name": "name_share"})
+    columns = ["l_id", "r_id", "match_weight", "match_probability"]
+    plain = lambda df: sorted(map(str, map(tuple, df.select(*columns).collect())))
+    assert got.columns == columns and plain(got) == plain(want)
+    assert plain(lk.score(tiles, fields, w, {"name": shares})) == plain(want)
+    assert plain(lk.score(tiles, fields, w, {"name": "name_share"}, digits=3)) == plain(lk.score(rows, fields, w, {"name": "name_share"}, digits=3))
+    # the same selection from the best pairs of each tile
+    cut = lk.score(tiles, fields, w, {"name": "name_share"}, best=4, order="r_id")
+    assert cut.count() < want.count()
+    select = lambda df: sorted(map(str, select_candidate(df.withColumn("rank", F.col("r_id")), F.col("match_weight"), ["l_id"], ["r_id"]).drop("n_candidates").collect()))
+    assert select(cut) == select(want)
+
+
+@pytest.mark.parametrize("lengths", [(0, 7), (1, 25), (50, 90), (3, 140)])
+def test_edit_distances_of_many_pairs(lengths):
+    pick = random.Random(3)
+
+    def plain(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a):
+            new = [i + 1]
+            for j, y in enumerate(b):
+                new.append(min(row[j + 1] + 1, new[j] + 1, row[j] + (x != y)))
+            row = new
+        return row[-1]
+
+    texts = lambda n: ["".join(pick.choice("abcdé中😀") for _ in range(pick.randint(*lengths))) for _ in range(n)]
+    one = list(dict.fromkeys(texts(25)))
+    two = list(dict.fromkeys([*texts(20), *[t[:2] + t[3:] for t in one[:12]], *[t + "q" for t in one[:5]], *one[:3]]))
+    pairs = [(i, j) for i in range(len(one)) for j in range(len(two))]
+    i, j = (np.array(x) for x in zip(*pairs, strict=True))
+    want = [plain(one[a], two[b]) for a, b in pairs]
+    assert pt.edit_distances(one, two, i, j).tolist() == want
+    for close in (1 / 3, 0.6, 0.75, 0.85, 1.0):
+        good = {p for p, d in zip(pairs, want, strict=True) if (m := max(len(one[p[0]]), len(two[p[1]]))) and 1 - d / m >= close}
+        assert set(zip(*map(np.ndarray.tolist, pt.close_pairs(one, two, close)), strict=True)) == good
