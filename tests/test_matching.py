@@ -150,3 +150,41 @@ def test_a_long_tile_is_searched_in_little_memory(metric):
     got = sorted((r["query_id"], r["score"] if metric == "l2" else -r["score"], r["candidate_id"]) for r in found.to_pylist())
     assert [(i, j) for i, _, j in got] == [(i, j) for i, j, _ in want]
     assert np.allclose([s for _, s, _ in got], [s for _, _, s in want])
+
+
+def test_candidates_pass_a_query_tile(spark):
+    """Queries are held, candidates come in batches by id: as many rows as by one table, and few of them at a time."""
+    rng = np.random.default_rng(4)
+    n, m, dims, k = 700, 9_000, 6, 4
+    left, right = rng.normal(size=(n, dims)).astype(np.float32), rng.normal(size=(m, dims)).astype(np.float32)
+    right[5::40] = right[5]
+    right[7], left[3] = 0.0, np.nan
+    schema = pa.schema([("query_id", pa.int64()), ("candidate_id", pa.int64()), ("score", pa.float64())])
+    arrays = lambda v: pa.array(list(v), pa.list_(pa.float32()))
+    q = pa.table({"query_id": np.arange(n), "vector": arrays(left)})
+    c = pa.table({"candidate_id": np.arange(m), "vector": arrays(right)})
+    want = mt._tile_search(k, "cosine", mt.Pair(), schema)(q, c)
+    none = lambda size: pa.nulls(size, pa.int64())
+    both = pa.concat_tables([
+        pa.table({"_side": np.zeros(n, np.int32), "_q_query_id": q["query_id"], "vector": q["vector"], "_c_candidate_id": none(n)}),
+        pa.table({"_side": np.ones(m, np.int32), "_q_query_id": none(m), "vector": c["vector"], "_c_candidate_id": c["candidate_id"]})]).combine_chunks()
+    search = mt._stream_search(k, "cosine", mt.Pair(), schema)
+    got = pa.Table.from_batches(search(iter(both.to_batches(max_chunksize=333))), schema)
+    plain = lambda t: sorted(map(tuple, (r.values() for r in t.to_pylist())))
+    assert plain(got) == plain(want) and got.num_rows > 2_000
+    unit = lambda v: v / np.maximum(np.linalg.norm(v.astype(float), axis=1, keepdims=True), 1e-300)
+    scores = np.round(unit(left) @ unit(right).T, 9)
+    assert plain(got) == [(i, j, s) for i, j, s in plain(got) if abs(scores[i, j] - s) < 2e-9]
+    for i in (0, 5, 699):
+        order = [j for j in np.lexsort((np.arange(m), -scores[i])) if scores[i, j] > 0][:k]
+        assert [j for j, _ in sorted(((r["candidate_id"], -r["score"]) for r in got.to_pylist() if r["query_id"] == i), key=lambda x: (x[1], x[0]))] == order
+    assert list(search(iter(both.slice(0, n).to_batches()))) == [] == list(search(iter(both.slice(n).to_batches())))
+
+
+def test_tiles_are_as_large_as_they_can_be(spark):
+    """Candidates are shuffled once per query tile: a block of 9,000 queries is one tile while it is little work."""
+    df = spark.range(9_000).select(F.lit("x").alias("block"), "id", F.array(F.lit(1.0).cast("float"), F.col("id").cast("float")).alias("v"))
+    few = df.where("id < 50")
+    plan = mt.block_topk(df, few, ["block"], 1, "id", "id", "v", "v")
+    assert plan.count() == 9_000
+    assert "FlatMapCoGroupsInArrow" not in plan._jdf.queryExecution().executedPlan().toString()
